@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,3 +98,13 @@ def in_bloom(bitmap: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     for slot in bloom_slots(keys, bits):
         out &= (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
     return out
+
+
+def member(bitmap):
+    """A filter on a long column: False only where the bitmap's table lacks the key. Only the key goes to Python."""
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(bitmap.value, keys.to_numpy(np.int64)))
+
+    return test
