@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, licenses, packing, sharding, suffixes, toxicity
+from foliospark.llm import bpe, jaccard, licenses, packing, sharding, suffixes, toxicity
 from foliospark.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_rows(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -44,6 +48,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, lexicon).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op4_packing, op5_licenses, op6_bpe, op9_sharding, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op9_sharding, op10_toxicity)}
 
 SQL: dict[str, str] = {}
