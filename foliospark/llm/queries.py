@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, jaccard, licenses, packing, sharding, suffixes, toxicity
+from foliospark.llm import bpe, jaccard, licenses, neighbours, packing, search, sharding, suffixes, toxicity
 from foliospark.llm.shared import table
 
 
@@ -22,6 +22,14 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.strip(table(spark, sf_dir, "documents")))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
@@ -48,6 +56,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, lexicon).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op9_sharding, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op9_sharding, op10_toxicity)}
 
 SQL: dict[str, str] = {}
