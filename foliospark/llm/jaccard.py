@@ -210,3 +210,24 @@ def classes(docs: DataFrame, n: int, num: int, den: int, keep: tuple[str, ...] =
     placed = materialize(ids.join(known, "rid"), "rows")
     least = materialize(placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("group", "least"), "least")
     return placed.join(least, "group", "left").select(*keep, F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """docs without all but the first row, by doc_id, of each component; equal rows are one.
+
+    Texts stay where they are read but for the few rows of components with several.
+    """
+    rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows, found = links(docs.select(rid.alias("rid"), F.coalesce("text", F.lit("")).alias("text")), n, num, den)
+    of = components(found)
+    placed = rows.where("sid is not null").join(of.withColumnRenamed("node", "sid"), "sid", "left").select("rid", F.coalesce("component", "sid").alias("group"))
+    ids = docs.select(rid.alias("rid"), "doc_id").distinct()
+    placed = materialize(placed.groupBy("rid", "group").agg(F.count("*").alias("copies")).join(ids, "rid"), "placed")
+    first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f"), F.sum("copies").alias("all")).where("all > 1").select(F.col("group"), F.col("f.rid").alias("first"))
+    first = materialize(first, "first")
+    several = materialize(placed.join(first, "group").select("rid", (F.col("rid") == F.col("first")).alias("stays")), "several")
+    marked = docs.withColumn("_rid", rid)
+    near = member(bloom(several, "rid", several.count()))("_rid")
+    met = marked.where(near).join(several.withColumnRenamed("rid", "_rid"), "_rid", "left")
+    kept = met.where("stays").dropDuplicates(["_rid"]).unionByName(met.where("stays is null"))
+    return marked.where(~near).drop("_rid").unionByName(kept.drop("_rid", "stays"))

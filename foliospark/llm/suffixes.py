@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,3 +175,17 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
 def digests(stripped: DataFrame) -> DataFrame:
     """The columns of `strip` with kept as its lower-case SHA-256."""
     return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with what `strip` leaves as text, characters that it cut in two left out; n_chars follows where it is a column."""
+
+    @F.pandas_udf("string")
+    def readable(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    keep = tuple(c for c in docs.columns if c != "text")
+    out = strip(docs, window, gram, keep).withColumn("text", readable("kept"))
+    if "n_chars" in keep:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
