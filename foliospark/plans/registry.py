@@ -1,4 +1,6 @@
 """Queries by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from foliospark.plans.oracle import SQL
+from foliospark.plans.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
