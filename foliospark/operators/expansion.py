@@ -63,7 +63,7 @@ def _near_block(vectors: DataFrame, part: pd.DataFrame, k: int, kind: str) -> Da
                 s = np.where((near == name) | np.isnan(s), -np.inf, s)
                 best = np.lexsort((near, -s))[:k]
                 best = best[np.isfinite(s[best])]
-                yield pd.DataFrame({"word": [name] * len(best), "near": near[best], "similarity": s[best]})
+                yield pd.DataFrame({"word": pd.Series([name] * len(best), dtype=object), "near": pd.Series(near[best].tolist(), dtype=object), "similarity": s[best]})
 
     return vectors.select("word", "vector").mapInPandas(run, f"word {kind}, near {kind}, similarity double")
 
