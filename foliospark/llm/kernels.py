@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -8,7 +8,9 @@ hash of part of the window rather than its first byte:
    equal places, and neighbouring windows share one, so about two suffixes in `window - gram + 2` stand for all.
 2. The stretch: all bytes of the windows that share an anchor. Anchors whose stretches are equal are repeats as a
    whole, and one stretch stands for all its copies.
-3. The full window, for one copy of each different stretch of an anchor.
+3. The core: what every `CELL` windows at the same places from the anchor have in common, then all their bytes; again
+   equal ones are repeats as a whole, one of them stands for all, and cells whose core no other has are dropped.
+4. The full window, for one copy of each different cell that shares its core.
 
 Copies of a document, a passage or a line meet in partial aggregates; a join that may meet a hot key reads tables
 without partitioning, so it can be split. Bloom bitmaps of fixed size keep rows without a partner from the shuffles.
@@ -27,12 +29,13 @@ from pyspark.sql import functions as F
 from foliospark.llm.kernels import BASE2, SEGMENT, buffers, mix, prefix, slices, sliding_min, substring_hash
 from foliospark.llm.shared import bloom, in_bloom, materialize, member
 
-WINDOW, GRAM = 200, 48
+WINDOW, GRAM, CELL = 200, 48, 16
 _PLACE = np.uint64((1 << 22) - 1)
 
 
 def anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with one anchor: anchor hash, stretch hash, text, first window's start in it, windows."""
+    """Runs of windows with one anchor: anchor hash, stretch hash, text, first window's start in it, windows, the
+    anchor's distance from that start."""
     width = np.diff(off)
     edge = np.zeros(len(data) + 2, np.int8)
     long = np.flatnonzero(width >= window)
@@ -57,7 +60,7 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> Iterat
         anchor = a[first]
         stretch = mix(substring_hash(prefix(d, BASE2), p0, p1 + window, BASE2) + (anchor - p0).astype(np.uint64))
         doc = np.searchsorted(off, p0 + s, side="right") - 1
-        yield h[anchor], stretch, doc, p0 + s - off[doc], p1 - p0 + 1
+        yield h[anchor], stretch, doc, p0 + s - off[doc], p1 - p0 + 1, anchor - p0
 
 
 def _runs(texts: DataFrame, window: int, gram: int, only=None) -> DataFrame:
@@ -65,33 +68,48 @@ def _runs(texts: DataFrame, window: int, gram: int, only=None) -> DataFrame:
         for batch in batches:
             for b in slices(batch):
                 rid = b.column("rid").to_numpy()
-                for kh, ch, doc, p, n in anchors(*buffers(b.column("text")), window, gram):
-                    kh, ch = kh.view(np.int64), ch.view(np.int64)
-                    keep = in_bloom(only.value, kh) if only else slice(None)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kh, ch, rid[doc], p.astype(np.int32), n.astype(np.int32))], ["kh", "ch", "rid", "p", "n"])
+                for key, whole, doc, p, n, d in anchors(*buffers(b.column("text")), window, gram):
+                    key, whole = key.view(np.int64), whole.view(np.int64)
+                    keep = in_bloom(only.value, key) if only else slice(None)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, whole, rid[doc], *(y.astype(np.int32) for y in (p, n, d)))], ["key", "whole", "rid", "p", "n", "d"])
 
-    return texts.mapInArrow(run, "kh long, ch long, rid long, p int, n int")
+    return texts.mapInArrow(run, "key long, whole long, rid long, p int, n int, d int")
 
 
-def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def _groups(rows: DataFrame) -> DataFrame:
+    """key and several, for keys of more than one row: whether their wholes differ."""
+    groups = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
+    return materialize(groups.where("c > 1").select("key", (F.col("lo") != F.col("hi")).alias("several")), "groups")
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows that share their key with another: those repeated as a whole (rid, p, n), and where wholes differ one
+    row for each (key, rid, p, n, d), with whether it is known to be repeated."""
+    several = rows.where("several")
+    one = several.groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "p", "n", "d")).alias("r"))
+    one = materialize(one.select("key", "whole", (F.col("c") > 1).alias("known"), "r.*"), "one")
+    whole = several.join(one.where("known").select("key", "whole"), ["key", "whole"])
+    return rows.where("not several").select("rid", "p", "n").union(whole.select("rid", "p", "n")), one.drop("whole")
+
+
+def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, cell: int = CELL) -> DataFrame:
     """(rid, p, n): windows that start at p, ..., p + n - 1 of row rid's text also start elsewhere. texts: rid, text."""
-    groups = _runs(texts, window, gram).groupBy("kh").agg(F.count("*").alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi"))
-    groups = materialize(groups.where("c > 1").select("kh", (F.col("lo") != F.col("hi")).alias("several")), "grams")
-    only = bloom(groups, "kh", groups.count())
-    runs = materialize(_runs(texts, window, gram, only).join(groups, "kh"), "runs")
-    several = runs.where("several")
-    stretches = materialize(several.groupBy("kh", "ch").agg(F.count("*").alias("c"), F.min(F.struct("rid", "p", "n")).alias("r")), "stretches")
-    whole = several.join(stretches.where("c > 1").select("kh", "ch"), ["kh", "ch"])
-    windows = materialize(_windows(texts, stretches, window), "windows")
-    twice = materialize(windows.groupBy("kh", "wh").count().where("count > 1").select("kh", "wh"), "twice")
-    single = windows.where("not known").join(twice, ["kh", "wh"]).select("rid", "p", F.lit(1).alias("n"))
-    return runs.where("not several").select("rid", "p", "n").union(whole.select("rid", "p", "n")).union(single)
-
-
-def _windows(texts: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
-    """kh, wh (the window's hash), rid, p, known (its stretch is repeated) for every window of every stretch's copy."""
-    wanted = stretches.groupBy("r.rid").agg(F.collect_list(F.struct("kh", F.col("r.p").alias("p"), F.col("r.n").alias("n"), (F.col("c") > 1).alias("known"))).alias("runs"))
-    wanted = materialize(wanted, "wanted")
+    groups = _groups(_runs(texts, window, gram))
+    only = bloom(groups, "key", groups.count())
+    runs = materialize(_runs(texts, window, gram, only).join(groups, "key"), "runs")
+    by_stretch, open_runs = _split(runs)
+    cells = materialize(_deeper(texts, open_runs, _cells(window, cell)), "cells")
+    cells = materialize(cells.join(_groups(cells), "key"), "shared")
+    by_cell, open_cells = _split(cells)
+    windows = materialize(_deeper(texts, open_cells, _windows(window)), "windows")
+    twice = materialize(windows.groupBy("key").count().where("count > 1").select("key"), "twice")
+    single = windows.where("not known").join(twice, "key").select("rid", "p", "n")
+    return by_stretch.union(by_cell).union(single)
+
+
+def _deeper(texts: DataFrame, rows: DataFrame, keys) -> DataFrame:
+    """key, whole, rid, p, n, d, known: `keys` of every row's parts, from the texts that they are in."""
+    wanted = materialize(rows.groupBy("rid").agg(F.collect_list(F.struct("key", "p", "n", "d", "known")).alias("runs")), "wanted")
     near = texts.where(member(bloom(wanted, "rid", wanted.count()))("rid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,31 +117,62 @@ def _windows(texts: DataFrame, stretches: DataFrame, window: int) -> DataFrame:
             for b in slices(batch):
                 data, off = buffers(b.column("text"))
                 runs = b.column("runs").flatten()
-                kh, p, n, known = (runs.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                size = np.diff(b.column("runs").offsets.to_numpy())
-                doc = np.repeat(np.arange(b.num_rows), size)
-                for s in range(0, len(kh), 20_000):
-                    part = slice(s, s + 20_000)
-                    count = n[part].astype(np.int64)
-                    start = np.repeat(p[part] + off[doc[part]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    at = np.repeat(doc[part], count)
-                    wh = _far_hash(data, start, window)
+                key, p, n, d, known = (runs.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                doc = np.repeat(np.arange(b.num_rows), np.diff(b.column("runs").offsets.to_numpy()))
+                rid = b.column("rid").to_numpy()
+                for s in range(0, len(key), 10_000):
+                    t = slice(s, s + 10_000)
+                    i, k, whole, at, size, far = keys(data, key[t].view(np.uint64), p[t] + off[doc[t]], n[t].astype(np.int64), d[t].astype(np.int64))
+                    i = i + s
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (np.repeat(kh[part], count), wh.view(np.int64), b.column("rid").to_numpy()[at], (start - off[at]).astype(np.int32), np.repeat(known[part], count))],
-                        ["kh", "wh", "rid", "p", "known"],
+                        [pa.array(x) for x in (k.view(np.int64), whole.view(np.int64), rid[doc[i]], (at - off[doc[i]]).astype(np.int32), size.astype(np.int32), far.astype(np.int32), known[i])],
+                        ["key", "whole", "rid", "p", "n", "d", "known"],
                     )
 
-    return near.join(wanted, "rid").mapInArrow(run, "kh long, wh long, rid long, p int, known boolean")
+    return near.join(wanted, "rid").mapInArrow(run, "key long, whole long, rid long, p int, n int, d int, known boolean")
+
+
+def _cells(window: int, cell: int):
+    """Runs cut into cells of windows at the same distances from the anchor: core as key, all bytes as whole."""
+
+    def keys(data, key, at, n, d):
+        low, high = (d - n + 1) // cell, d // cell  # distances fall from d to d - n + 1
+        count = high - low + 1
+        i = np.repeat(np.arange(len(key)), count)
+        j = high[i] - (np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count))
+        anchor = at[i] + d[i]
+        near, far = np.maximum(j * cell, (d - n + 1)[i]), np.minimum(j * cell + cell - 1, d[i])
+        base = anchor - j * cell
+        core = mix(_far_hash(data, base, window - cell + 1) ^ key[i] ^ mix(j.astype(np.uint64)))
+        whole = _far_hash(data, anchor - far, window + far - near)
+        whole = mix(whole ^ mix((far * 256 + near).astype(np.uint64)))  # cells that the run cuts alike are alike
+        return i, core, whole, anchor - far, far - near + 1, far
+
+    return keys
+
+
+def _windows(window: int):
+    """Each window of the runs: its hash as key, which the cell's key refines."""
+
+    def keys(data, key, at, n, d):
+        i = np.repeat(np.arange(len(key)), n)
+        step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        start = at[i] + step
+        h = mix(_far_hash(data, start, window) ^ key[i])
+        return i, h, h, start, np.ones(len(i), np.int64), d[i] - step
+
+    return keys
 
 
-def _far_hash(data: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-    """Hashes of the windows that start at `start`, in any order, in stretches of bounded size."""
-    out = np.zeros(len(start), np.uint64)
+def _far_hash(data: np.ndarray, start: np.ndarray, size) -> np.ndarray:
+    """Hashes of the strings of `size` bytes that start at `start`, in any order, by stretches of bounded size."""
+    out, size = np.zeros(len(start), np.uint64), np.broadcast_to(size, len(start))
+    most = int(size.max()) if len(size) else 0
     for s in range(0, len(data), SEGMENT):
         i = np.flatnonzero((start >= s) & (start < s + SEGMENT))
         if len(i):
-            p = prefix(data[s : s + SEGMENT + window], BASE2)
-            out[i] = substring_hash(p, start[i] - s, start[i] - s + window, BASE2)
+            p = prefix(data[s : s + SEGMENT + most], BASE2)
+            out[i] = substring_hash(p, start[i] - s, start[i] - s + size[i], BASE2)
     return out
 
 
