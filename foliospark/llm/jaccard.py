@@ -3,9 +3,10 @@
 A text's set holds the 64-bit hashes of its distinct word shingles. Sets are ordered rarest first by a count sketch
 of all texts' shingles (ties by hash), so any two sets agree on the order. Two sets that reach the threshold share a
 shingle within their prefixes; only prefix shingles that two different sets hold are kept, equal sets being one.
-Candidates pass a length filter, a positional filter (what two prefixes' places leave at most), and a suffix filter
-(the counts of both sets' shingles by hash range differ no more than the threshold allows), and are verified once
-on whole sets.
+Candidates pass a length filter, a positional filter (what two prefixes' places leave at most), a count of the
+prefix shingles they share (with the rest of the set whose prefix ends first, that bounds their overlap), and a
+suffix filter (the counts of both sets' shingles by hash range differ no more than the threshold allows), and are
+verified once on whole sets.
 
 Within a large group of near copies not all pairs are made. First every set is verified against one leader for each
 of its prefix shingles and its size range. What that links becomes components, and only pairs across components
@@ -27,7 +28,8 @@ from foliospark.llm.kernels import SPACE, buffers, shingles, slices, word_offset
 from foliospark.llm.shared import bloom, in_bloom, materialize, member
 
 #: Counters of the sketch, and the slices it is summed in; ranges of the suffix filter; sets remembered by a task.
-COUNTERS, PARTS, RANGES, SEEN = 1 << 20, 64, 32, 200_000
+BITS, PARTS, RANGES, SEEN = 22, 64, 32, 200_000
+COUNTERS = 1 << BITS
 
 
 def _sets(b: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -41,11 +43,11 @@ def _sid(s: np.ndarray) -> int | None:
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - 20)).astype(np.int64)
+    return (s >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def describe(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(rid, sid, size) of every row, and the sketch: how many texts hold a shingle of each slot, to 65535."""
+    """(rid, sid, size) of every row, and the sketch: how many texts hold a shingle of each slot, to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(COUNTERS, np.uint32)
@@ -53,24 +55,25 @@ def describe(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             for b in slices(batch):
                 sets = _sets(b, n)
                 if total := [s for s in sets if len(s)]:
-                    count += np.bincount(_slot(np.concatenate(total)), minlength=COUNTERS).astype(np.uint32)
+                    slot, n_texts = np.unique(_slot(np.concatenate(total)), return_counts=True)
+                    count[slot] += n_texts.astype(np.uint32)
                 none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([_sid(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *none], ["rid", "sid", "size", "part", "counts"])
         if count.any():
-            blocks = [x.tobytes() for x in np.minimum(count, 65535).astype(np.uint16).reshape(PARTS, -1)]
+            blocks = [x.tobytes() for x in np.minimum(count, 255).astype(np.uint8).reshape(PARTS, -1)]
             none = [pa.nulls(PARTS, pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(blocks, pa.binary())], ["rid", "sid", "size", "part", "counts"])
 
     def add(key, t):
         total = np.zeros(COUNTERS // PARTS, np.uint32)
         for x in t.column("counts").to_pylist():
-            total = np.minimum(total + np.frombuffer(x, np.uint16), 65535)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.uint16).tobytes()], pa.binary())})
+            total = np.minimum(total + np.frombuffer(x, np.uint8), 255)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
 
     both = materialize(texts.mapInArrow(run, "rid long, sid long, size long, part int, counts binary"), "sets")
-    sketch = np.zeros((PARTS, COUNTERS // PARTS), np.uint16)
-    for r in both.where("part is not null").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # 2 MB, whatever the input
-        sketch[r["part"]] = np.frombuffer(r["counts"], np.uint16)
+    sketch = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
+    for r in both.where("part is not null").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # 4 MB, whatever the input
+        sketch[r["part"]] = np.frombuffer(r["counts"], np.uint8)
     return both.where("part is null").select("rid", "sid", "size"), sketch.ravel()
 
 
@@ -115,6 +118,11 @@ def _need(num: int, den: int) -> Column:
     return F.expr(f"cast((({num} * cast(na + nb as long)) + {num + den - 1}) div {num + den} as int)")
 
 
+def _shared(num: int, den: int) -> Column:
+    """The prefix shingles that two sets must share: an overlap's rest lies beyond the prefix that ends first."""
+    return _need(num, den) - F.greatest(*[F.expr(f"cast((({num} * cast({n} as long)) + {den - 1}) div {den} as int) - 1") for n in ("na", "nb")])
+
+
 def _bucket(size: Column, num: int, den: int) -> Column:
     return F.floor(F.log(size) / F.log(F.lit(den / num)) + 1e-9)
 
@@ -134,8 +142,9 @@ def _members(texts: DataFrame, rows: DataFrame, used: DataFrame, n: int) -> Data
     return materialize(near.mapInArrow(run, "rid long, ranges binary, hashes binary").join(of, "rid").select("sid", "ranges", "hashes"), "members")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b, na, nb), those that reach the threshold, each verified once on the whole sets."""
+    members = _members(texts, rows, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), n)
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -174,12 +183,13 @@ def links(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Data
     posts = _prefixes(texts, n, num, den, sketch, only).join(shared, "token")
     posts = posts.groupBy("token", "sid").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
     posts = materialize(posts.withColumn("bucket", _bucket(F.col("size"), num, den).cast("int")), "postings")
-    members = _members(texts, rows, posts.select("sid").distinct(), n)
     # first round: a leader for each shingle and size range
     leaders = materialize(posts.groupBy("token", "bucket").agg(F.min(F.struct("size", "sid")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", "bucket", "l"), "leaders")
     led = posts.join(leaders, ["token", "bucket"]).where("sid <> l.sid")
     led = led.select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b"), F.when(F.col("sid") < F.col("l.sid"), F.col("size")).otherwise(F.col("l.size")).alias("na"), F.when(F.col("sid") < F.col("l.sid"), F.col("l.size")).otherwise(F.col("size")).alias("nb"))
-    star = _verified(led.distinct(), members, num, den)
+    # a leader need not share all that a member has, so half of what a link takes is asked for
+    led = led.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") * 2 >= _shared(num, den))
+    star = _verified(texts, rows, materialize(led.select("a", "b", "na", "nb"), "led"), n, num, den)
     of = components(star)
     # second round: pairs across components
     posts = materialize(posts.join(of.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
@@ -190,7 +200,8 @@ def links(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Data
     pairs = x.join(y, ["token", "bucket"]).where("x <> y and cx <> cy and (nx < ny or nx = ny and x < y)")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"), "nx", "ny", "px", "py")
     fits = (F.col("nx") * den >= F.col("ny") * num) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.least("px", "py") >= _need(num, den))
-    more = _verified(pairs.where(fits).select("a", "b", "na", "nb").distinct(), members, num, den)
+    near = pairs.where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= _shared(num, den))
+    more = _verified(texts, rows, materialize(near.select("a", "b", "na", "nb"), "pairs"), n, num, den)
     return rows, star.union(more)
 
 
