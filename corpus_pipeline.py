@@ -4,7 +4,6 @@ are cut out, and what is left is packed into sequences of 1024 tokens."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliospark.llm import jaccard, packing, suffixes, toxicity
 from foliospark.llm.queries import vocabulary
@@ -14,7 +13,7 @@ from foliospark.llm.shared import materialize, table
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, lexicon, tuple(docs.columns)).where(F.col("score") < 0.7).drop("score")
+    return docs.where(toxicity.scorer(lexicon)("text") < 0.7)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import SPACE, buffers, slices, word_offsets, words
-from foliospark.llm.shared import materialize
+from foliospark.llm.shared import materialize, temporary
 
 STATES, FREQUENT, ENDINGS, HEAD, SPAN, ROUNDS = 4, 8192, 256, 1 << 20, 256, 4
 #: Of the smoothing that the plain counts have too.
@@ -314,10 +314,18 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"held_out": held_out(), "rid": F.xxhash64("doc_id", "text")})
     learnt = texts.where("not held_out")
-    vocabulary = materialize(count_words(learnt.select("text")), "words")
-    counts, least = totals(vocabulary, learnt.count())
-    coded = materialize(code(texts, spark.sparkContext.broadcast(counts)), "coded")
-    model = spark.sparkContext.broadcast(train(coded, counts, states, rounds))
+    with temporary(spark) as keep:
+        vocabulary = materialize(count_words(learnt.select("text")), "words")
+        counts, least = totals(vocabulary, learnt.count())
+        coded = keep(materialize(code(texts, spark.sparkContext.broadcast(counts)), "coded"))
+        model = spark.sparkContext.broadcast(train(coded, counts, states, rounds))
+
+        # the rest of the words, looked up
+        rare = vocabulary.where(F.col("c") < least).select("h", "c")
+        floor = F.array(*[F.lit(float(x)) for x in counts.class_floor])
+        asked = coded.where(F.size("rare") > 0).select("rid", F.explode("rare").alias("w")).select("rid", "w.h", "w.k")
+        told = asked.join(rare, "h", "left").select("rid", F.log10(F.coalesce("c", F.lit(0)) + ADD).alias("l"), F.element_at(floor, F.col("k") + 1).alias("f"), F.col("c").isNotNull().cast("long").alias("seen"))
+        told = keep(materialize(told.groupBy("rid").agg(F.sum(F.col("l") - float(counts.base_floor)).alias("more_base"), F.sum(F.col("l") - F.col("f")).alias("more_share"), F.sum("seen").alias("more_known"), F.count("*").alias("words")), "rare"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,12 +333,6 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
                 part = b.slice(lo, 1000)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names[:-1]), pa.array(likelihood(model.value, *_sequences(part.column("seq"))))], [*part.schema.names[:-1], "forward"])
 
-    # the rest of the words, looked up
-    rare = vocabulary.where(F.col("c") < least).select("h", "c")
-    floor = F.array(*[F.lit(float(x)) for x in counts.class_floor])
-    asked = coded.where(F.size("rare") > 0).select("rid", F.explode("rare").alias("w")).select("rid", "w.h", "w.k")
-    told = asked.join(rare, "h", "left").select("rid", F.log10(F.coalesce("c", F.lit(0)) + ADD).alias("l"), F.element_at(floor, F.col("k") + 1).alias("f"), F.col("c").isNotNull().cast("long").alias("seen"))
-    told = materialize(told.groupBy("rid").agg(F.sum(F.col("l") - float(counts.base_floor)).alias("more_base"), F.sum(F.col("l") - F.col("f")).alias("more_share"), F.sum("seen").alias("more_known"), F.count("*").alias("words")), "rare")
     shape = "doc_id long, rid long, held_out boolean, n_tokens long, known long, base double, share double"
     main = coded.select("doc_id", "rid", "held_out", "n_tokens", "known", "base", "share", "seq").mapInArrow(run, shape + ", forward double")
     # rows of one id and text share their sums; each has them once

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.llm.shared import materialize
+from foliospark.llm.shared import materialize, temporary
 from foliospark.llm.vectors import matrix, usable, width
 
 PASSES, BITS, REACH, BLOCK, CROWD = 10, 32, 48, 4096, 1024
@@ -124,13 +124,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, **options) -> Data
     """
     rows = vectors.select("vec_id", "label", "embedding", F.xxhash64(F.lit(1), "embedding").alias("h1"), F.xxhash64("embedding", F.lit(2)).alias("h2"))
     fit = rows.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    of = materialize(fit.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "of")
-    single = materialize(fit.join(of.select(F.col("id").alias("vec_id"), "label", "h1", "h2", "n"), ["vec_id", "label", "h1", "h2"]).dropDuplicates(["vec_id", "label"]).select(F.col("vec_id").alias("id"), "label", "n", "embedding"), "single")
-    comp = components(links(single.select("id", "label", "embedding"), cosine, **options)).select(F.col("node").alias("id"), "component")
-    comp = materialize(comp, "components")
-    linked = _counts(single.join(comp, "id").select("id", "component", "n", "embedding"), cosine)
-    known = of.join(comp, "id", "left").join(linked, "id", "left")
-    known = materialize(known.select("label", "h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known")
+    with temporary(vectors.sparkSession) as keep:
+        of = materialize(fit.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "of")
+        single = materialize(fit.join(of.select(F.col("id").alias("vec_id"), "label", "h1", "h2", "n"), ["vec_id", "label", "h1", "h2"]).dropDuplicates(["vec_id", "label"]).select(F.col("vec_id").alias("id"), "label", "n", "embedding"), "single")
+        comp = components(links(single.select("id", "label", "embedding"), cosine, **options)).select(F.col("node").alias("id"), "component")
+        comp = materialize(comp, "components")
+        linked = _counts(single.join(comp, "id").select("id", "component", "n", "embedding"), cosine)
+        known = of.join(comp, "id", "left").join(linked, "id", "left")
+        known = keep(materialize(known.select("label", "h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "known"))
     ids = rows.select("vec_id", F.when(usable(), F.col("label")).alias("label"), "h1", "h2")
     out = ids.join(known, ["label", "h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

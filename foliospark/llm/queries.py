@@ -62,4 +62,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op8_hmm, op9_sharding, op10_toxicity)}
 
-SQL: dict[str, str] = {}
+_REACH = """reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
+
+SQL: dict[str, str] = {
+    "op2_neighbours": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
+WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+nodes AS (SELECT DISTINCT a AS id FROM links), {_REACH},
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id), degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN degree d ON d.id = vec_id LEFT JOIN least l ON l.id = vec_id""",
+    "op7_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id AS id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+links AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.id <> y.id AND len(x.s) > 0 AND len(x.s) * 100 >= len(y.s) * 90 AND len(y.s) * 100 >= len(x.s) * 90
+WHERE len(list_intersect(x.s, y.s)) * 190 >= (len(x.s) + len(y.s)) * 90), nodes AS (SELECT DISTINCT a AS id FROM links), {_REACH},
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT s.id AS doc_id, len(s) AS n_shingles, coalesce(component_id, s.id) AS component_id FROM s LEFT JOIN least l ON l.id = s.id""",
+}

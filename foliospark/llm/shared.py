@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,35 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}-{name}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+_made: list[str] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialized inside are deleted when it ends, but for those passed to the function that it gives.
+
+    What is returned to the caller may read only kept tables and sources.
+    """
+    before, kept = len(_made), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._folio_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _made[before:]:
+            if path not in kept:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _made[before:] = kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import BASE2, SEGMENT, buffers, mix, prefix, slices, sliding_min, substring_hash
-from foliospark.llm.shared import bloom, in_bloom, materialize, member
+from foliospark.llm.shared import bloom, in_bloom, materialize, member, temporary
 
 WINDOW, GRAM, CELL = 200, 48, 16
 _PLACE = np.uint64((1 << 22) - 1)
@@ -184,8 +184,9 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
     documents; equal rows repeat each other. No rows give no rows; other columns are ignored.
     """
     texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid"))
-    marks = repeats(texts.select("rid", "text"), window, gram)
-    spans = materialize(marks.groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("spans")), "spans")
+    with temporary(docs.sparkSession) as keep_table:
+        marks = repeats(texts.select("rid", "text"), window, gram)
+        spans = keep_table(materialize(marks.groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("spans")), "spans"))
     marked = member(bloom(spans, "rid", spans.count()))("rid")
     schema = docs.select(*keep).schema
 
@@ -233,8 +234,9 @@ def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     def readable(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    keep = tuple(c for c in docs.columns if c != "text")
-    out = strip(docs, window, gram, keep).withColumn("text", readable("kept"))
-    if "n_chars" in keep:
+    # all other columns travel as one, so that none of their names can clash
+    row = [c for c in docs.columns if c != "text"]
+    out = strip(docs.select("doc_id", "text", F.struct(*row).alias("row_")), window, gram, ("row_",)).select("row_.*", readable("kept").alias("text"))
+    if "n_chars" in row:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -13,13 +13,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -146,7 +146,7 @@ def fit(rows: Iterable[tuple[str | None, int | None]], least: int = 10, odds: fl
             if a and (w := _WORD.findall(t[max(0, a - 40) : a - 1])) and t.startswith(w[-1], a - 1 - len(w[-1])):
                 found.add(t[a - 1 - len(w[-1]) : b])
         pairs[y].update(found)
-    exceptions = tuple(sorted(p for p, n in pairs[0].items() if n >= 5 and n / n0 > 20 * (pairs[1][p] + 0.5) / n1))
+    exceptions = tuple(sorted(p for p, n in pairs[0].items() if n >= 5 and n / n0 > 3 * (pairs[1][p] + 0.5) / n1))
     lexicon = Lexicon(terms, exceptions)
     auto = lexicon.automaton()
     x = np.array([density(t, auto) for t, _ in seen])
@@ -182,8 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     return fit((r["text"], r["toxic"]) for r in rows.toLocalIterator())
 
 
-def scores(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns kept, and score (0 to 1) of every whole text; null and empty texts score as no match does."""
+def scorer(lexicon: Lexicon) -> Callable[[str], Column]:
+    """A function of a text column: its score, 0 to 1; null and empty texts score as no match does."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -191,4 +191,9 @@ def scores(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("doc_id",
         for texts in batches:
             yield pd.Series([score(fold(t or ""), auto, lexicon) for t in texts], dtype="float64")
 
-    return docs.select(*keep, scored("text").alias("score"))
+    return scored
+
+
+def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """doc_id and score of every row; other columns are ignored, and no rows give no rows."""
+    return docs.select("doc_id", scorer(lexicon)("text").alias("score"))
