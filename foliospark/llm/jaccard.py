@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
 from foliospark.llm.kernels import SPACE, buffers, shingles, slices, word_offsets, words
-from foliospark.llm.shared import bloom, in_bloom, materialize, member
+from foliospark.llm.shared import bloom, in_bloom, materialize, member, temporary
 
 #: Counters of the sketch, and the slices it is summed in; ranges of the suffix filter; sets remembered by a task.
-BITS, PARTS, RANGES, SEEN = 22, 64, 32, 200_000
+BITS, PARTS, RANGES, SEEN = 24, 128, 32, 200_000
 COUNTERS = 1 << BITS
 
 
@@ -50,17 +50,17 @@ def describe(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(rid, sid, size) of every row, and the sketch: how many texts hold a shingle of each slot, to 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(COUNTERS, np.uint32)
+        count = np.zeros(COUNTERS, np.uint8)
         for batch in batches:
             for b in slices(batch):
                 sets = _sets(b, n)
                 if total := [s for s in sets if len(s)]:
                     slot, n_texts = np.unique(_slot(np.concatenate(total)), return_counts=True)
-                    count[slot] += n_texts.astype(np.uint32)
+                    count[slot] = np.minimum(count[slot] + n_texts, 255)
                 none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([_sid(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *none], ["rid", "sid", "size", "part", "counts"])
         if count.any():
-            blocks = [x.tobytes() for x in np.minimum(count, 255).astype(np.uint8).reshape(PARTS, -1)]
+            blocks = [x.tobytes() for x in count.reshape(PARTS, -1)]
             none = [pa.nulls(PARTS, pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(blocks, pa.binary())], ["rid", "sid", "size", "part", "counts"])
 
@@ -72,7 +72,7 @@ def describe(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
     both = materialize(texts.mapInArrow(run, "rid long, sid long, size long, part int, counts binary"), "sets")
     sketch = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
-    for r in both.where("part is not null").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # 4 MB, whatever the input
+    for r in both.where("part is not null").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # 16 MB, whatever the input
         sketch[r["part"]] = np.frombuffer(r["counts"], np.uint8)
     return both.where("part is null").select("rid", "sid", "size"), sketch.ravel()
 
@@ -214,12 +214,13 @@ def classes(docs: DataFrame, n: int, num: int, den: int, keep: tuple[str, ...] =
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
     texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
-    rows, found = links(texts.select("rid", "text"), n, num, den)
-    of = components(found)
-    known = materialize(rows.distinct().join(of.withColumnRenamed("node", "sid"), "sid", "left").select("rid", "size", F.coalesce("component", "sid").alias("group")), "known")
-    ids = texts.select("rid", *keep)
-    placed = materialize(ids.join(known, "rid"), "rows")
-    least = materialize(placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("group", "least"), "least")
+    with temporary(docs.sparkSession) as keep_table:
+        rows, found = links(texts.select("rid", "text"), n, num, den)
+        of = components(found)
+        known = materialize(rows.distinct().join(of.withColumnRenamed("node", "sid"), "sid", "left").select("rid", "size", F.coalesce("component", "sid").alias("group")), "known")
+        ids = texts.select("rid", *keep)
+        placed = keep_table(materialize(ids.join(known, "rid"), "rows"))
+        least = keep_table(materialize(placed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("group", "least"), "least"))
     return placed.join(least, "group", "left").select(*keep, F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -229,16 +230,17 @@ def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     Texts stay where they are read but for the few rows of components with several.
     """
     rid = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    rows, found = links(docs.select(rid.alias("rid"), F.coalesce("text", F.lit("")).alias("text")), n, num, den)
-    of = components(found)
-    placed = rows.where("sid is not null").join(of.withColumnRenamed("node", "sid"), "sid", "left").select("rid", F.coalesce("component", "sid").alias("group"))
-    ids = docs.select(rid.alias("rid"), "doc_id").distinct()
-    placed = materialize(placed.groupBy("rid", "group").agg(F.count("*").alias("copies")).join(ids, "rid"), "placed")
-    first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f"), F.sum("copies").alias("all")).where("all > 1").select(F.col("group"), F.col("f.rid").alias("first"))
-    first = materialize(first, "first")
-    several = materialize(placed.join(first, "group").select("rid", (F.col("rid") == F.col("first")).alias("stays")), "several")
+    with temporary(docs.sparkSession) as keep:
+        rows, found = links(docs.select(rid.alias("rid"), F.coalesce("text", F.lit("")).alias("text")), n, num, den)
+        of = components(found)
+        placed = rows.where("sid is not null").join(of.withColumnRenamed("node", "sid"), "sid", "left").select("rid", F.coalesce("component", "sid").alias("group"))
+        ids = docs.select(rid.alias("rid"), "doc_id").distinct()
+        placed = materialize(placed.groupBy("rid", "group").agg(F.count("*").alias("copies")).join(ids, "rid"), "placed")
+        first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f"), F.sum("copies").alias("all")).where("all > 1").select(F.col("group"), F.col("f.rid").alias("first"))
+        first = materialize(first, "first")
+        several = keep(materialize(placed.join(first, "group").select("rid", (F.col("rid") == F.col("first")).alias("_stays")), "several"))
     marked = docs.withColumn("_rid", rid)
     near = member(bloom(several, "rid", several.count()))("_rid")
     met = marked.where(near).join(several.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    kept = met.where("stays").dropDuplicates(["_rid"]).unionByName(met.where("stays is null"))
-    return marked.where(~near).drop("_rid").unionByName(kept.drop("_rid", "stays"))
+    kept = met.where("_stays").dropDuplicates(["_rid"]).unionByName(met.where("_stays is null"))
+    return marked.where(~near).drop("_rid").unionByName(kept.drop("_rid", "_stays"))

@@ -65,8 +65,15 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         _made[before:] = kept
 
 
+#: Rows that cross to a Python worker at once, unless the session sets less: whole texts are long.
+BATCH = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table of the data folder, read by Spark alone."""
+    """A Parquet table of the data folder, read by Spark alone; its rows go to Python in batches of BATCH at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
