@@ -2,10 +2,12 @@
 
 Vectors are cut into subspaces of a few dimensions, each coded in four bits. Codebooks and codes minimise the
 residual with its part along the vector weighted `ETA` times, since that part moves the products that matter.
-A block of queries scans a block of codes by lookup tables, two subspaces to a byte; the best `keep` of each block
-are scored exactly in double precision on the original vectors, and the best `k` of all blocks are the answer.
+A block of queries scans a block of codes by lookup tables, two subspaces to a byte. The best `keep` of each block are
+scored exactly in double precision on the original vectors, which sets a bar: the k-th of their scores. Then every row
+is scored exactly whose code score plus its error bound, the norm of its residual times that of the query, reaches the
+bar. So each block's best k are exact, ties included, and the best `k` of all blocks are the answer.
 
-Codebooks are fitted on a bounded sample; every row is coded, scanned by every query, and can be found.
+Codebooks are fitted on a bounded sample; they decide how many rows are scored exactly, never which are found.
 """
 
 from __future__ import annotations
@@ -82,6 +84,13 @@ class Quantiser:
                 along = rest + turn[m][at, out[:, m]]
         return out
 
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each row's code score can be from its product with a query of norm 1, rounding included."""
+        m, _, d = self.books.shape
+        x = _padded(x, d)
+        gap = np.sqrt(((x - self.books[np.arange(m), codes].reshape(len(x), -1)) ** 2).sum(1))
+        return gap * (1 + 1e-9) + 4e-16 * (m * d + 8) * (np.sqrt((x * x).sum(1)) + gap)
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         """Two codes to a byte."""
         if codes.shape[1] % 2:
@@ -91,9 +100,9 @@ class Quantiser:
     def tables(self, query: np.ndarray) -> np.ndarray:
         """For each byte of packed codes the 256 partial products with a query."""
         m, _, d = self.books.shape
-        t = np.einsum("mjd,md->mj", self.books, _padded(query[None], d)[0].reshape(m, d)).astype(np.float32)
+        t = np.einsum("mjd,md->mj", self.books, _padded(query[None], d)[0].reshape(m, d))
         if m % 2:
-            t = np.concatenate([t, np.zeros((1, 16), np.float32)])
+            t = np.concatenate([t, np.zeros((1, 16))])
         return (t[1::2, :, None] + t[::2, None, :]).reshape(len(t) // 2, 256)
 
 
@@ -111,7 +120,7 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search(vectors: DataFrame, wanted: Column, k: int = 20, queries: int = QUERIES, rows: int = ROWS, keep: int = KEEP, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row where `wanted` holds, the k rows of largest inner product found.
+    """query_id, rank, vec_id, score: for each row where `wanted` holds, the k rows of largest inner product.
 
     A row isn't its own candidate. Vectors that are null, empty, zero, of another width than the commonest, or hold a
     null or non-finite component take no part, as do rows without vec_id; ties go to the smaller vec_id; with fewer
@@ -129,30 +138,37 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, queries: int = QUERI
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                packed = quantiser.pack(quantiser.codes(matrix(b.column("embedding"))))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in packed], pa.binary())], ["vec_id", "embedding", "codes"])
+                x = matrix(b.column("embedding"))
+                codes = quantiser.codes(x)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in quantiser.pack(codes)], pa.binary()), pa.array(quantiser.residuals(x, codes))], ["vec_id", "embedding", "codes", "gap"])
 
-    coded = materialize(fit.mapInArrow(code, "vec_id long, embedding array<float>, codes binary"), "codes")
+    coded = materialize(fit.mapInArrow(code, "vec_id long, embedding array<float>, codes binary, gap double"), "codes")
     asked = coded.where(wanted).select(F.col("vec_id").alias("query_id"), "embedding")
     qb, rb = max(1, -(-asked.count() // queries)), max(1, -(-coded.count() // rows))
     left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("r"), "query_id", "embedding")
-    right = coded.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(rb)).cast("int").alias("r"), "vec_id", "embedding", "codes")
+    right = coded.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(rb)).cast("int").alias("r"), "vec_id", "embedding", "codes", "gap")
 
     def scan(key, qs, rs):
         found: list[list] = [[], [], []]
         if qs.num_rows and rs.num_rows:
             ids, order = np.unique(rs.column("vec_id").to_numpy(), return_index=True)
-            x = matrix(rs.column("embedding"))[order]
+            x = np.asfortranarray(matrix(rs.column("embedding"))[order])
+            gap = rs.column("gap").to_numpy()[order]
             codes = np.frombuffer(b"".join(rs.column("codes").to_pylist()), np.uint8).reshape(len(x) if len(order) == rs.num_rows else rs.num_rows, -1)[order]
             codes = np.ascontiguousarray(codes.T)
             who, first = np.unique(qs.column("query_id").to_numpy(), return_index=True)
             for q, v in zip(who.tolist(), matrix(qs.column("embedding"))[first], strict=True):
-                near = np.zeros(len(x), np.float32)
-                for t, c in zip(quantiser.tables(v), codes, strict=True):
-                    near += t[c]
-                best = np.argpartition(-near, keep)[: keep + 1] if len(near) > keep + 1 else np.arange(len(near))
-                best = best[ids[best] != q]
-                exact = products(x[best], v)
+                own = ids != q
+                best = np.flatnonzero(own)
+                if len(best) > max(keep, k):
+                    near = np.zeros(len(x))
+                    for t, c in zip(quantiser.tables(v), codes, strict=True):
+                        near += t[c]
+                    near[~own] = -np.inf
+                    seed = np.argpartition(-near, max(keep, k) - 1)[: max(keep, k)]
+                    bar = np.partition(products(x[seed], v), -k)[-k]
+                    best = np.flatnonzero(own & ~(near + gap * np.sqrt(v @ v) * (1 + 1e-9) < bar))
+                exact = products(x[best], v) if 2 * len(best) < len(x) else products(x, v)[best]
                 top = np.lexsort((ids[best], -exact))[:k]
                 found[0].append(np.full(len(top), q))
                 found[1].append(ids[best][top])
