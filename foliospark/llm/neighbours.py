@@ -5,9 +5,10 @@ key. Each is compared with the next `reach` in that order; the pairs of all pass
 links. Equal vectors are one, with their number, so a crowd of copies takes one place in the order.
 
 An order is cut into blocks of equal length and a block gets the first `reach` rows of the next, so windows cross
-blocks, partitions and labels of any size. Since a window is bounded, the members of a dense group can have more
-links than it shows; so within each component, whose rows the passes have found, all links are counted exactly, in
-blocks of rows, without writing a pair.
+blocks, partitions and labels of any size. Since a window is bounded, a dense group can have more links than it shows,
+within a component and across. So the passes only give the first components: then all rows of a label are compared in
+blocks, where each task writes no more than a forest of the components that it joins, and within each component all
+links are counted exactly, again in blocks, without writing a pair.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from foliospark.llm.components import components
 from foliospark.llm.shared import materialize, temporary
 from foliospark.llm.vectors import matrix, usable, width
 
-PASSES, BITS, REACH, BLOCK, CROWD = 10, 32, 48, 4096, 1024
+PASSES, BITS, REACH, BLOCK, CROWD, LABEL = 10, 32, 48, 4096, 1024, 4096
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -93,6 +94,33 @@ def links(vectors: DataFrame, cosine: float, passes: int = PASSES, bits: int = B
     return materialize(dealt.groupBy("block").applyInArrow(compare, "a long, b long").where("a <> b").distinct(), "links")
 
 
+def _bridges(members: DataFrame, cosine: float) -> DataFrame:
+    """Edges (a, b) that join all components between which members (id, label, component, embedding) link."""
+    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / LABEL).cast("int").alias("blocks"))
+    placed = materialize(members.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "label")
+    after, before = F.explode(F.sequence("own", F.col("blocks") - 1)), F.explode(F.sequence(F.lit(0), "own"))
+    left = placed.select("label", F.col("own").alias("i"), after.alias("j"), F.lit(True).alias("left"), "component", "embedding")
+    right = placed.select("label", before.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "component", "embedding")
+
+    def join(key, t):
+        side, c = t.column("left").to_numpy(), t.column("component").to_numpy().copy()
+        x = _units(t.column("embedding"))
+        l, r = np.flatnonzero(side), np.flatnonzero(~side)
+        y, a, b = x[r].T, [], []
+        for s in range(0, len(l), 512):
+            hit = x[l[s : s + 512]] @ y >= cosine
+            for k in np.flatnonzero((hit & (c[l[s : s + 512], None] != c[None, r])).any(axis=1)).tolist():
+                met = np.unique(np.append(c[r[hit[k]]], c[l[s + k]]))
+                if len(met) > 1:
+                    c[np.isin(c, met)] = met[0]
+                    a.append(np.full(len(met) - 1, met[0]))
+                    b.append(met[1:])
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.table({"a": a, "b": b})
+
+    return left.union(right).groupBy("label", "i", "j").applyInArrow(join, "a long, b long")
+
+
 def _counts(members: DataFrame, cosine: float) -> DataFrame:
     """id, linked: for members (id, component, n, embedding) the rows of other members that they link with."""
     blocks = members.groupBy("component").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"))
@@ -128,6 +156,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, **options) -> Data
         of = materialize(fit.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "of")
         single = materialize(fit.join(of.select(F.col("id").alias("vec_id"), "label", "h1", "h2", "n"), ["vec_id", "label", "h1", "h2"]).dropDuplicates(["vec_id", "label"]).select(F.col("vec_id").alias("id"), "label", "n", "embedding"), "single")
         comp = components(links(single.select("id", "label", "embedding"), cosine, **options)).select(F.col("node").alias("id"), "component")
+        comp = materialize(comp, "found")
+        members = single.where(F.size("embedding") == width(single)).join(comp, "id", "left").select("id", "label", F.coalesce("component", "id").alias("component"), "embedding")
+        stars = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        comp = components(stars.union(_bridges(members, cosine))).select(F.col("node").alias("id"), "component")
         comp = materialize(comp, "components")
         linked = _counts(single.join(comp, "id").select("id", "component", "n", "embedding"), cosine)
         known = of.join(comp, "id", "left").join(linked, "id", "left")
