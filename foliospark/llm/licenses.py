@@ -1,6 +1,8 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line, or a sentence of one. A block meets a template when it holds at least THRESHOLD of the template's
+A block is a line, or a sentence of one. Notices wrapped over lines are met too: in a sentence that runs over lines, up
+to a blank line, each window of a template's length over THRESHOLD is a block of its own, where it holds more of the
+template than any line does. A block meets a template when it holds at least THRESHOLD of the template's
 distinct words. Words are ordered by their frequency in all documents, rarest first. A block that meets the
 threshold must hold one of the template's first `|T| - need + 1` words (prefix filter), have at least `need` words
 (length filter), and, from the place of its first match in that order, enough words of the template left
@@ -76,6 +78,7 @@ class Matcher:
             for h in order[: len(order) - need + 1]:
                 self.index.setdefault(h, []).append(len(self.templates))
             self.templates.append((order, need, label))
+        self.lengths = [math.ceil(len(hashes(text)) / threshold) for text, _ in templates]
         self.keys = np.array(sorted(self.index), np.uint64)
         self.screen = np.zeros(1 << 16, bool)
         self.screen[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -97,6 +100,36 @@ class Matcher:
                 found.append((label, n / len(order)))
         return found
 
+    def wrapped(self, h: list[int], line: list[int]) -> list[tuple[int, int, str, float]]:
+        """First word, words, label and containment of each template's best window over a sentence's words.
+
+        Only where it spans lines and holds more of the template than each line of the sentence does.
+        """
+        found = []
+        for t in {t for x in set(h) if x in self.index for t in self.index[x]}:
+            order, need, label = self.templates[t]
+            wanted, size = set(order), self.lengths[t]
+            at = [i for i, x in enumerate(h) if x in wanted]
+            if len({h[i] for i in at}) < need:
+                continue
+            of: dict[int, set[int]] = {}
+            for i in at:
+                of.setdefault(line[i], set()).add(h[i])
+            most, best, held, low = max(need - 1, *map(len, of.values())), None, {}, 0
+            for k, i in enumerate(at):
+                held[h[i]] = held.get(h[i], 0) + 1
+                while at[low] <= i - size:
+                    x = h[at[low]]
+                    held[x] -= 1
+                    if not held[x]:
+                        del held[x]
+                    low += 1
+                if len(held) > most:
+                    most, best = len(held), (at[low], i - at[low] + 1)
+            if best:
+                found.append((*best, label, most / len(order)))
+        return found
+
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks of every row.
@@ -145,6 +178,24 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
                     more[d].add(label)
                     score[d] = max(score[d], share)
                     blocks[d].append({"first": int(a - at[d]), "words": int(z - a), "label": label, "share": share})
+            # sentences that run over lines, up to a blank line
+            lines = np.flatnonzero(data == 10)
+            ink = np.concatenate([[0], np.cumsum(data > 32)])
+            blank = lines[1:][ink[lines[1:]] == ink[lines[:-1]]]
+            stop = np.zeros(len(data), bool)
+            stop[:-1] = _STOP[data[:-1]] & (data[1:] <= 32)
+            stop[blank] = True
+            long = np.union1d(np.flatnonzero(stop) + 1, off)
+            for k in np.unique(np.searchsorted(long, start[hit], side="right")).tolist():
+                a, z = np.searchsorted(start, [long[k - 1], long[k]])
+                line = np.searchsorted(lines, start[a:z])
+                if line[0] == line[-1]:
+                    continue
+                d = int(np.searchsorted(at, a, side="right")) - 1
+                for first, count, label, share in matcher.wrapped(h[a:z].tolist(), line.tolist()):
+                    more[d].add(label)
+                    score[d] = max(score[d], share)
+                    blocks[d].append({"first": int(a - at[d]) + first, "words": count, "label": label, "share": share})
         cols = [
             b.column("doc_id"), pa.array(np.diff(at)), pa.array([len(x) for x in base], pa.int64()),
             pa.array([min(x, default=None) for x in base], pa.int64()), pa.array([max(x, default=None) for x in base], pa.int64()),
