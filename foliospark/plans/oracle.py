@@ -201,6 +201,7 @@ SQL: dict[str, str] = {
     "expanded_search": f"WITH {_WORDNET}, wanted AS ({_CAPPED}), " + _search("bm25", 10, "wanted").removeprefix("WITH ") + " SELECT query_id, doc_id, score, rank FROM ranked",
     "char_histogram": "SELECT property, ch, count(*) AS cnt FROM (SELECT 'text' AS property, unnest(string_split(text, '')) AS ch FROM documents UNION ALL SELECT 'lang', unnest(string_split(lang, '')) FROM documents) WHERE ch <> '' GROUP BY ALL",
     "json_reader": "SELECT doc_id::VARCHAR AS id, substring(text, 1, 40) AS title, 0 AS year, '' AS venue, lang AS fields, 0 AS n_authors FROM documents WHERE doc_id % 10 <> 3",
+    "json_reader_whole": "SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS text FROM documents",
     "json_props": "SELECT event_type, count(*) AS n, count(props) AS parsed FROM events GROUP BY ALL",
     "author_strings": "SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_suppkey) AS names, string_agg('[' || s_suppkey || ', ' || (s_suppkey + 1) || ']', ',' ORDER BY s_suppkey) AS ids FROM supplier GROUP BY ALL",
     "doc_record_size": "SELECT doc_id, CAST(16 + strlen(coalesce(text, '')) + strlen(source) + 2 + strlen(lang) AS BIGINT) AS bytes FROM documents",

@@ -454,6 +454,14 @@ def json_reader(spark, d):
     return corpus.parsed(lines).select("id", "title", "year", "venue", F.array_join("fieldsOfStudy", ",").alias("fields"), F.size("authors").alias("n_authors"))
 
 
+@query
+def json_reader_whole(spark, d):
+    """Whole texts as JSON lines, read back by the corpus reader: line ends, quotes and all."""
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("paperAbstract"))).alias("value"))
+    return corpus.parsed(lines).select("id", F.col("paperAbstract").alias("text"))
+
+
 @query
 def json_props(spark, d):
     """Events' JSON properties by an explicit schema, counted by type."""
