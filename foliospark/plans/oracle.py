@@ -164,6 +164,7 @@ SQL: dict[str, str] = {
     "postings_list": f"WITH {POSTINGS} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM post GROUP BY term",
     "postings_offset": f"WITH {INDEX} SELECT term, df, CAST(coalesce(sum(df * 8) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM vocab",
     "vocabulary_sorted": f"WITH {INDEX} SELECT term, df FROM vocab ORDER BY term LIMIT 1000",
+    "vocabulary_ranked": f"WITH {INDEX} SELECT term, df, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS place FROM vocab",
     "merge_query_terms": f"SELECT query_id, term, sum(weight) AS weight, min(pos) AS pos FROM {_values([*ASKED, (1, 3, 'thing', 0.25), (2, 2, 'the', 1.5)], 'query_id, pos, term, weight')} GROUP BY ALL",
     "query_df_lookup": f"WITH {INDEX}, {_terms()} SELECT query_id, term, df FROM q",
     "postings_lookup": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM post WHERE term IN ('thing', 'erble', 'zzzz')",

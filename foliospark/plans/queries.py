@@ -179,6 +179,12 @@ def vocabulary_sorted(spark, d):
     return the_index(spark, d).vocabulary.orderBy("term").limit(1000)
 
 
+@query
+def vocabulary_ranked(spark, d):
+    """The whole vocabulary, each term with its place in byte order."""
+    return corpus.numbered(the_index(spark, d).vocabulary, "term").select("term", "df", F.col("doc_id").alias("place"))
+
+
 # retrieval
 
 
