@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.sources.scratch import materialize
+from foliospark.sources.scratch import Bucketed, materialize, parallelism
 
 
 def entries(docs: DataFrame, column: str) -> DataFrame:
@@ -25,25 +25,32 @@ def edges(out: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, threshold: float = 1e-8, iterations: int | None = None) -> DataFrame:
     """(id, pagerank): all start at 1 / N; sinks give to everyone alike; ends when no score moves by more than threshold.
 
-    With `iterations`, exactly so many rounds. Edges and out-degrees are written once; a round writes one number for
-    each node, so lineage never grows and no round is lost with an executor. Only the sinks' sum and the largest
+    With `iterations`, exactly so many rounds. Links are bucketed by source and scores by node once, so a round
+    shuffles nothing but the sums of what links give. A round writes one number for each node and deletes the round
+    before, so lineage and disk don't grow and no round is lost with an executor. Only the sinks' sum and the largest
     move, two numbers a round, reach the driver.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
+    buckets = parallelism(nodes.sparkSession)
     degree = links.groupBy("src").agg(F.count("*").alias("degree"))
     own = nodes.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    scores = materialize(own.select("id", "degree", F.lit(1.0 / n).alias("pagerank"), F.lit(0.0).alias("moved")), "scores")
-    links, done = materialize(links, "links"), 0
+    scores = Bucketed(own.select("id", "degree", F.lit(1.0 / n).alias("pagerank"), F.lit(0.0).alias("moved")), "id", buckets)
+    edges, done = Bucketed(links.select("src", "dst"), "src", buckets), 0
     while True:
-        sink, moved = scores.agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("pagerank"))), F.lit(0.0)), F.max("moved")).first()
+        sink, moved = scores.read().agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("pagerank"))), F.lit(0.0)), F.max("moved")).first()
         if done == iterations or iterations is None and done and moved <= threshold:
-            return scores.select("id", "pagerank")
-        shares = scores.where("degree > 0").select(F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("share"))
-        given = links.join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
+            out = materialize(scores.read().select("id", "pagerank"), "pagerank")
+            scores.drop()
+            edges.drop()
+            return out
+        shares = scores.read().where("degree > 0").select(F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("share"))
+        given = edges.read().join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
         score = F.lit(damping) * (F.lit(sink / n) + F.coalesce("given", F.lit(0.0))) + F.lit((1.0 - damping) / n)
-        scores = materialize(scores.join(given, "id", "left").select("id", "degree", score.alias("pagerank"), F.abs(score - F.col("pagerank")).alias("moved")), "scores")
+        moves = scores.read().join(given, "id", "left").select("id", "degree", score.alias("pagerank"), F.abs(score - F.col("pagerank")).alias("moved"))
+        before, scores = scores, Bucketed(moves, "id", buckets)
+        before.drop()
         done += 1
 
 

@@ -8,7 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.tokens import DELIMITERS, PLAIN, terms, tokens
+from foliospark.functions.stems import stemmed
+from foliospark.functions.tokens import DELIMITERS, PLAIN, not_stopword, terms, tokens
+from foliospark.sources import scratch
+from foliospark.sources.scratch import materialize, parallelism
 
 #: Columns of a corpus document to the delimiter set of each; arrays are split one element at a time.
 CORPUS_FIELDS = {"title": "title", "paperAbstract": "abstract", "entities": "entities", "fieldsOfStudy": "plain", "authors": "authors", "year": "plain", "venue": "venue", "journalName": "journal", "sources": "plain"}
@@ -43,8 +46,17 @@ def token_rows(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[s
 
 
 def postings(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] = (), stemmer: bool = False) -> DataFrame:
-    """(term, doc_id, tf). The one shuffle of the build; a document's repeats are summed before it."""
-    return token_rows(docs, fields, stopwords, stemmer).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """(term, doc_id, tf). The one shuffle of the build is that of the documents, by doc_id, which are smaller than
+    their postings: it deals few large files to all tasks too, and repeats are then summed where they are.
+
+    Stems are looked up for a document's distinct tokens, after they are counted.
+    """
+    needed = docs.select("doc_id", *fields).repartition(parallelism(docs.sparkSession), "doc_id")
+    if not stemmer:
+        return token_rows(needed, fields, stopwords).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    rows = needed.select("doc_id", F.explode(field_tokens(needed, fields)).alias("token")).where(not_stopword(F.col("token"), stopwords))
+    counted = rows.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return stemmed(counted, "token", "stem").groupBy(F.lower("stem").alias("term"), "doc_id").agg(F.sum("n").alias("tf"))
 
 
 def vocabulary(posts: DataFrame) -> DataFrame:
@@ -80,8 +92,6 @@ def offsets(vocab: DataFrame) -> DataFrame:
     A prefix sum without one task for all: range partitions are summed, the few sums accumulated, and each partition
     adds what stands before it.
     """
-    from foliospark.sources.scratch import materialize
-
     ranged = materialize(vocab.repartitionByRange("term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("part").agg(F.sum("df").alias("n"))  # one row a partition
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -107,14 +117,17 @@ class Index:
         return bool(self.stopwords)
 
 
-def build(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] = (), stemmer: bool = False, pagerank: DataFrame | None = None, scratch: bool = True) -> Index:
-    """Index docs (doc_id and the fields). Postings are written once to the shared folder, since all else reads them."""
-    from foliospark.sources.scratch import materialize
+def in_term_order(posts: DataFrame) -> DataFrame:
+    """Postings by ranges of terms, so that a look-up's filter skips all files and row groups but a few."""
+    return posts.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
 
-    hold = materialize if scratch else (lambda df, name: df)
+
+def build(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] = (), stemmer: bool = False, pagerank: DataFrame | None = None, written: bool = True) -> Index:
+    """Index docs (doc_id and the fields). Postings are written once to the shared folder, in term order, since all else reads them."""
+    hold = materialize if written else (lambda df, name: df)
     words = tuple(sorted(set(stopwords)))
-    posts = hold(postings(docs, fields, words, stemmer), "postings")
-    vocab = hold(vocabulary(posts), "vocabulary")
+    posts = hold(in_term_order(postings(docs, fields, words, stemmer)), "postings")
+    vocab = hold(vocabulary(posts).sortWithinPartitions("term"), "vocabulary")
     lengths = document_lengths(docs, posts)
     meta = metadata(lengths).first()
     stats = lengths.join(weights(posts, vocab, meta["documents"]), "doc_id", "left")
@@ -123,32 +136,45 @@ def build(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] =
     return Index(posts, vocab, stats, docs, meta["documents"], meta["avgdl"] or 0.0, stemmer, words)
 
 
+META = "documents long, avgdl double, use_stemmer boolean, use_stopwords boolean, stopwords array<string>"
+
+
 def save(index: Index, path: str, mode: str = "errorifexists") -> None:
     """Write the tables under path; postings and vocabulary in term order, so that a look-up reads few row groups."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+    in_term_order(index.postings).write.mode(mode).parquet(f"{path}/postings")
     index.vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/vocabulary")
     index.doc_stats.write.mode(mode).parquet(f"{path}/doc_stats")
     index.display.write.mode(mode).parquet(f"{path}/documents")
-    spark = index.postings.sparkSession
     row = [(index.documents, index.avgdl, index.use_stemmer, index.use_stopwords, list(index.stopwords))]
-    spark.createDataFrame(row, "documents long, avgdl double, use_stemmer boolean, use_stopwords boolean, stopwords array<string>").write.mode(mode).json(f"{path}/index_meta")
+    index.postings.sparkSession.createDataFrame(row, META).write.mode(mode).json(f"{path}/index_meta")
+
+
+def update_pagerank(spark: SparkSession, path: str, pagerank: DataFrame) -> Index:
+    """Put (doc_id, pagerank) into a saved index, 0 for documents that it lacks; nothing else is written anew.
+
+    The new statistics stand beside the old until they are whole, and take their name then.
+    """
+    index = load(spark, path)
+    stats = index.doc_stats.drop("pagerank").join(pagerank.select("doc_id", F.col("pagerank").cast("double")), "doc_id", "left")
+    stats.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))).write.mode("overwrite").parquet(f"{path}/doc_stats_new")
+    scratch.delete(spark, f"{path}/doc_stats")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(jvm.Path(f"{path}/doc_stats_new"), jvm.Path(f"{path}/doc_stats"))
+    return load(spark, path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/index_meta")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return scratch.exists(spark, f"{path}/index_meta")
 
 
 def delete(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return scratch.delete(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """Open a saved index; nothing but its metadata is read yet."""
     if not exists(spark, path):
         raise IndexNotLoadedError(path)
-    m = spark.read.schema("documents long, avgdl double, use_stemmer boolean, use_stopwords boolean, stopwords array<string>").json(f"{path}/index_meta").first()
+    m = spark.read.schema(META).json(f"{path}/index_meta").first()
     read = {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocabulary", "doc_stats", "documents")}
     return Index(read["postings"], read["vocabulary"], read["doc_stats"], read["documents"], m["documents"], m["avgdl"], m["use_stemmer"], tuple(m["stopwords"]))

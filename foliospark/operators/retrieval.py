@@ -1,12 +1,15 @@
 """Ranked retrieval for many queries at once.
 
-Query terms are rows (query_id, pos, term, weight). Their number is checked before they are broadcast; beyond the
-check the join shuffles. No step collects a posting list: scores are partial and final hash aggregates.
+Query terms are rows (query_id, pos, term, weight). They are read once: up to SMALL of them become a local table with
+their document frequencies, which Spark broadcasts, and whose words reach the scans as literals; more stay a
+distributed table, and joins are planned by the sizes met at run time. No step collects a posting list: scores are
+partial and final hash aggregates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +18,8 @@ from foliospark.functions.scalars import finite, ratio
 from foliospark.operators.index import Index
 
 K1, B = 2.0, 0.75
-#: Query terms up to this number are sent to every task.
-SMALL = 100_000
+#: Query terms up to this number are sent to every task; and words up to this number are pushed to the scans.
+SMALL, LITERALS = 50_000, 512
 
 
 def merge_terms(query: DataFrame) -> DataFrame:
@@ -24,23 +27,45 @@ def merge_terms(query: DataFrame) -> DataFrame:
     return query.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"), F.min("pos").alias("pos"))
 
 
-def small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df marked for broadcast if it has no more than `most` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+@dataclass(frozen=True)
+class Terms:
+    """Merged query terms with df; `few`: no more than SMALL, so that nothing with a row a query is large either."""
 
+    frame: DataFrame
+    few: bool
+    words: tuple[str, ...] | None = None
 
-def term_frequencies(query: DataFrame, index: Index) -> DataFrame:
-    """Merged query terms with df, 0 where the index lacks the term.
+    def sent(self, df: DataFrame) -> DataFrame:
+        """df, of no more rows than there are query terms, marked for broadcast if these are few."""
+        return F.broadcast(df) if self.few else df
 
-    The terms' distinct literals reach the Parquet scan of the vocabulary where they are few.
-    """
+    def narrow(self, table: DataFrame) -> DataFrame:
+        """The rows of the queries' words, where their number allows literals; by the join alone else."""
+        return table if self.words is None else table.where(F.col("term").isin(list(self.words)))
+
+
+def resolve(query: DataFrame | Terms, index: Index) -> Terms:
+    """Query terms with df, 0 where the index lacks the term. Reads the query table once."""
+    if isinstance(query, Terms):
+        return query
     merged = merge_terms(query)
-    return merged.join(_narrow(index.vocabulary, merged), "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    rows = merged.limit(SMALL + 1).collect()
+    spark = query.sparkSession
+    few = len(rows) <= SMALL
+    if few:
+        merged = spark.createDataFrame(rows, merged.schema)
+    words = tuple(sorted({r["term"] for r in rows if r["term"] is not None}))
+    words = words if few and len(words) <= LITERALS else None
+    own = Terms(merged, few, words)
+    found = merged.join(own.narrow(index.vocabulary), "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    if few:
+        found = spark.createDataFrame(found.collect(), found.schema)
+    return Terms(found, few, words)
 
 
-def _narrow(table: DataFrame, merged: DataFrame, literals: int = 512) -> DataFrame:
-    words = [r["term"] for r in merged.select("term").distinct().limit(literals + 1).collect()]
-    return table.where(F.col("term").isin(words)) if words and len(words) <= literals else table
+def term_frequencies(query: DataFrame, index: Index) -> DataFrame:
+    """Merged query terms with df, 0 where the index lacks the term."""
+    return resolve(query, index).frame
 
 
 def lookup(index: Index, words: Iterable[str]) -> DataFrame:
@@ -48,69 +73,69 @@ def lookup(index: Index, words: Iterable[str]) -> DataFrame:
     return index.postings.where(F.col("term").isin(list(words)))
 
 
-def _matched(query: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
-    """Query terms with df, and their postings joined to them."""
-    q = small(term_frequencies(query, index))
-    return q, _narrow(index.postings, q).join(q, "term")
+def _matched(q: Terms, index: Index) -> DataFrame:
+    """Postings of the query terms, with these."""
+    return q.narrow(index.postings).join(q.sent(q.frame), "term")
 
 
-def existential(query: DataFrame, index: Index) -> DataFrame:
+def existential(query: DataFrame | Terms, index: Index) -> DataFrame:
     """(query_id, doc_id, score 1.0) for documents with any of a query's terms."""
-    return _matched(query, index)[1].select("query_id", "doc_id").distinct().withColumn("score", F.lit(1.0))
+    return _matched(resolve(query, index), index).select("query_id", "doc_id").distinct().withColumn("score", F.lit(1.0))
 
 
-def bm25p(query: DataFrame, index: Index) -> DataFrame:
+def bm25p(query: DataFrame | Terms, index: Index) -> DataFrame:
     """BM25+ scores before they are normalised.
 
     idf = ln(N / (1 + df)) may be negative. Every query term adds its idf to every match, also terms that the document
     or the whole index lacks, so each query has a constant besides the sum over its postings.
     """
-    n = float(index.documents)
-    q, matched = _matched(query, index)
+    q, n = resolve(query, index), float(index.documents)
     idf = F.log(F.lit(n) / (F.lit(1.0) + F.col("df")))
-    constant = q.groupBy("query_id").agg(F.sum(idf).alias("constant"))
+    constant = q.frame.groupBy("query_id").agg(F.sum(idf).alias("constant"))
     f = F.col("tf") * F.col("weight")
     length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("token_count") / F.lit(index.avgdl or 1.0))
     part = idf * (f * (K1 + 1) / (f + length))
-    sums = matched.join(index.doc_stats.select("doc_id", "token_count"), "doc_id").groupBy("query_id", "doc_id").agg(F.sum(part).alias("part"))
-    return sums.join(small(constant), "query_id").select("query_id", "doc_id", (F.col("part") + F.col("constant")).alias("score"))
+    sums = _matched(q, index).join(index.doc_stats.select("doc_id", "token_count"), "doc_id").groupBy("query_id", "doc_id").agg(F.sum(part).alias("part"))
+    return sums.join(q.sent(constant), "query_id").select("query_id", "doc_id", (F.col("part") + F.col("constant")).alias("score"))
 
 
-def vsm(query: DataFrame, index: Index) -> DataFrame:
+def vsm(query: DataFrame | Terms, index: Index) -> DataFrame:
     """Vector space scores before they are normalised; NaN where a norm is 0.
 
     The query side weighs w / max w by ln(N / (1 + df)), and the query weight counts on the document side again.
     """
-    n = float(index.documents)
-    q, matched = _matched(query, index)
+    q, n = resolve(query, index), float(index.documents)
     idf = F.log(F.lit(n) / (F.lit(1.0) + F.col("df")))
-    vector = q.select("query_id", "term", (F.col("weight") / F.max("weight").over(Window.partitionBy("query_id")) * idf).alias("qw"))
+    vector = q.frame.select("query_id", "term", (F.col("weight") / F.max("weight").over(Window.partitionBy("query_id")) * idf).alias("qw"))
     norm = vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("norm"))
     stats = index.doc_stats.select("doc_id", "max_tf", "vsm_weight")
-    sums = matched.join(small(vector), ["query_id", "term"]).join(stats, "doc_id")
+    sums = _matched(q, index).join(q.sent(vector), ["query_id", "term"]).join(stats, "doc_id")
     part = F.col("qw") * (F.col("tf") * F.col("weight") / F.col("max_tf")) * idf
     sums = sums.groupBy("query_id", "doc_id").agg(F.sum(part).alias("dot"), F.first("vsm_weight").alias("vsm_weight"))
-    return sums.join(small(norm), "query_id").select("query_id", "doc_id", ratio(F.col("dot"), F.col("vsm_weight") * F.col("norm")).alias("score"))
+    return sums.join(q.sent(norm), "query_id").select("query_id", "doc_id", ratio(F.col("dot"), F.col("vsm_weight") * F.col("norm")).alias("score"))
 
 
 MODELS = {"okapi": bm25p, "vsm": vsm, "existential": existential}
 
 
-def normalised(scores: DataFrame) -> DataFrame:
-    """Scores over their query's largest; the largest starts at 0, ignores NaN, and 0 counts as 1."""
+def normalised(scores: DataFrame, few: bool = False) -> DataFrame:
+    """Scores over their query's largest; the largest starts at 0, ignores NaN, and 0 counts as 1.
+
+    few: the queries are known to be few, so that their largest scores can be sent to every task.
+    """
     best = scores.groupBy("query_id").agg(F.greatest(F.max(F.when(finite(F.col("score")), F.col("score"))), F.lit(0.0)).alias("best"))
     best = best.select("query_id", F.when(F.col("best") == 0, 1.0).otherwise(F.col("best")).alias("best"))
-    return scores.join(small(best), "query_id").withColumn("score", F.col("score") / F.col("best")).drop("best")
+    return scores.join(F.broadcast(best) if few else best, "query_id").withColumn("score", F.col("score") / F.col("best")).drop("best")
 
 
-def blended(scores: DataFrame, index: Index, weight: float) -> DataFrame:
+def blended(scores: DataFrame, index: Index, weight: float, few: bool = False) -> DataFrame:
     """score (1 - w) + pagerank / largest pagerank of the query's matches, times w; weight 0 changes nothing."""
     if not weight:
         return scores
     ranked = scores.join(index.doc_stats.select("doc_id", "pagerank"), "doc_id")
     best = ranked.groupBy("query_id").agg(F.max("pagerank").alias("best"))
     share = ratio(F.col("pagerank"), F.col("best"))
-    return ranked.join(small(best), "query_id").select("query_id", "doc_id", (F.col("score") * (1 - weight) + share * weight).alias("score"))
+    return ranked.join(F.broadcast(best) if few else best, "query_id").select("query_id", "doc_id", (F.col("score") * (1 - weight) + share * weight).alias("score"))
 
 
 def top(scores: DataFrame, k: int | None, digits: int | None = None) -> DataFrame:
@@ -129,12 +154,17 @@ def totals(scores: DataFrame) -> DataFrame:
     return scores.groupBy("query_id").agg(F.count("*").alias("total"))
 
 
-def search(query: DataFrame, index: Index, model: str = "okapi", k: int | None = None, pagerank_weight: float = 0.0, digits: int | None = None) -> DataFrame:
+def scored(query: DataFrame | Terms, index: Index, model: str = "okapi", pagerank_weight: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, score) of all matches, not ranked. The existential model scores 1 and ignores PageRank."""
+    q = resolve(query, index)
+    scores = MODELS[model](q, index)
+    return scores if model == "existential" else blended(normalised(scores, q.few), index, pagerank_weight, q.few)
+
+
+def search(query: DataFrame | Terms, index: Index, model: str = "okapi", k: int | None = None, pagerank_weight: float = 0.0, digits: int | None = None) -> DataFrame:
     """Ranked results of every query. The existential model scores 1, ignores PageRank and returns all matches."""
-    scores = MODELS[model](query, index)
-    if model == "existential":
-        return top(scores, None)
-    return top(blended(normalised(scores), index, pagerank_weight), k, digits)
+    scores = scored(query, index, model, pagerank_weight)
+    return top(scores, None) if model == "existential" else top(scores, k, digits)
 
 
 def with_properties(results: DataFrame, index: Index, properties: Iterable[str]) -> DataFrame:
@@ -145,5 +175,3 @@ def with_properties(results: DataFrame, index: Index, properties: Iterable[str])
 def in_range(results: DataFrame, start: int, end: int) -> DataFrame:
     """Results from start to end, both counted from 0 and included."""
     return results.where((F.col("rank") - 1 >= max(start, 0)) & (F.col("rank") - 1 <= end))
-
-

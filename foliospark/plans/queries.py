@@ -215,7 +215,7 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 @query
 def vsm_scores(spark, d):
-    return _rounded(retrieval.normalised(retrieval.vsm(asked(spark), the_index(spark, d)))).select("query_id", "doc_id", "score")
+    return _rounded(retrieval.scored(asked(spark), the_index(spark, d), "vsm")).select("query_id", "doc_id", "score")
 
 
 @query
@@ -225,7 +225,7 @@ def vsm_topk(spark, d):
 
 @query
 def bm25_scores(spark, d):
-    return _rounded(retrieval.normalised(retrieval.bm25p(asked(spark), the_index(spark, d)))).select("query_id", "doc_id", "score")
+    return _rounded(retrieval.scored(asked(spark), the_index(spark, d), "okapi")).select("query_id", "doc_id", "score")
 
 
 @query
@@ -369,7 +369,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.metrics(retrieval.search(asked(spark), the_index(spark, d), "vsm", digits=9), _judged(spark, d))
+    return evaluation.metrics(_rounded(retrieval.scored(asked(spark), the_index(spark, d), "vsm")), _judged(spark, d))
 
 
 @query

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; only where the session names none, as in tests, a temporary folder."""
+    """`spark.checkpoint.dir`; only where the session names none and runs on this machine alone, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -21,4 +23,43 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """df written to the shared folder and read back: no lineage, no loss with an executor."""
     path = f"{shared_dir(df.sparkSession)}/folio-{uuid.uuid4().hex}-{name}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` gave, once nothing reads it any more."""
+    delete(df.sparkSession, df._folio_path)
+
+
+class Bucketed:
+    """A table bucketed and sorted by a column in the shared folder, so that joins and sums on it need no shuffle."""
+
+    def __init__(self, df: DataFrame, column: str, buckets: int):
+        self.spark, self.column, self.buckets = df.sparkSession, column, buckets
+        self.name = f"folio_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        df.repartition(buckets, column).sortWithinPartitions(column).write.bucketBy(buckets, column).sortBy(column).option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Partitions for a shuffle whose tasks compute more than they read."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
