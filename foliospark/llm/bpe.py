@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.kernels import buffers, prefix, slices, substring_hash
+from foliospark.llm.kernels import buffers, slices, word_hash
+from foliospark.llm.shared import bounded, tidy
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pre-tokens above LONG bytes and texts above LEAF characters are encoded as trees; the cache holds CACHE words.
-LONG, LEAF, CACHE = 2048, 32768, 1_500_000
+LONG, LEAF, CACHE = 2048, 32768, 400_000
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 
 
@@ -125,7 +126,8 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = token.encode() if i in added else bytes(back[c] for c in token)
         self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.decimal = [str(i) for i in range(size)]
+        self.spelt, self.spelt_at = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.size) - self.size
+        self.number = {b: i for i, b in enumerate(self.bytes) if i in added}
         self.kinds = classes(self.tokenizer.pre_tokenizer.pre_tokenize_str)
         self._piece = self._by_rank(added)
         self._forget()
@@ -148,7 +150,7 @@ class Encoder:
     def plain(self, pieces: list[bytes]) -> list[list[int]]:
         """Pre-tokens' ids. A special token is a pre-token of its own."""
         if self._piece:
-            return [self._piece(p) if p not in self.special else [self.bytes.index(p)] for p in pieces]
+            return [self._piece(p) if p not in self.number else [self.number[p]] for p in pieces]
         return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
     def word(self, piece: bytes) -> list[int]:
@@ -197,12 +199,16 @@ class Encoder:
         return i, self.keys[i] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ids of all texts, the n + 1 places where each text's begin; pre-tokens' byte starts and their ids' places."""
+        """ids of all texts, the n + 1 places where each text's begin; pre-tokens' byte starts and their ids' places.
+
+        Words are looked up by hash, and the result is then spelt out: only if every pre-token's ids spell its own
+        bytes were all looked up right; else the buffer is encoded without the cache.
+        """
         start = pretokens(data, off, self.kinds, self.special)
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(len(off), np.int64), start, np.zeros(1, np.int64)
         end = np.append(start[1:], len(data))
-        keys, one, back = np.unique(substring_hash(prefix(data), start, end), return_index=True, return_inverse=True)
+        keys, one, back = np.unique(word_hash(data, start, end), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > CACHE:
             self._forget()  # what this buffer needs is learnt again, so the cache is CACHE words and one buffer's at most
         new = ~self._find(keys)[1]
@@ -213,8 +219,25 @@ class Encoder:
         places = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=places[1:])
         ids = self.flat[np.repeat(self.begin[i] - places[:-1], n) + np.arange(places[-1])]
+        if not self._spells(ids, places, data, np.append(start, len(data))):
+            raw = data.tobytes()
+            each = [self.word(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            places = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+            ids = np.fromiter(chain.from_iterable(each), self.dtype, int(places[-1]))
         return ids, places[np.searchsorted(start, off)], start, places
 
+    def _spells(self, ids: np.ndarray, places: np.ndarray, data: np.ndarray, at: np.ndarray) -> bool:
+        """Whether the ids from places[i] on spell the bytes from at[i] on, for every i."""
+        to = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.size[ids], out=to[1:])
+        if not np.array_equal(to[places], at):
+            return False
+        return all(np.array_equal(self._spelt(ids[a : a + 65536]), data[to[a] : to[min(a + 65536, len(ids))]]) for a in range(0, len(ids), 65536))
+
+    def _spelt(self, ids: np.ndarray) -> np.ndarray:
+        n = self.size[ids]
+        return self.spelt[np.repeat(self.spelt_at[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
     def texts(self, values: list[str]) -> list[np.ndarray]:
         data, off = buffers(pa.array(values, pa.large_string()))
         ids, at, _, _ = self.encode(data, off)
@@ -296,9 +319,11 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     Texts up to `leaf` characters are encoded where they are read. Longer ones, equal rows together, are cut into
     leaves that are dealt to all tasks, and their encodings joined as a tree.
     """
+    bounded(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         enc = encoder(path)
         for batch in batches:
             for part in slices(batch):
@@ -306,6 +331,7 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), binary(ids, at)], ["doc_id", "ids"])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         enc = encoder(path)
         for batch in batches:
             for part in slices(batch):
@@ -313,6 +339,7 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h", "n", "leaf", "text")), binary(ids, at)], ["doc_id", "h", "n", "leaf", "text", "ids"])
 
     def joined(key, t):
+        tidy()
         enc = encoder(path)
         rows = sorted(t.to_pylist(), key=lambda r: r["leaf"])
         whole = tree(enc, [Part.of(enc, r["text"].encode(), np.frombuffer(r["ids"], enc.dtype)) for r in rows])
@@ -338,13 +365,14 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids between commas) and decoded_sha256 (of the decoded text's UTF-8)."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         enc = encoder(path)
         for b in batches:
             n, i, d = [], [], []
             for raw in b.column("ids"):
                 ids = np.frombuffer(raw.as_buffer(), enc.dtype).tolist()
                 n.append(len(ids))
-                i.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
+                i.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 d.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

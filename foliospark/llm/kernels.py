@@ -8,18 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT = 1 << 19
+#: Longer words than so many bytes are hashed one by one.
+FAR = 128
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes outside [^\x00-\x2F\x3A-\x60\x7B-\x7F]; upper case counts, since A-Z is lower-cased first.
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -73,9 +77,12 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def prefix(data: np.ndarray, base: int = BASE, lower: bool = False) -> np.ndarray:
-    """Prefix sums of byte codes times powers of base; differences of two give a substring's hash."""
-    codes = (_TABLE[_LOWER] if lower else _TABLE)[data]
+def prefix(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    """Prefix sums of byte codes times powers of base; differences of two give a substring's hash.
+
+    Modulo 2**64 such sums have collisions by construction from 1,024 bytes on: for strings of a bounded, smaller size.
+    """
+    codes = _TABLE[data]
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
         codes *= powers(len(data), base)[0][: len(data)]
@@ -89,6 +96,30 @@ def substring_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
         return mix((p[end] - p[start]) * powers(len(p), base)[1][start])
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the substrings [start, end) of any size: eight bytes at a time, each mixed in before the next."""
+    out = np.zeros(len(start), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = end - start
+    far = np.flatnonzero(size > FAR)
+    live = np.flatnonzero(size <= FAR) if len(far) else np.arange(len(start))
+    at, left = start[live], size[live]
+    with np.errstate(over="ignore"):
+        h = mix((left.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+        while len(live):
+            w = eight[at] & _MASK[np.minimum(left, 8)]
+            h = mix(h ^ w) + np.uint64(BASE2)
+            more = left > 8
+            done = ~more
+            out[live[done]] = h[done]
+            live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    if len(far):
+        raw = data.tobytes()
+        out[far] = [int.from_bytes(blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+    return out
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """out[i] = min(x[i : i + w]), for the len(x) - w + 1 full windows."""
     n = len(x)
@@ -140,7 +171,7 @@ def words(data: np.ndarray, off: np.ndarray, outside: np.ndarray, lower: bool =
         begin[first] = inside[first]
         end[last] = inside[last]
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        found.append((s + a, e + a, substring_hash(prefix(d, BASE, lower), s, e)))
+        found.append((s + a, e + a, word_hash(_LOWER[d] if lower else d, s, e)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -168,11 +199,3 @@ def shingles(h: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
             yield mix(np.array([t], np.uint64))
         else:
             yield s[:0]
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def strings(values: list) -> pa.Array:
-    return pa.array(values, pa.string())
