@@ -5,9 +5,13 @@ same ending. States emit symbols; within a class words follow their smoothed cou
 forward sum over its symbols times its rarer words' shares of their classes, and sums to one over all words.
 
 Word counts come from all training texts. Words of at least one in HEAD tokens, HEAD at most whatever the input, are
-broadcast; the rest are looked up by a join. Training runs over all training texts, in stretches of SPAN symbols.
-Scoring runs whole texts: for every stretch the forward recursion from each state at once gives a matrix, and a
-text's matrices multiply in order, which is the recursion over the whole text however long it is.
+broadcast; the rest are looked up by a join. Training and scoring run over whole texts. Long ones are cut into
+stretches of SPAN symbols that run side by side: for every stretch the recursion from each state at once gives a
+matrix, a text's matrices multiply in order, and what they carry from stretch to stretch, forward and for training
+backward too, is what one recursion over the whole text would carry. Only a text's own first symbol counts as a start.
+
+The most frequent words (`frequent`) are symbols of their own; every other word is one of `endings` classes. Both are
+arguments, up to 65,535 symbols in all: states tell more words apart as they grow, and no word is left out.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import SPACE, buffers, slices, word_offsets, words
-from foliospark.llm.shared import materialize, temporary
+from foliospark.llm.shared import bounded, materialize, temporary, tidy
 
-STATES, FREQUENT, ENDINGS, HEAD, SPAN, ROUNDS = 4, 8192, 256, 1 << 20, 256, 4
+STATES, FREQUENT, ENDINGS, HEAD, SPAN, ROUNDS = 4, 8192, 256, 1 << 20, 512, 4
 #: Of the smoothing that the plain counts have too.
 ADD = 0.1
 
@@ -33,7 +37,7 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(b: pa.RecordBatch, endings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, ending classes, and the words' places by text."""
     data, off = buffers(b.column("text"))
     start, end, h = words(data, off, SPACE)
@@ -42,7 +46,7 @@ def _tokens(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for j in (1, 2, 3):
         at = end - j
         k = k * 257 + np.where(at >= start, low[np.maximum(at, 0)] if len(low) else 0, 256)
-    return h, (k * 2654435761 >> 13) % ENDINGS, word_offsets(start, off)
+    return h, (k * 2654435761 >> 13) % endings, word_offsets(start, off)
 
 
 def _merged(h: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,14 +54,15 @@ def _merged(h: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np
     return keys, k[one], np.bincount(back, weights=c).astype(np.int64)
 
 
-def count_words(texts: DataFrame) -> DataFrame:
+def count_words(texts: DataFrame, endings: int = ENDINGS) -> DataFrame:
     """h, k, c: hash, ending class and count of every word; a task sums its own words before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held = None
         for batch in batches:
             for b in slices(batch):
-                h, k, _ = _tokens(b)
+                h, k, _ = _tokens(b, endings)
                 new = _merged(h, k, np.ones(len(h)))
                 held = new if held is None else _merged(*(np.concatenate(x) for x in zip(held, new, strict=True)))
                 if len(held[0]) > 1_000_000:
@@ -85,6 +90,12 @@ class Counts:
     frequent: np.ndarray
     class_total: np.ndarray
     class_distinct: np.ndarray
+    top: int = FREQUENT
+
+    @property
+    def end(self) -> int:
+        """The symbol of a text's end, the last one."""
+        return self.top + len(self.class_total)
 
     def __post_init__(self):
         self.base_floor = np.log10(self.total + ADD * (self.distinct + 1)) if self.distinct else np.log10(ADD)
@@ -100,16 +111,12 @@ class Counts:
 
     def symbols(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
         if not len(self.frequent):
-            return (FREQUENT + k).astype(np.uint16)
+            return (self.top + k).astype(np.uint16)
         i = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        return np.where(self.frequent[i] == h, i, FREQUENT + k).astype(np.uint16)
-
+        return np.where(self.frequent[i] == h, i, self.top + k).astype(np.uint16)
 
-END = FREQUENT + ENDINGS
-SYMBOLS = END + 1
 
-
-def totals(vocabulary: DataFrame, ends: int) -> tuple[Counts, int]:
+def totals(vocabulary: DataFrame, ends: int, frequent: int = FREQUENT, endings: int = ENDINGS) -> tuple[Counts, int]:
     """The counts to broadcast, and the least count of a head word."""
     r = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = (r["n"] or 0) + ends, r["v"] + (ends > 0)
@@ -118,13 +125,13 @@ def totals(vocabulary: DataFrame, ends: int) -> tuple[Counts, int]:
     h, k, c = head.column("h").to_numpy().view(np.uint64), head.column("k").to_numpy(), head.column("c").to_numpy()
     order = np.argsort(h)
     h, k, c = h[order], k[order], c[order]
-    top = np.sort(np.lexsort((h, -c))[:FREQUENT])
-    by = np.zeros((2, ENDINGS), np.int64)
+    top = np.sort(np.lexsort((h, -c))[:frequent])
+    by = np.zeros((2, endings), np.int64)
     for r in vocabulary.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # one row a class
         by[:, r["k"]] = r["n"], r["v"]
-    by[0] -= np.bincount(k[top], weights=c[top], minlength=ENDINGS).astype(np.int64)
-    by[1] -= np.bincount(k[top], minlength=ENDINGS)
-    counts = Counts(h, k, c, n, v, ends, h[top], by[0], by[1])
+    by[0] -= np.bincount(k[top], weights=c[top], minlength=endings).astype(np.int64)
+    by[1] -= np.bincount(k[top], minlength=endings)
+    counts = Counts(h, k, c, n, v, ends, h[top], by[0], by[1], frequent)
     return counts, least
 
 
@@ -137,11 +144,11 @@ class Model:
     @classmethod
     def initial(cls, counts: Counts, states: int) -> Model:
         """The corpus's own distribution, tilted differently for each state."""
-        own = np.full(SYMBOLS, 0.5)
-        own[np.searchsorted(counts.frequent, counts.frequent)] += counts.c[np.searchsorted(counts.h, counts.frequent)]
-        own[FREQUENT:END] += counts.class_total
-        own[END] += counts.ends
-        tilt = np.exp(0.7 * np.random.default_rng(5).standard_normal((SYMBOLS, states)))
+        own = np.full(counts.end + 1, 0.5)
+        own[: len(counts.frequent)] += counts.c[np.searchsorted(counts.h, counts.frequent)]
+        own[counts.top : counts.end] += counts.class_total
+        own[counts.end] += counts.ends
+        tilt = np.exp(0.7 * np.random.default_rng(5).standard_normal((len(own), states)))
         emit = own[:, None] * tilt
         step = np.full((states, states), 0.02 / max(1, states - 1))
         np.fill_diagonal(step, 0.98 if states > 1 else 1.0)
@@ -161,29 +168,83 @@ def _stretches(at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return seq, first, np.minimum(span, at[seq + 1] - first)
 
 
-def expected(model: Model, x: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of starts, steps and symbols by state, over stretches of the sequences."""
+def _transfers(model: Model, x: np.ndarray, seq: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each stretch's transfer matrix, scaled, and the log10 of its scale. A text's first symbol takes no step."""
     s = len(model.start)
-    begin, step, emit = np.zeros(s), np.zeros((s, s)), np.zeros((SYMBOLS, s))
-    seq, first, size = _stretches(at, span)
+    head = np.ones(len(seq), bool)
+    head[1:] = seq[1:] != seq[:-1]
+    mats, logs = np.zeros((len(seq), s, s)), np.zeros(len(seq))
     order = np.argsort(-size, kind="stable")
     for lo in range(0, len(order), 4096):
         i = order[lo : lo + 4096]
         f, n = first[i], size[i]
+        m = np.where(head[i][:, None, None], np.eye(s), model.step) * model.emit[x[f]][:, None, :]
+        log = np.zeros(len(i))
+        for t in range(n[0]):
+            k = int(np.searchsorted(-n, -t, side="left"))
+            if t:
+                m[:k] = (m[:k].reshape(-1, s) @ model.step).reshape(k, s, s) * model.emit[x[f[:k] + t]][:, None, :]
+            if t % 12 == 11 or t == n[0] - 1:
+                z = m.max(axis=(1, 2))
+                m /= z[:, None, None]
+                log += np.log10(z)
+        mats[i], logs[i] = m, log
+    return mats, logs
+
+
+def _turns(seq: np.ndarray) -> list[np.ndarray]:
+    """The stretches that are their texts' first, second, and so on."""
+    turn = np.arange(len(seq)) - np.searchsorted(seq, seq)
+    order = np.argsort(turn, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(turn))[:-1]) if len(seq) else []
+
+
+def _carried(model: Model, x: np.ndarray, seq: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each stretch gets from those before it (state weights at its end of theirs) and after it, each of sum one."""
+    s = len(model.start)
+    ahead, behind = np.tile(model.start, (len(seq), 1)), np.ones((len(seq), s))
+    several = np.flatnonzero(np.bincount(seq)[seq] > 1)
+    if len(several):
+        own = seq[several]
+        mats, _ = _transfers(model, x, own, first[several], size[several])
+        turns = _turns(own)
+        for now, then in zip(turns[:-1], turns[1:], strict=True):
+            now = now[np.isin(own[now], own[then])]
+            v = np.einsum("ni,nij->nj", ahead[several[now]], mats[now])
+            ahead[several[then]] = v / v.sum(1, keepdims=True)
+        for then, now in zip(turns[:0:-1], turns[-2::-1], strict=True):
+            now = now[np.isin(own[now], own[then])]
+            v = np.einsum("nij,nj->ni", mats[then], behind[several[then]])
+            behind[several[now]] = v / v.sum(1, keepdims=True)
+    return ahead, behind
+
+
+def expected(model: Model, x: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of starts, steps and symbols by state, over the whole sequences."""
+    s = len(model.start)
+    begin, step, emit = np.zeros(s), np.zeros((s, s)), np.zeros(model.emit.shape)
+    seq, first, size = _stretches(at, span)
+    before, after = _carried(model, x, seq, first, size)
+    starts = np.ones(len(seq), bool)
+    starts[1:] = seq[1:] != seq[:-1]
+    order = np.argsort(-size, kind="stable")
+    for lo in range(0, len(order), 1024):
+        i = order[lo : lo + 1024]
+        f, n, head, came = first[i], size[i], starts[i], before[i]
         live = [int(np.searchsorted(-n, -t, side="left")) for t in range(n[0])]  # longer than t
         ahead, seen = [], []
         v = None
         for t, m in enumerate(live):
             sym = x[f[:m] + t]
             e = model.emit[sym]
-            v = (model.start * e) if t == 0 else (v[:m] @ model.step) * e
+            v = np.where(head[:, None], came, came @ model.step) * e if t == 0 else (v[:m] @ model.step) * e
             v /= v.sum(1, keepdims=True)
             ahead.append(v)
             seen.append((sym, e))
         back = np.ones((0, s))
         for t in range(len(live) - 1, -1, -1):
             m = live[t]
-            b = np.ones((m, s))
+            b = after[i[:m]].copy()
             if t + 1 < len(live):
                 sym, e = seen[t + 1]
                 w = e * back
@@ -195,38 +256,23 @@ def expected(model: Model, x: np.ndarray, at: np.ndarray, span: int = SPAN) -> t
             gamma /= gamma.sum(1, keepdims=True)
             back = b / b.sum(1, keepdims=True)
             if t == 0:
-                begin += gamma.sum(0)
+                begin += gamma[head].sum(0)
+                w = (seen[0][1] * back)[~head]  # the step from the stretch before
+                g = (came[~head] * (w @ model.step.T)).sum(1, keepdims=True)
+                step += model.step * (came[~head].T @ (w / g))
             ahead[t] = gamma
         sym, gamma = np.concatenate([y for y, _ in seen]), np.concatenate(ahead)
         for k in range(s):
-            emit[:, k] += np.bincount(sym, weights=gamma[:, k], minlength=SYMBOLS)
+            emit[:, k] += np.bincount(sym, weights=gamma[:, k], minlength=len(emit))
     return begin, step, emit
 
 
 def likelihood(model: Model, x: np.ndarray, at: np.ndarray, span: int = SPAN) -> np.ndarray:
     """log10 probability of every whole sequence: stretches' transfer matrices, multiplied in order."""
-    s = len(model.start)
     seq, first, size = _stretches(at, span)
-    mats, logs = np.zeros((len(seq), s, s)), np.zeros(len(seq))
-    order = np.argsort(-size, kind="stable")
-    for lo in range(0, len(order), 4096):
-        i = order[lo : lo + 4096]
-        f, n = first[i], size[i]
-        m = np.tile(np.eye(s), (len(i), 1, 1))
-        log = np.zeros(len(i))
-        for t in range(n[0]):
-            k = int(np.searchsorted(-n, -t, side="left"))
-            m[:k] = (m[:k].reshape(-1, s) @ model.step).reshape(k, s, s) * model.emit[x[f[:k] + t]][:, None, :]
-            if t % 12 == 11 or t == n[0] - 1:
-                z = m.max(axis=(1, 2))
-                m /= z[:, None, None]
-                log += np.log10(z)
-        mats[i], logs[i] = m, log
-    # a text's first step starts from the state that `start` draws: undo the step before its first symbol
-    out, v = np.zeros(len(at) - 1), np.tile(np.linalg.solve(model.step.T, model.start), (len(at) - 1, 1))
-    turn = np.arange(len(seq)) - np.searchsorted(seq, seq)
-    for t in range(int(turn.max()) + 1 if len(turn) else 0):
-        i = np.flatnonzero(turn == t)
+    mats, logs = _transfers(model, x, seq, first, size)
+    out, v = np.zeros(len(at) - 1), np.tile(model.start, (len(at) - 1, 1))
+    for i in _turns(seq):
         d = seq[i]
         w = np.einsum("ni,nij->nj", v[d], mats[i])
         z = w.sum(1)
@@ -239,19 +285,20 @@ def code(texts: DataFrame, counts) -> DataFrame:
     """Each row's symbols, its head words' share of both scores, and the words to look up (rare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         own = counts.value
         end_base = np.log10(own.ends + ADD) - own.base_floor
         for batch in batches:
             for b in slices(batch):
-                h, k, at = _tokens(b)
+                h, k, at = _tokens(b, len(own.class_total))
                 c, head = own.look(h)
                 sym = own.symbols(h, k)
                 base = np.where(head, np.log10(c + ADD) - own.base_floor, 0)
-                share = np.where(head & (sym >= FREQUENT), np.log10(c + ADD) - own.class_floor[k], 0)
+                share = np.where(head & (sym >= own.top), np.log10(c + ADD) - own.class_floor[k], 0)
                 sums = [np.concatenate([[0], np.cumsum(y)]) for y in (base, share, head.astype(np.int64))]
                 base, share, known = (np.diff(y[at]) for y in sums)
                 n = np.diff(at)
-                ids = np.insert(sym, at[1:], END)
+                ids = np.insert(sym, at[1:], own.end)
                 ends = at + np.arange(len(at))
                 rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(~head)])[at].astype(np.int32)), pa.StructArray.from_arrays([pa.array(h[~head].view(np.int64)), pa.array(k[~head].astype(np.int32))], ["h", "k"]))
                 seqs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
@@ -273,7 +320,8 @@ def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(coded: DataFrame, counts: Counts, states: int = STATES, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over every training row; each round sums one matrix a task, in slices, and keeps the sums."""
     model, spark = Model.initial(counts, states), coded.sparkSession
-    size = SYMBOLS * states
+    symbols = counts.end + 1
+    size = symbols * states
     parts = 16
     width = -(-size // parts)
 
@@ -281,6 +329,7 @@ def train(coded: DataFrame, counts: Counts, states: int = STATES, rounds: int =
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tidy()
             total = None
             for b in batches:
                 if b.num_rows:
@@ -293,6 +342,7 @@ def train(coded: DataFrame, counts: Counts, states: int = STATES, rounds: int =
                 yield pa.RecordBatch.from_arrays([pa.array(range(parts + 1), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "sums"])
 
         def add(key, t):
+            tidy()
             total = sum(np.frombuffer(x, np.float64) for x in sorted(t.column("sums").to_pylist()))
             return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
@@ -300,23 +350,24 @@ def train(coded: DataFrame, counts: Counts, states: int = STATES, rounds: int =
         if not sums:
             break
         rest = sums[parts]
-        model = model.updated(rest[:states], rest[states:].reshape(states, states), np.concatenate([sums[i] for i in range(parts)])[:size].reshape(SYMBOLS, states))
+        model = model.updated(rest[:states], rest[states:].reshape(states, states), np.concatenate([sums[i] for i in range(parts)])[:size].reshape(symbols, states))
     return model
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent: int = FREQUENT, endings: int = ENDINGS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     A null or empty text is its end alone. Rows with a null id are scored but not learnt from; equal rows, and rows
     that share an id, are texts of their own. Without training rows every token is unknown. No rows give no rows;
     columns beside doc_id and text are ignored.
     """
+    bounded(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"held_out": held_out(), "rid": F.xxhash64("doc_id", "text")})
     learnt = texts.where("not held_out")
     with temporary(spark) as keep:
-        vocabulary = materialize(count_words(learnt.select("text")), "words")
-        counts, least = totals(vocabulary, learnt.count())
+        vocabulary = materialize(count_words(learnt.select("text"), endings), "words")
+        counts, least = totals(vocabulary, learnt.count(), frequent, endings)
         coded = keep(materialize(code(texts, spark.sparkContext.broadcast(counts)), "coded"))
         model = spark.sparkContext.broadcast(train(coded, counts, states, rounds))
 
@@ -328,6 +379,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
         told = keep(materialize(told.groupBy("rid").agg(F.sum(F.col("l") - float(counts.base_floor)).alias("more_base"), F.sum(F.col("l") - F.col("f")).alias("more_share"), F.sum("seen").alias("more_known"), F.count("*").alias("words")), "rare"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
