@@ -4,10 +4,10 @@ Every shard owns `vnodes` points on a ring of 64-bit hashes. A key belongs to th
 point's shard is full, the key goes on clockwise to the next shard with room. Capacities differ by one key at most
 and sum to the number of keys, so the loads do too.
 
-A key's place among its arc's keys follows (hash, doc_id), so the walk needs only the number of keys in each arc:
-`walk` turns those counts, `shards * vnodes` numbers whatever the table holds, into runs of ranks and their shards.
-Ranks come from a window over arcs cut by `cells` (a power of two) equal stretches of the ring; no key, shard or source is hot,
-since the hash spreads them.
+The walk needs only the number of keys in each arc: `walk` turns those counts, `shards * vnodes` numbers whatever the
+table holds, into runs of ranks and their shards. A key's rank among its arc's keys comes from a window over arcs cut
+by `cells` (a power of two) equal stretches of the ring, and these cut by SALT residues of the text's checksum: rows
+of one doc_id, or of none, have one hash, but not one window. Equal rows are one until they have their ranks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,11 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VNODES, CELLS = 64, 4096
+from foliospark.llm.shared import materialize
+
+VNODES, CELLS, SALT = 64, 4096, 16
+#: Copies of a row that one row stands for when ranks are dealt to them.
+DEALT = 4096
 
 
 def ring(shards: int, vnodes: int = VNODES) -> tuple[list[int], list[int]]:
@@ -81,16 +85,21 @@ def shard(docs: DataFrame, shards: int, vnodes: int = VNODES, cells: int = CELLS
     cell = F.shiftright("h", 64 - (cells.bit_length() - 1)) + cells // 2
     keyed = keyed.withColumn("cell", cell.cast("int")).join(F.broadcast(near), "cell")
     keyed = keyed.withColumn("arc", (F.col("lo") + F.size(F.filter("near", lambda p: p < F.col("h")))) % len(points)).drop("lo", "near")
-    # a cell and an arc meet in a stretch of the ring; wrapped keys sort behind the rest of arc 0 by their cell
-    counts = {(r["arc"], r["cell"]): r["count"] for r in keyed.groupBy("arc", "cell").count().collect()}
+    # a cell and an arc meet in a stretch of the ring; wrapped keys come behind the rest of arc 0, by their cell
+    own = ["arc", "cell", "salt"]
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(SALT)).cast("int"))
+    keyed = materialize(keyed.groupBy(*own, "h", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "keys")
+    counts = {(r["arc"], r["cell"], r["salt"]): r["n"] for r in keyed.groupBy(*own).agg(F.sum("n").alias("n")).collect()}
     per_arc, base = [0] * len(points), []
-    for (a, c), n in sorted(counts.items()):
-        base.append((a, c, per_arc[a]))
+    for (a, c, t), n in sorted(counts.items()):
+        base.append((a, c, t, per_arc[a]))
         per_arc[a] += n
     runs = walk(per_arc, owner, shards)
-    starts = F.broadcast(spark.createDataFrame(base, "arc int, cell int, before long"))
+    starts = F.broadcast(spark.createDataFrame(base, "arc int, cell int, salt int, before long"))
     places = F.broadcast(spark.createDataFrame([(a, r, r + n, s, t) for a, r, n, s, t in runs], "arc int, first long, until long, shard int, slot0 long"))
-    w = Window.partitionBy("arc", "cell").orderBy("h", "doc_id", "text_crc32", "size")
-    ranked = keyed.withColumn("r", F.row_number().over(w).cast("long") - 1).join(starts, ["arc", "cell"]).withColumn("rank", F.col("before") + F.col("r"))
-    placed = ranked.join(places, "arc").where("rank >= first and rank < until")
+    w = Window.partitionBy(*own).orderBy("h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keyed.withColumn("r", F.coalesce(F.sum("n").over(w), F.lit(0))).join(starts, own).withColumn("rank", F.col("before") + F.col("r"))
+    several = ranked.where("n > 1").withColumn("turn", F.explode(F.expr(f"sequence(0L, (n - 1) div {DEALT})"))).repartition("doc_id", "text_crc32", "turn")
+    several = several.withColumn("rank", F.explode(F.expr(f"sequence(rank + turn * {DEALT}, rank + least(n, (turn + 1) * {DEALT}) - 1)")))
+    placed = ranked.where("n = 1").unionByName(several.select(*ranked.columns)).join(places, "arc").where("rank >= first and rank < until")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
