@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -22,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.shared import bounded, tidy
+
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝɡαορνικτυ", "aeopcyxijsdhqwgaopviktu", strict=True))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
@@ -32,8 +36,8 @@ _SIGN = str.maketrans(SIGNS)
 _NEAR = re.compile(r"[^\W\d_][0-9@$]|[0-9@$][^\W\d_]|[^\W\d_]![^\W\d_]")
 _MIXED = re.compile(r"[\w@$]+(?:![\w@$]+)*")
 
-#: At most so many labelled rows, those of the smallest hashes, are read to fit the lexicon.
-SAMPLE = 8_000
+#: At most so many labelled rows, those of the smallest hashes, of so many characters in all, are read to fit the lexicon.
+SAMPLE, CHARACTERS = 8_000, 64_000_000
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -88,7 +92,11 @@ def matches(folded: str, automaton) -> dict[int, tuple[int, float]]:
                 void.append((a, b))
         elif w := max(word if whole else 0.0, stem if not whole else 0.0):
             best[a] = max(best.get(a, (b, 0.0)), (b, w), key=lambda x: x[1])
-    return {a: x for a, x in best.items() if not any(p <= a and x[0] <= q for p, q in void)} if void else best
+    if not void:
+        return best
+    void.sort()
+    first, reach = [p for p, _ in void], list(accumulate((q for _, q in void), max))
+    return {a: x for a, x in best.items() if not (i := bisect_right(first, a)) or reach[i - 1] < x[0]}
 
 
 def density(folded: str, automaton) -> float:
@@ -170,16 +178,30 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """Fit on at most `sample` labelled rows that aren't held out, those of the smallest id hashes.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Lexicon:
+    """Fit on at most `sample` labelled rows that aren't held out, those of the smallest id hashes, as far as they hold
+    no more than `characters` characters.
 
-    Ids labelled more than once count by their largest label. The bound makes the broadcast of ids and what reaches
-    the driver of fixed size.
+    Ids labelled more than once count by their largest label; of an id's several texts the shortest counts, ties to
+    the smaller hash. Both bounds make the broadcast of ids and what reaches the driver of fixed size, repeated ids
+    and very long texts included.
     """
+    bounded(docs.sparkSession)
     own = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    return fit((r["text"], r["toxic"]) for r in rows.toLocalIterator())
+    sized = docs.select("doc_id", F.struct(F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("h")).alias("text"))
+    sized = sized.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    picked, total = [], 0
+    for r in sized.select("doc_id", "toxic", "text.size", "text.h").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # `sample` rows
+        total += r["size"]
+        if total > characters:
+            break
+        picked.append((r["doc_id"], r["toxic"], r["h"]))
+    if not picked:
+        return Lexicon()
+    picked = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, h long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    return fit((r["text"], r["toxic"]) for r in rows.select("text", "toxic").toLocalIterator())
 
 
 def scorer(lexicon: Lexicon) -> Callable[[str], Column]:
@@ -187,6 +209,7 @@ def scorer(lexicon: Lexicon) -> Callable[[str], Column]:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tidy()
         auto = lexicon.automaton()
         for texts in batches:
             yield pd.Series([score(fold(t or ""), auto, lexicon) for t in texts], dtype="float64")
