@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import materialize, temporary
+from foliospark.llm.shared import materialize, temporary, tidy
 
 #: Nodes that a task holds at most before it writes what it knows.
 HELD = 500_000
@@ -16,6 +16,7 @@ HELD = 500_000
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each task's own components as stars, one edge a node: a dense group's many edges end here."""
+    tidy()
     up: dict[int, int] = {}
 
     def root(x: int) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import NOT_WORD, buffers, slices, word_offsets, words
-from foliospark.llm.shared import text_of
+from foliospark.llm.shared import bounded, text_of, tidy
 
 #: The phrases whose places count, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -52,6 +52,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     wanted = np.sort(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         total = np.zeros(len(wanted), np.int64)
         screen = np.zeros(1 << 16, bool)
         screen[(wanted & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -138,11 +139,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     phrase stands, else 0. A null or empty text has no words, null first and last word, empty labels and score 0.
     Repeated rows give equal rows; columns beside doc_id and text are ignored.
     """
+    bounded(docs.sparkSession)
     vocabulary = np.unique(np.concatenate([hashes(t) for t, _ in templates]))
     matcher = Matcher(templates, frequencies(docs, vocabulary), threshold)
     spoken = [(hashes(p), label) for p, label in phrases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for b in slices(batch):
                 yield block(b)

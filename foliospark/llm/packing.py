@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.bpe import binary, encoder
 from foliospark.llm.kernels import buffers, slices
-from foliospark.llm.shared import materialize
+from foliospark.llm.shared import bounded, materialize, tidy
 
 #: The id that ends every document.
 END = 0
@@ -29,6 +29,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, part, start (in the part), n, ids (binary) of every row, each with the end id; written to a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         enc, part, total = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for b in slices(batch):
@@ -42,6 +43,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "part", "start", "n", "ids"],
                 )
 
+    bounded(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return materialize(texts.mapInArrow(run, "doc_id long, part int, start long, n long, ids binary"), "ids")
 
@@ -61,6 +63,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
     starts = spark.sparkContext.broadcast(dict(before))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         dtype = encoder(path).dtype
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]

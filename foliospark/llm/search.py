@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.shared import materialize
+from foliospark.llm.shared import bounded, materialize, tidy
 from foliospark.llm.vectors import matrix, usable, width
 
 #: Rows of the smallest hashes on which codebooks are fitted; dimensions of a subspace; weight of the parallel part.
@@ -126,6 +126,7 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, queries: int = QUERI
     null or non-finite component take no part, as do rows without vec_id; ties go to the smaller vec_id; with fewer
     than k others all are returned. Rows with one vec_id count as one. No rows give no rows; other columns are ignored.
     """
+    bounded(vectors.sparkSession)
     fit = vectors.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding")
     dims = width(fit)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -136,6 +137,7 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, queries: int = QUERI
     quantiser = Quantiser.fit(matrix(chosen.column("embedding")))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column("embedding"))
@@ -149,6 +151,7 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, queries: int = QUERI
     right = coded.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(rb)).cast("int").alias("r"), "vec_id", "embedding", "codes", "gap")
 
     def scan(key, qs, rs):
+        tidy()
         found: list[list] = [[], [], []]
         if qs.num_rows and rs.num_rows:
             ids, order = np.unique(rs.column("vec_id").to_numpy(), return_index=True)

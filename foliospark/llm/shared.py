@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,17 +15,19 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: `spark.checkpoint.dir`.
 
-    Only where the session names none (tests, local mode) a temporary folder is chosen.
+    Only where the session names none and runs on this machine alone, a temporary folder is chosen.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -65,25 +72,56 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         _made[before:] = kept
 
 
-#: Rows that cross to a Python worker at once, unless the session sets less: whole texts are long.
-BATCH = 1000
+#: Rows and bytes that cross to a Python worker at once, unless the session sets less: whole texts and sets are long.
+BATCH, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to BATCH and BATCH_BYTES; Spark has no such limit for one frame."""
+    for key, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table of the data folder, read by Spark alone; its rows go to Python in batches of BATCH at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH:
-        spark.conf.set(key, BATCH)
+    """A Parquet table of the data folder, read by Spark alone; its rows go to Python in bounded batches."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_tidied = 0
+
+
+def tidy() -> None:
+    """To be called in a Python worker: from then on, memory that it has freed goes back to the system each second.
+
+    Workers outlive their tasks and wait for others, each with the heap of the largest batch that it ever met.
+    """
+    global _tidied
+    if _tidied == os.getpid():
+        return
+    _tidied = os.getpid()
+
+    def keep() -> None:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        while True:
+            time.sleep(1)
+            gc.collect(0)
+            pa.default_memory_pool().release_unused()
+            if trim:
+                trim(0)
+
+    threading.Thread(target=keep, daemon=True).start()
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), with the further columns named; every other column is pruned."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-#: Bits in a Bloom bitmap: 2**LEAST to 2**MOST (16 MB), whatever the table holds.
-LEAST, MOST = 16, 27
+#: Bits in a Bloom bitmap: 2**LEAST to 2**MOST (16 MB). A table of more than KEYS keys gets none.
+LEAST, MOST, KEYS = 16, 27, 1 << 25
 SLICES = 64
 
 
@@ -99,21 +137,25 @@ def bloom_slots(keys: np.ndarray, bits: int) -> np.ndarray:
 def bloom(df: DataFrame, column: str, rows: int):
     """Broadcast bitmap of a long column, of 16 MB at most: a filter that lets some strangers pass but no member miss.
 
-    The bound holds at any size; beyond about 16 million keys it only filters less, and an exact join follows.
+    None where the table has more than KEYS rows, for which such a bitmap would hardly filter: then the exact join
+    that follows does all the work, by a shuffle.
     """
+    if rows > KEYS:
+        return None
     bits = int(min(MOST, max(LEAST, np.ceil(np.log2(8 * max(rows, 1))))))
     width = (1 << bits) // 8 // SLICES
 
     def partial(batches):
-        flags = np.zeros(1 << bits, bool)
+        tidy()
+        packed = np.zeros((1 << bits) // 8, np.uint8)
         seen = False
         for b in batches:
             if b.num_rows:
                 seen = True
-                flags[bloom_slots(b.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
+                slot = bloom_slots(b.column(0).to_numpy(zero_copy_only=False), bits).ravel()
+                np.bitwise_or.at(packed, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
         if seen:
-            packed = np.packbits(flags).reshape(SLICES, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary())], ["slice", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in packed.reshape(SLICES, width)], pa.binary())], ["slice", "bits"])
 
     def union(key, t):
         out = np.zeros(width, np.uint8)
@@ -121,8 +163,9 @@ def bloom(df: DataFrame, column: str, rows: int):
             out |= np.frombuffer(x, np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    slim = df.select(column).coalesce(12)
-    parts = slim.mapInArrow(partial, "slice int, bits binary").groupBy("slice").applyInArrow(union, "slice int, bits binary").collect()
+    # a bitmap a task: of so few tasks that their bitmaps are no larger than the keys
+    slim = df.select(column).coalesce(max(4, rows >> 21))
+    parts = slim.mapInArrow(partial, "slice int, bits binary").groupBy("slice").applyInArrow(union, "slice int, bits binary").collect()  # 16 MB at most
     whole = np.zeros((SLICES, width), np.uint8)
     for r in parts:
         whole[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
@@ -137,11 +180,14 @@ def in_bloom(bitmap: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def member(bitmap):
+def member(bitmap) -> Callable[[str], Column]:
     """A filter on a long column: False only where the bitmap's table lacks the key. Only the key goes to Python."""
+    if bitmap is None:
+        return lambda column: F.lit(True)
 
     @F.pandas_udf("boolean")
     def test(keys: pd.Series) -> pd.Series:
+        tidy()
         return pd.Series(in_bloom(bitmap.value, keys.to_numpy(np.int64)))
 
     return test
