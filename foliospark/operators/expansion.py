@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.scalars import word_class
+from foliospark.functions.stems import stemmed
 from foliospark.functions.tokens import not_stopword
 
 EXTRA, NEW_WEIGHT = 3, 0.5
@@ -81,6 +82,11 @@ def by_vectors(query: DataFrame, vectors: DataFrame, stopwords: Iterable[str] =
     return _originals(kept).union(extra)
 
 
+def tagged(query: DataFrame, tags: DataFrame, default: str = "NN") -> DataFrame:
+    """(query_id, pos, token, tag): each token's tag from (token, tag), `default` where it has none."""
+    return query.join(tags.select("token", "tag"), "token", "left").select("query_id", "pos", "token", F.coalesce("tag", F.lit(default)).alias("tag"))
+
+
 def by_thesaurus(query: DataFrame, thesaurus: DataFrame, stopwords: Iterable[str] = (), most: int = EXTRA) -> DataFrame:
     """Candidates from (query_id, pos, token, tag): of every sense of an open-class word, its first words, three at most."""
     words = tuple(stopwords)
@@ -102,8 +108,6 @@ def capped(candidates: DataFrame, stopwords: Iterable[str] = (), stemmer: bool =
     """
     rows = candidates.where(not_stopword(F.col("term"), tuple(stopwords)) & ~F.col("term").contains(" "))
     if stemmer:
-        from foliospark.functions.stems import stemmed
-
         rows = stemmed(rows, "term", "stem")
     else:
         rows = rows.withColumn("stem", F.col("term"))

@@ -5,7 +5,7 @@ Lists are rows (id, pos, other): the pos-th entry of a document's in or out list
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.sources.scratch import Bucketed, materialize, parallelism
@@ -54,6 +54,23 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, threshol
         done += 1
 
 
+def save(out: DataFrame, inn: DataFrame, nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a citation graph: both lists by node, the nodes, and their number."""
+    for name, lists in (("out", out), ("in", inn)):
+        lists.select("id", "pos", "other").repartition("id").sortWithinPartitions("id", "pos").write.mode(mode).parquet(f"{path}/{name}")
+    nodes.select("id").write.mode(mode).parquet(f"{path}/nodes")
+    nodes.agg(F.count("*").alias("documents")).write.mode(mode).json(f"{path}/graph_meta")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Out lists, in lists and nodes of a saved graph; one whose number of nodes isn't the saved one is refused."""
+    out, inn, nodes = (spark.read.parquet(f"{path}/{t}") for t in ("out", "in", "nodes"))
+    said = spark.read.schema("documents long").json(f"{path}/graph_meta").first()["documents"]
+    if nodes.count() != said:
+        raise ValueError(f"{path} doesn't hold {said} nodes")
+    return out, inn, nodes
+
+
 def _flagged(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entries within the graph: loop, and repeat (a target seen before in the list, loops aside)."""
     known = lists.join(nodes.select(F.col("id").alias("other")), "other", "left_semi")
@@ -69,8 +86,8 @@ def degrees(lists: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def histogram(degree: DataFrame, column: str) -> DataFrame:
-    """(degree, documents), by degree."""
-    return degree.groupBy(F.col(column).alias("degree")).agg(F.count("*").alias("documents"))
+    """(degree, documents), degrees ascending."""
+    return degree.groupBy(F.col(column).alias("degree")).agg(F.count("*").alias("documents")).orderBy("degree")
 
 
 def inconsistent(lists: DataFrame, reverse: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -172,6 +172,14 @@ def with_properties(results: DataFrame, index: Index, properties: Iterable[str])
     return results.join(index.display.select("doc_id", *properties), "doc_id")
 
 
+def change_properties(results: DataFrame, index: Index, old: Iterable[str], new: Iterable[str]) -> DataFrame:
+    """Results that carry the properties `old`, with `new` instead: what both name stays, only what is added is joined."""
+    old, new = list(dict.fromkeys(old)), list(dict.fromkeys(new))
+    kept = results.drop(*[p for p in old if p not in new])
+    added = [p for p in new if p not in old]
+    return with_properties(kept, index, added) if added else kept
+
+
 def in_range(results: DataFrame, start: int, end: int) -> DataFrame:
     """Results from start to end, both counted from 0 and included."""
     return results.where((F.col("rank") - 1 >= max(start, 0)) & (F.col("rank") - 1 <= end))

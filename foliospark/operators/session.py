@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.config import Settings
+from foliospark.functions.scalars import untagged
 from foliospark.functions.tokens import QUERY, query_terms, tokens
-from foliospark.operators import expansion, retrieval
+from foliospark.operators import evaluation, expansion, report, retrieval
 from foliospark.operators.index import Index, IndexNotLoadedError
 
 
@@ -25,6 +26,7 @@ class Search:
     properties: tuple[str, ...] = ()
     vectors: DataFrame | None = field(default=None, compare=False)
     thesaurus: DataFrame | None = field(default=None, compare=False)
+    tags: DataFrame | None = field(default=None, compare=False)
 
     @classmethod
     def of(cls, index: Index, settings: Settings, **more) -> Search:
@@ -33,8 +35,19 @@ class Search:
     def with_(self, **changes) -> Search:
         return replace(self, **changes)
 
+    @property
+    def is_loaded(self) -> bool:
+        return self.index is not None
+
+    def unload(self) -> Search:
+        """The same settings without an index, which is free to go."""
+        return self.with_(index=None)
+
     def terms(self, queries: DataFrame) -> DataFrame:
-        """Query terms of (query_id, query), or with the thesaurus (query_id, query) of word_TAG tokens."""
+        """Query terms of (query_id, query). The thesaurus takes tags from the table `tags`, or else from word_TAG tokens.
+
+        An expander that lacks its table, or whose plan fails, raises QueryExpansionError; so do its tasks in `ask`.
+        """
         if self.index is None:
             raise IndexNotLoadedError("search")
         stop, stem = self.index.stopwords, self.index.use_stemmer
@@ -44,9 +57,13 @@ class Search:
             if self.expansion == "glove":
                 rows = queries.select("query_id", F.posexplode(tokens(F.col("query"), QUERY)).alias("pos", "token"))
                 return expansion.capped(expansion.by_vectors(rows, self.vectors, stop), stop, stem)
-            rows = queries.select("query_id", F.posexplode(F.filter(F.split("query", r"\s+"), lambda t: t != "")).alias("pos", "tagged"))
-            parts = F.split("tagged", "_")
-            rows = rows.select("query_id", "pos", F.get(parts, F.lit(0)).alias("token"), F.get(parts, F.lit(1)).alias("tag"))
+            if self.tags is not None:
+                rows = queries.select("query_id", F.posexplode(tokens(F.col("query"), QUERY)).alias("pos", "token"))
+                rows = expansion.tagged(rows, self.tags)
+            else:
+                rows = queries.select("query_id", F.posexplode(F.filter(F.split("query", r"\s+"), lambda t: t != "")).alias("pos", "tagged"))
+                word, tag = untagged(F.col("tagged"))
+                rows = rows.select("query_id", "pos", word.alias("token"), tag.alias("tag"))
             return expansion.capped(expansion.by_thesaurus(rows, self.thesaurus, stop), stop, stem)
         except Exception as e:
             raise expansion.QueryExpansionError(self.expansion) from e
@@ -61,7 +78,25 @@ class Search:
         if self.index is None:
             raise IndexNotLoadedError("search")
         spark = self.index.postings.sparkSession
-        return self.search(spark.createDataFrame([(0, query)], "query_id int, query string"), k).orderBy("rank")
+        queries = spark.createDataFrame([(0, query)], "query_id int, query string")
+        terms = self.terms(queries)
+        try:
+            rows = terms.collect()  # one query's
+        except Exception as e:
+            if self.expansion == "none":
+                raise
+            raise expansion.QueryExpansionError(self.expansion) from e
+        found = retrieval.search(spark.createDataFrame(rows, terms.schema), self.index, self.model, k, self.pagerank_weight)
+        return (retrieval.with_properties(found, self.index, self.properties) if self.properties else found).orderBy("rank")
+
+    def show(self, query: str, k: int | None = 50, start: int = 0, end: int | None = 9) -> list[str]:
+        """The lines that show one query's results: the number of matches, and those at places start to end.
+
+        The existential model scores all matches, the others k.
+        """
+        found = self.ask(query, None if self.model == "existential" else k)
+        ranks = found.agg(F.count("*").alias("n")).first()["n"]
+        return [f"Found {ranks} results", *report.listing(found, ranks, start, end, self.properties)]
 
     def total(self, queries: DataFrame) -> DataFrame:
         return retrieval.totals(retrieval.MODELS[self.model](self.terms(queries), self.index))
@@ -69,13 +104,12 @@ class Search:
 
 def grid(search: Search, queries: DataFrame, judgements: DataFrame, expansions: Iterable[str], models: Iterable[str] = ("vsm", "okapi"), weights: Iterable[float] = (0.0, 0.25)) -> DataFrame:
     """Metrics of every query for each expansion, model and PageRank weight."""
-    from foliospark.operators import evaluation
-
     out = None
     for e in expansions:
         for m in models:
             for w in weights:
-                found = search.with_(expansion=e, model=m, pagerank_weight=w, properties=()).search(queries)
+                own = search.with_(expansion=e, model=m, pagerank_weight=w, properties=())
+                found = retrieval.scored(own.terms(queries), own.index, m, w)
                 rows = evaluation.metrics(found, judgements).select(F.lit(e).alias("expansion"), F.lit(m).alias("model"), F.lit(w).alias("pagerank_weight"), "*")
                 out = rows if out is None else out.union(rows)
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from foliospark.functions import tokens
 from foliospark.functions.scalars import PARTS_OF_SPEECH
-from foliospark.plans.queries import ASKED, FIRST, STOP, TAGGED, THESAURUS
+from foliospark.plans.queries import ASKED, FIRST, STOP, TAGGED, THESAURUS, WORDS
 
 
 def _text(value: str) -> str:
@@ -142,6 +142,34 @@ WHEN ns > 20 * {_MS} THEN {_half(f'(ns / {_MS})')} || 'ms' WHEN ns > 2 * {_MS} T
 
 _GRID = [("vsm", 0.0), ("vsm", 0.25), ("bm25", 0.0), ("bm25", 0.25)]
 _GRID_PARTS = ", ".join(f"{_blend('s_' + m, w, f'b{i}')}, {_top(f'b{i}', None, f'r{i}')}, {_metrics(f'r{i}', f'm{i}')}" for i, (m, w) in enumerate(_GRID))
+_GLOVE = f"""kept AS (SELECT query_id, pos, term AS token FROM {_values(ASKED, 'query_id, pos, term, weight')} WHERE lower(term) NOT IN ({_STOP})),
+named AS (SELECT word, embedding::DOUBLE[] AS e FROM embeddings JOIN (SELECT unnest({list(WORDS)}) AS word, unnest(range({len(WORDS)})) AS vec_id) USING (vec_id)),
+near AS (SELECT a.word, b.word AS other, row_number() OVER (PARTITION BY a.word ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.word) AS rank FROM named a JOIN named b ON a.word <> b.word WHERE a.word IN (SELECT token FROM kept) QUALIFY rank <= 3),
+cands AS (SELECT query_id, pos, 0 AS cand, token AS term, 1.0::DOUBLE AS weight FROM kept UNION ALL SELECT query_id, pos, rank, other, 0.5::DOUBLE FROM kept JOIN near ON word = token WHERE lower(other) NOT IN ({_STOP}))"""
+
+
+def _grid(name: str, wanted: str) -> str:
+    """Four runs of one expansion, whose terms are `wanted`."""
+    runs = " UNION ALL ".join(f"SELECT '{name}' AS expansion, '{'okapi' if m == 'bm25' else m}' AS model, {w}::DOUBLE AS pagerank_weight, query_id, round(avep, 9) AS avep, round(ndcg, 9) AS ndcg FROM m{i}" for i, (m, w) in enumerate(_GRID))
+    return f"SELECT * FROM (WITH {wanted}{INDEX}, {_terms('wanted') if wanted else _terms()}, {VSM}, {BM25}, {_normal('vsm', 's_vsm')}, {_normal('bm25', 's_bm25')}, {_JUDGED}, {_TOTAL}, {_GRID_PARTS} {runs})"
+
+
+def _said(ns: str) -> str:
+    return _DURATION.replace("ns ", f"{ns} ").replace("(ns", f"({ns}").replace("CAST(ns", f"CAST({ns}")
+
+
+_F4 = "CASE WHEN isnan({0}) THEN 'NaN' ELSE CAST(round({0}, 4) AS VARCHAR) END"
+_REPORT = f"""WITH r AS (SELECT o_orderkey::VARCHAR AS query, o_orderkey::BIGINT AS place, round(o_totalprice * 1000)::BIGINT AS ns, o_custkey AS results,
+CASE WHEN o_orderkey % 5 = 0 THEN 'nan'::DOUBLE ELSE (o_orderkey % 97 + 1) / 128 END AS avep, CASE WHEN o_orderkey % 5 = 0 THEN 'nan'::DOUBLE ELSE (o_orderkey % 31 + 1) / 32 END AS ndcg FROM orders),
+a AS (SELECT sum(ns)::BIGINT AS total, sum(ns)::BIGINT // count(*) AS mean, least(sum(results)::BIGINT, 1000000) AS rate, sum(ns)::BIGINT // sum(results)::BIGINT * least(sum(results)::BIGINT, 1000000) AS per_rate, min(ns) AS least, max(ns) AS most,
+(SELECT query FROM r ORDER BY ns, query LIMIT 1) AS quickest, (SELECT query FROM r ORDER BY ns DESC, query DESC LIMIT 1) AS slowest FROM r),
+f AS (SELECT * FROM r WHERE NOT isnan(avep)),
+l AS (SELECT 0 AS section, 0::BIGINT AS place, ['-> Evaluation options:', 'Retrieval model: Okapi BM25+', 'Query expansion: none', 'Pagerank weight (documents): 0.25', ''] AS lines
+UNION ALL SELECT 1, place, ['Query: ' || query, 'Search time: ' || {_said('ns')}, 'Results: ' || results, 'Average precision: ' || {_F4.format('avep')}, 'nDCG: ' || {_F4.format('ndcg')}, ''] FROM r
+UNION ALL SELECT 2, 0, ['------------------------------------------------', '-> Summary', '', '[Average precision]', 'Average: ' || {_F4.format('avg(avep)')}, 'Min: ' || {_F4.format('min(avep)')}, 'Max: ' || {_F4.format('max(avep)')}, ''] FROM f
+UNION ALL SELECT 3, 0, ['[nDCG]', 'Average: ' || {_F4.format('avg(ndcg)')}, 'Min: ' || {_F4.format('min(ndcg)')}, 'Max: ' || {_F4.format('max(ndcg)')}, ''] FROM f
+UNION ALL SELECT 4, 0, ['-> Search time', 'Total: ' || {_said('total')}, 'Average per query: ' || {_said('mean')}, 'Average per ' || rate || ' results: ' || {_said('per_rate')}, 'Min: ' || {_said('least')} || ' for query: ' || quickest, 'Max: ' || {_said('most')} || ' for query: ' || slowest, '', '-> Total time: 1m 30s'] FROM a)
+SELECT section, place, CAST(i - 1 AS INTEGER) AS n, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)"""
 _SESSION = f"SELECT query_id, 0 AS pos, lower(unnest({_split('query', tokens.QUERY)})) AS term, 1.0::DOUBLE AS weight FROM (VALUES (1, 'thing, erble (zzzz)'), (2, 'de la')) v(query_id, query)"
 
 SQL: dict[str, str] = {
@@ -163,7 +191,7 @@ SQL: dict[str, str] = {
     "vsm_doc_weight": f"WITH {INDEX} SELECT d.doc_id, round(vsm_weight, 9) AS vsm_weight FROM documents d LEFT JOIN wts USING (doc_id)",
     "postings_list": f"WITH {POSTINGS} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM post GROUP BY term",
     "postings_offset": f"WITH {INDEX} SELECT term, df, CAST(coalesce(sum(df * 8) OVER (ORDER BY term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM vocab",
-    "vocabulary_sorted": f"WITH {INDEX} SELECT term, df FROM vocab ORDER BY term LIMIT 1000",
+    "vocabulary_sorted": f"WITH {INDEX} SELECT term, df FROM vocab",
     "vocabulary_ranked": f"WITH {INDEX} SELECT term, df, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS place FROM vocab",
     "merge_query_terms": f"SELECT query_id, term, sum(weight) AS weight, min(pos) AS pos FROM {_values([*ASKED, (1, 3, 'thing', 0.25), (2, 2, 'the', 1.5)], 'query_id, pos, term, weight')} GROUP BY ALL",
     "query_df_lookup": f"WITH {INDEX}, {_terms()} SELECT query_id, term, df FROM q",
@@ -193,7 +221,8 @@ SQL: dict[str, str] = {
     "average_precision": f"{_EVAL} SELECT query_id, round(avep, 9) AS avep FROM metric",
     "ndcg": f"{_EVAL} SELECT query_id, round(ndcg, 9) AS ndcg FROM metric",
     "eval_summary": f"{_EVAL} SELECT metric, round(avg(v), 9) AS average, round(min(v), 9) AS least, round(max(v), 9) AS most FROM (SELECT 'avep' AS metric, avep AS v FROM metric UNION ALL SELECT 'ndcg', ndcg FROM metric) WHERE isfinite(v) GROUP BY metric",
-    "eval_grid": f"WITH {INDEX}, {_terms()}, {VSM}, {BM25}, {_normal('vsm', 's_vsm')}, {_normal('bm25', 's_bm25')}, {_JUDGED}, {_TOTAL}, {_GRID_PARTS} " + " UNION ALL ".join(f"SELECT '{'okapi' if m == 'bm25' else m}' AS model, {w}::DOUBLE AS pagerank_weight, query_id, round(avep, 9) AS avep, round(ndcg, 9) AS ndcg FROM m{i}" for i, (m, w) in enumerate(_GRID)),
+    "eval_grid": " UNION ALL ".join(_grid(n, w) for n, w in (("none", ""), ("glove", f"{_GLOVE}, wanted AS ({_CAPPED}), "), ("wordnet", f"{_WORDNET}, wanted AS ({_CAPPED}), "))),
+    "eval_report": _REPORT,
     "eval_timing": "WITH r AS (SELECT o_orderkey::VARCHAR AS query, round(o_totalprice * 1000)::BIGINT AS ns, o_custkey AS results FROM orders), a AS (SELECT sum(ns)::BIGINT AS total, count(*) AS n, sum(results)::BIGINT AS results, min(ns) AS least, max(ns) AS most FROM r) SELECT total, total // n AS mean, least(results, 1000000) AS rate, CASE WHEN results = 0 THEN total ELSE total // results * least(results, 1000000) END AS per_rate, (SELECT query FROM r ORDER BY ns, query LIMIT 1) AS quickest, least, (SELECT query FROM r ORDER BY ns DESC, query DESC LIMIT 1) AS slowest, most FROM a",
     "glove_nearest": f"SELECT word, near, rank, round(similarity, 5) AS similarity FROM ({_NEAR.format(sim=_SIM, where='w.vec_id < 100 AND w.vec_id % 5 = 0')})",
     "glove_expand": f"WITH q AS (SELECT * FROM (VALUES (1, 0, 'w3'), (1, 2, 'unknown'), (2, 0, 'w40')) v(query_id, pos, token)), n AS ({_NEAR.format(sim=_SIM, where='w.vec_id IN (3, 40)')}) SELECT query_id, pos, 0 AS cand, token AS term, 1.0::DOUBLE AS weight FROM q UNION ALL SELECT query_id, pos, rank, 'w' || near, 0.5::DOUBLE FROM q JOIN n ON 'w' || word = token",
@@ -201,7 +230,7 @@ SQL: dict[str, str] = {
     "expansion_cap": f"WITH {_WORDNET} {_CAPPED}",
     "expanded_search": f"WITH {_WORDNET}, wanted AS ({_CAPPED}), " + _search("bm25", 10, "wanted").removeprefix("WITH ") + " SELECT query_id, doc_id, score, rank FROM ranked",
     "char_histogram": "SELECT property, ch, count(*) AS cnt FROM (SELECT 'text' AS property, unnest(string_split(text, '')) AS ch FROM documents UNION ALL SELECT 'lang', unnest(string_split(lang, '')) FROM documents) WHERE ch <> '' GROUP BY ALL",
-    "json_reader": "SELECT doc_id::VARCHAR AS id, substring(text, 1, 40) AS title, 0 AS year, '' AS venue, lang AS fields, 0 AS n_authors FROM documents WHERE doc_id % 10 <> 3",
+    "json_reader": "SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS title, 0 AS year, '' AS venue, lang AS fields, 0 AS n_authors FROM documents WHERE doc_id % 10 <> 3",
     "json_reader_whole": "SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS text FROM documents",
     "json_props": "SELECT event_type, count(*) AS n, count(props) AS parsed FROM events GROUP BY ALL",
     "author_strings": "SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_suppkey) AS names, string_agg('[' || s_suppkey || ', ' || (s_suppkey + 1) || ']', ',' ORDER BY s_suppkey) AS ids FROM supplier GROUP BY ALL",

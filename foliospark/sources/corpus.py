@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.scalars import author_ids, author_names, record_size
+from foliospark.sources.scratch import materialize
+
 _STRINGS = T.ArrayType(T.StringType())
 DOCUMENT = T.StructType(
     [
@@ -44,6 +47,14 @@ def defaulted(raw: DataFrame) -> DataFrame:
     return raw.where("id is not null").withColumns(cols)
 
 
+def listing(spark: SparkSession, folder: str) -> list[str]:
+    """The plain files of a folder itself, by name; hidden ones, which Spark doesn't read either, are left out."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    names = [(f.getPath().getName(), f.getPath().toString()) for f in found if f.isFile()]
+    return [path for name, path in sorted(names) if name[0] not in "._"]
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a line, malformed lines and lines without id left out. Only the columns used are parsed."""
     return defaulted(spark.read.schema(DOCUMENT).option("mode", "PERMISSIVE").json(path))
@@ -68,8 +79,6 @@ def numbered(docs: DataFrame, order: str = "id") -> DataFrame:
     Range partitions are sorted and counted, and each row adds its place to the rows before its partition, so no
     task sees more than its own rows.
     """
-    from foliospark.sources.scratch import materialize
-
     ranged = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     ranged = materialize(ranged, "ranged")
     counts = ranged.groupBy("_part").count()  # one row a partition
@@ -77,10 +86,13 @@ def numbered(docs: DataFrame, order: str = "id") -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").withColumn("doc_id", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
+def string_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, id) of the wanted doc_ids; those that no document has are left out."""
+    return docs.select("doc_id", "id").join(wanted.select("doc_id").distinct(), "doc_id")
+
+
 def display(docs: DataFrame) -> DataFrame:
     """The record shown for a result: year, title, author names and ids, journal, and its size in bytes."""
-    from foliospark.functions.scalars import author_ids, author_names, record_size
-
     shown = docs.select("*", author_names(F.col("authors")).alias("author_names"), author_ids(F.col("authors")).alias("author_ids"))
     size = record_size(F.col("title"), F.col("author_names"), F.col("author_ids"), F.col("journalName"))
     return shown.select("id", "year", "title", "author_names", "author_ids", F.col("journalName").alias("journal_name"), size.alias("record_bytes"))
