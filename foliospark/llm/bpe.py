@@ -18,7 +18,6 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.kernels import buffers, slices, word_hash
-from foliospark.llm.shared import bounded, tidy
+from foliospark.llm.shared import Idle, bounded, tidy
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pre-tokens above LONG bytes and texts above LEAF characters are encoded as trees; the cache holds CACHE words.
@@ -113,6 +112,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -130,6 +130,8 @@ class Encoder:
         self.number = {b: i for i, b in enumerate(self.bytes) if i in added}
         self.kinds = classes(self.tokenizer.pre_tokenizer.pre_tokenize_str)
         self._piece = self._by_rank(added)
+        if self._piece:
+            self.tokenizer = None  # nothing asks it any more
         self._forget()
 
     def _by_rank(self, added: dict[int, str]):
@@ -204,6 +206,7 @@ class Encoder:
         Words are looked up by hash, and the result is then spelt out: only if every pre-token's ids spell its own
         bytes were all looked up right; else the buffer is encoded without the cache.
         """
+        encoder.touch(self.path)
         start = pretokens(data, off, self.kinds, self.special)
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(len(off), np.int64), start, np.zeros(1, np.int64)
@@ -250,10 +253,8 @@ class Encoder:
         return self.raw(ids).decode("utf-8", "replace")
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    return Encoder(path)
+#: One encoder for each file and Python worker, as long as tasks use it.
+encoder = Idle(Encoder)
 
 
 class Part:

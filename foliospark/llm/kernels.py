@@ -7,13 +7,14 @@ SEGMENT however long a text is.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from foliospark.llm.shared import Idle
+
 SEGMENT = 1 << 19
 #: Longer words than so many bytes are hashed one by one.
 FAR = 128
@@ -54,8 +55,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SEGMENT) ->
         at = to
 
 
-@cache
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    n, base = key
     with np.errstate(over="ignore"):
         one = np.ones(n + 1, np.uint64)
         up, down = one.copy(), one.copy()
@@ -64,9 +65,12 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_held = Idle(_powers)
+
+
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n."""
-    return _powers(1 << max(12, int(n).bit_length()), base)
+    return _held((1 << max(20, int(n).bit_length()), base))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

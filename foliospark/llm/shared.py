@@ -33,6 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: On a mounted folder Hadoop's default starts two processes (chmod) for each part file, and each of them shares the
+#: executor's memory for a moment; this one starts none. It concerns `file:` paths alone. Parquet pages have checksums.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
@@ -40,7 +45,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}-{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.options(**PLAIN_FILES).mode("overwrite").parquet(path)
     _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folio_path = path
@@ -93,6 +98,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _tidied = 0
 
 
+class Idle:
+    """Objects that a Python worker makes once for all its tasks, and drops when none has asked for one for a while."""
+
+    SECONDS = 4.0
+    _all: list[Idle] = []
+
+    def __init__(self, make: Callable):
+        self.make, self.held, self.used = make, {}, {}
+        self._all.append(self)
+
+    def __call__(self, key):
+        self.used[key] = time.monotonic()
+        if (found := self.held.get(key)) is None:
+            found = self.held[key] = self.make(key)
+        return found
+
+    def touch(self, key) -> None:
+        """Say that the object is still in use."""
+        self.used[key] = time.monotonic()
+
+    @classmethod
+    def sweep(cls) -> None:
+        for own in cls._all:
+            for key in [k for k, t in own.used.items() if time.monotonic() - t > cls.SECONDS]:
+                own.held.pop(key, None)
+                own.used.pop(key, None)
+
+
 def tidy() -> None:
     """To be called in a Python worker: from then on, memory that it has freed goes back to the system each second.
 
@@ -107,6 +140,7 @@ def tidy() -> None:
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         while True:
             time.sleep(1)
+            Idle.sweep()
             gc.collect(0)
             pa.default_memory_pool().release_unused()
             if trim:
