@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.shared import bounded, materialize, tidy
-from foliospark.llm.vectors import matrix, usable, width
+from foliospark.llm.vectors import matrix, usable
 
 #: Rows of the smallest hashes on which codebooks are fitted; dimensions of a subspace; weight of the parallel part.
 SAMPLE, DIMS, ETA = 5_000, 2, 4.0
@@ -119,20 +119,35 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, wanted: Column, k: int = 20, queries: int = QUERIES, rows: int = ROWS, keep: int = KEEP, sample: int = SAMPLE) -> DataFrame:
+def _one_each(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One row of each id, ids ascending: of several the lexicographically smallest vector."""
+    own, first, n = np.unique(ids, return_index=True, return_counts=True)
+    for i in np.flatnonzero(n > 1).tolist():
+        rows = np.flatnonzero(ids == own[i])
+        first[i] = rows[np.lexsort(x[rows].T[::-1])[0]]
+    return first
+
+
+def search(vectors: DataFrame, wanted: Column, k: int = 20, **options) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where `wanted` holds, the k rows of largest inner product.
 
-    A row isn't its own candidate. Vectors that are null, empty, zero, of another width than the commonest, or hold a
-    null or non-finite component take no part, as do rows without vec_id; ties go to the smaller vec_id; with fewer
-    than k others all are returned. Rows with one vec_id count as one. No rows give no rows; other columns are ignored.
+    A row isn't its own candidate. Vectors that are null, empty, zero, or hold a null or non-finite component take no
+    part, as do rows without vec_id; vectors meet those of their own width. Ties go to the smaller vec_id; with fewer
+    than k others all are returned. Rows with one vec_id count as one, that of the lexicographically smallest vector
+    of a width. No rows give no rows; other columns are ignored.
     """
     bounded(vectors.sparkSession)
-    fit = vectors.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding")
-    dims = width(fit)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not dims:
-        return vectors.sparkSession.createDataFrame([], schema)
-    fit = fit.where(F.size("embedding") == dims)
+    fit = vectors.where(usable() & F.col("vec_id").isNotNull())
+    out = None
+    for r in fit.groupBy(F.size("embedding").alias("width")).count().orderBy("width").collect():  # one row a width
+        found = _search(fit.where(F.size("embedding") == r["width"]), wanted, k, **options)
+        out = found if out is None else out.union(found)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(fit: DataFrame, wanted: Column, k: int, queries: int = QUERIES, rows: int = ROWS, keep: int = KEEP, sample: int = SAMPLE) -> DataFrame:
+    """`search` among vectors of one width."""
+    fit = fit.select("vec_id", "embedding")
     chosen = fit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()  # of bounded size
     quantiser = Quantiser.fit(matrix(chosen.column("embedding")))
 
@@ -154,13 +169,15 @@ def search(vectors: DataFrame, wanted: Column, k: int = 20, queries: int = QUERI
         tidy()
         found: list[list] = [[], [], []]
         if qs.num_rows and rs.num_rows:
-            ids, order = np.unique(rs.column("vec_id").to_numpy(), return_index=True)
-            x = np.asfortranarray(matrix(rs.column("embedding"))[order])
+            x = matrix(rs.column("embedding"))
+            order = _one_each(rs.column("vec_id").to_numpy(), x)
+            ids, x = rs.column("vec_id").to_numpy()[order], np.asfortranarray(x[order])
             gap = rs.column("gap").to_numpy()[order]
-            codes = np.frombuffer(b"".join(rs.column("codes").to_pylist()), np.uint8).reshape(len(x) if len(order) == rs.num_rows else rs.num_rows, -1)[order]
+            codes = np.frombuffer(b"".join(rs.column("codes").to_pylist()), np.uint8).reshape(rs.num_rows, -1)[order]
             codes = np.ascontiguousarray(codes.T)
-            who, first = np.unique(qs.column("query_id").to_numpy(), return_index=True)
-            for q, v in zip(who.tolist(), matrix(qs.column("embedding"))[first], strict=True):
+            asking = matrix(qs.column("embedding"))
+            first = _one_each(qs.column("query_id").to_numpy(), asking)
+            for q, v in zip(qs.column("query_id").to_numpy()[first].tolist(), asking[first], strict=True):
                 own = ids != q
                 best = np.flatnonzero(own)
                 if len(best) > max(keep, k):
