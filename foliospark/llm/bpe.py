@@ -31,6 +31,8 @@ from foliospark.llm.shared import Idle, bounded, tidy
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pre-tokens above LONG bytes and texts above LEAF characters are encoded as trees; the cache holds CACHE words.
 LONG, LEAF, CACHE = 2048, 32768, 400_000
+#: Buffers of more bytes are encoded piece by piece.
+PIECE = 1 << 20
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 
 
@@ -205,8 +207,43 @@ class Encoder:
 
         Words are looked up by hash, and the result is then spelt out: only if every pre-token's ids spell its own
         bytes were all looked up right; else the buffer is encoded without the cache.
+
+        Long buffers are cut before a single space between an ASCII letter and another, which begins a pre-token
+        whatever stands around it; so memory follows PIECE, not a text's length, wherever a text holds such a place.
         """
         encoder.touch(self.path)
+        if len(data) <= PIECE:
+            return self._encode(data, off)
+        letter = np.zeros(256, bool)
+        letter[[*range(65, 91), *range(97, 123)]] = True
+        cuts, at = [0], 0
+        while len(data) - at > PIECE:
+            look = at + PIECE // 2
+            while look < len(data):
+                d = data[look : look + PIECE // 2]
+                hit = np.flatnonzero(letter[d[:-2]] & (d[1:-1] == 32) & letter[d[2:]])
+                if len(hit):
+                    break
+                look += max(1, len(d) - 2)
+            if look >= len(data):
+                break
+            at = look + int(hit[-1]) + 1
+            cuts.append(at)
+        cuts.append(len(data))
+        ids, starts, places, n = [], [], [np.zeros(1, np.int64)], 0
+        begin = np.zeros(len(off), np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            inside = np.flatnonzero((off >= a) & (off < b) | (off == len(data)) & (b == len(data)))
+            own = np.unique(np.concatenate([[0], off[inside] - a, [b - a]]))
+            i, at_own, start, place = self._encode(data[a:b], own)
+            begin[inside] = n + at_own[np.searchsorted(own, off[inside] - a)]
+            ids.append(i)
+            starts.append(start + a)
+            places.append(place[1:] + n)
+            n += len(i)
+        return np.concatenate(ids), begin, np.concatenate(starts), np.concatenate(places)
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         start = pretokens(data, off, self.kinds, self.special)
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(len(off), np.int64), start, np.zeros(1, np.int64)
@@ -318,7 +355,8 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id and ids (binary, little-endian of the encoder's width) of every row's whole text; null: empty.
 
     Texts up to `leaf` characters are encoded where they are read. Longer ones, equal rows together, are cut into
-    leaves that are dealt to all tasks, and their encodings joined as a tree.
+    leaves that are dealt to all tasks, and their encodings joined as a tree. Repeated rows and rows without doc_id
+    give rows of their own; no rows give no rows; columns beside doc_id and text are ignored.
     """
     bounded(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -344,8 +382,7 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         enc = encoder(path)
         rows = sorted(t.to_pylist(), key=lambda r: r["leaf"])
         whole = tree(enc, [Part.of(enc, r["text"].encode(), np.frombuffer(r["ids"], enc.dtype)) for r in rows])
-        n = rows[0]["n"]
-        return pa.table({"doc_id": pa.array([key[0].as_py()] * n, pa.int64()), "ids": pa.array([whole.ids.tobytes()] * n, pa.binary())})
+        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([rows[0]["n"]], pa.int64()), "ids": pa.array([whole.ids.tobytes()], pa.binary())})
 
     out = "doc_id long, ids binary"
     length = F.length("text")
@@ -353,7 +390,10 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     cut = long.select("doc_id", F.xxhash64("text").alias("h"), "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(text) - 1) div {leaf} as int)"))).alias("leaf"), "text")
     cut = cut.select("doc_id", "h", "n", "leaf", F.expr(f"substring(text, leaf * {leaf} + 1, {leaf})").alias("text"))
     spread = cut.repartition("doc_id", "leaf").mapInArrow(leaves, "doc_id long, h long, n long, leaf int, text string, ids binary")
-    return texts.where(length <= leaf).mapInArrow(short, out).union(spread.groupBy("doc_id", "h").applyInArrow(joined, out))
+    whole = spread.groupBy("doc_id", "h").applyInArrow(joined, "doc_id long, n long, ids binary")
+    # copies are made one row at a time, after the encoding
+    whole = whole.withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).select("doc_id", "ids")
+    return texts.where(length <= leaf).mapInArrow(short, out).union(whole)
 
 
 def binary(values: np.ndarray, at: np.ndarray) -> pa.Array:

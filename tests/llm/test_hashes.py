@@ -51,3 +51,19 @@ def test_encoder_checks_what_it_looks_up(monkeypatch):
     lib, own = Tokenizer.from_file(vocabulary()), bpe.Encoder(vocabulary())
     texts = ["one two ten six", "", "<|endoftext|> three's", "übel 123 " * 30]
     assert [x.tolist() for x in own.texts(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_buffers_piece_by_piece(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, own, rng = Tokenizer.from_file(vocabulary()), bpe.Encoder(vocabulary()), random.Random(5)
+    bits = ["it's ", "we'll ", "a b", "<|endoftext|>", "<|endof text|>", "  x ", "日本 ", "12 3", "\n\n", " \t", "é à", "word ", "x" * 90, ""]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "", "no" * 400, ""]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for size in (16, 100, 5000):
+        monkeypatch.setattr(bpe, "PIECE", size)
+        assert [x.tolist() for x in own.texts(texts)] == want
+        whole = bpe.Part.encode(own, "".join(texts).encode())
+        monkeypatch.setattr(bpe, "PIECE", 1 << 30)
+        plain = bpe.Part.encode(own, "".join(texts).encode())
+        assert all(np.array_equal(getattr(whole, f), getattr(plain, f)) for f in ("ids", "start", "place"))
