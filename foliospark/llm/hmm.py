@@ -41,11 +41,11 @@ def _tokens(b: pa.RecordBatch, endings: int) -> tuple[np.ndarray, np.ndarray, np
     """Word hashes, ending classes, and the words' places by text."""
     data, off = buffers(b.column("text"))
     start, end, h = words(data, off, SPACE)
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.int64)
+    low = np.where((data >= 65) & (data <= 90), data + 32, data)
     k = np.zeros(len(h), np.int64)
     for j in (1, 2, 3):
         at = end - j
-        k = k * 257 + np.where(at >= start, low[np.maximum(at, 0)] if len(low) else 0, 256)
+        k = k * 257 + np.where(at >= start, low[np.maximum(at, 0)].astype(np.int64) if len(low) else 0, 256)
     return h, (k * 2654435761 >> 13) % endings, word_offsets(start, off)
 
 
