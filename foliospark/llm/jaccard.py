@@ -3,14 +3,15 @@
 A text's set holds the 64-bit hashes of its distinct word shingles. Sets are ordered rarest first by a count sketch
 of all texts' shingles (ties by hash), so any two sets agree on the order. Two sets that reach the threshold share a
 shingle within their prefixes; only prefix shingles that two different sets hold are kept, equal sets being one.
-Candidates pass a length filter, a positional filter (what two prefixes' places leave at most), a count of the
-prefix shingles they share (with the rest of the set whose prefix ends first, that bounds their overlap), and a
+Candidates pass a length filter, a positional filter (what two prefixes' places leave at most, and before them the
+shingles that other sets hold at all), a count of the prefix shingles they share (with the rest of the set whose prefix ends first, that bounds their overlap), and a
 suffix filter (the counts of both sets' shingles by hash range differ no more than the threshold allows), and are
 verified once on whole sets.
 
-Within a large group of near copies not all pairs are made. First every set is verified against one leader for each
-of its prefix shingles and its size range. What that links becomes components, and only pairs across components
-are joined after that: a pair left out has its link's effect already, so components are exact.
+Within a large group of near copies not all pairs are made. First every set is verified against one leader, that
+which shares most of its prefix shingles, in LED rounds; what that links becomes components. Then all pairs across
+components are joined, but for those already verified: a pair left out within a component has its link's effect
+already, so components are exact.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
 from foliospark.llm.kernels import SPACE, buffers, shingles, slices, word_offsets, words
-from foliospark.llm.shared import bloom, in_bloom, materialize, member, temporary
+from foliospark.llm.shared import bloom, bounded, in_bloom, materialize, member, temporary, tidy
 
-#: Counters of the sketch, and the slices it is summed in; ranges of the suffix filter; sets remembered by a task.
-BITS, PARTS, RANGES, SEEN = 24, 128, 32, 200_000
-COUNTERS = 1 << BITS
+#: Slots of the sketch that count to 3, and those that go on; the slices it is summed in; ranges of the suffix filter;
+#: sets remembered by a task; rounds of leaders.
+BITS, HEAVY, PARTS, RANGES, SEEN, LED = 26, 20, 64, 32, 200_000, 2
 
 
 def _sets(b: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -42,39 +43,110 @@ def _sid(s: np.ndarray) -> int | None:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
 
 
-def _slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - BITS)).astype(np.int64)
+class Sketch:
+    """How many sets hold a shingle: 0 to 3 in 2**BITS slots of two bits, and beyond in 2**HEAVY counters; 20 MB."""
 
+    def __init__(self):
+        self.low, self.high = (np.zeros((1 << BITS) // 8, np.uint8) for _ in range(2))
+        self.heavy = np.zeros(1 << HEAVY, np.uint32)
 
-def describe(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(rid, sid, size) of every row, and the sketch: how many texts hold a shingle of each slot, to 255."""
+    @staticmethod
+    def _places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = s >> np.uint64(64 - BITS)
+        return (slot >> np.uint64(3)).astype(np.int64), (slot & np.uint64(7)).astype(np.uint8)
+
+    @staticmethod
+    def _heavy(s: np.ndarray) -> np.ndarray:
+        return (s & np.uint64((1 << HEAVY) - 1)).astype(np.int64)
+
+    def _few(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return (self.low[at] >> bit & 1) + 2 * (self.high[at] >> bit & 1)
+
+    def add(self, s: np.ndarray) -> None:
+        """Count the shingles of several sets, put end to end."""
+        self.heavy += np.bincount(self._heavy(s), minlength=1 << HEAVY).astype(np.uint32)
+        _, one, n = np.unique(s >> np.uint64(64 - BITS), return_index=True, return_counts=True)
+        at, bit = self._places(s[one])
+        now = np.minimum(self._few(at, bit) + n, 3)
+        for plane, on in ((self.low, now & 1 == 1), (self.high, now & 2 == 2)):
+            np.bitwise_and.at(plane, at, ~(np.uint8(1) << bit))
+            np.bitwise_or.at(plane, at[on], np.uint8(1) << bit[on])
+
+    def count(self, s: np.ndarray) -> np.ndarray:
+        few = self._few(*self._places(s)).astype(np.uint64)
+        return np.where(few < 3, few, 3 + np.minimum(self.heavy[self._heavy(s)], 0xFFFF).astype(np.uint64))
+
+    def slices(self) -> list[bytes]:
+        """PARTS compressed slices, of which equal ones of several sketches can be summed."""
+        return [pa.compress(x.tobytes() + y.tobytes() + z.tobytes(), codec="zstd", asbytes=True) for x, y, z in zip(self.low.reshape(PARTS, -1), self.high.reshape(PARTS, -1), self.heavy.reshape(PARTS, -1), strict=True)]
+
+    WIDTH = (1 << BITS) // 8 // PARTS
+
+    @classmethod
+    def _unpacked(cls, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(pa.decompress(raw, 2 * cls.WIDTH + 4 * (1 << HEAVY) // PARTS, codec="zstd", asbytes=True), np.uint8)
+        return x[: 2 * cls.WIDTH].reshape(2, -1), x[2 * cls.WIDTH :].view(np.uint32)
+
+    @classmethod
+    def summed(cls, raws: list[bytes]) -> bytes:
+        few, heavy = np.zeros(8 * cls.WIDTH, np.uint8), np.zeros((1 << HEAVY) // PARTS, np.uint64)
+        for raw in raws:
+            planes, more = cls._unpacked(raw)
+            few = np.minimum(few + np.unpackbits(planes[0]) + 2 * np.unpackbits(planes[1]), 3)
+            heavy += more
+        return pa.compress(np.packbits(few & 1).tobytes() + np.packbits(few >> 1).tobytes() + np.minimum(heavy, 0xFFFFFFFF).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+
+    def put(self, part: int, raw: bytes) -> None:
+        planes, heavy = self._unpacked(raw)
+        for own, x in ((self.low, planes[0]), (self.high, planes[1]), (self.heavy, heavy)):
+            own.reshape(PARTS, -1)[part] = x
+
+
+class Seen:
+    """Remembers the last sets of a task, SEEN of them."""
+
+    def __init__(self):
+        self.own: set[int] = set()
+
+    def new(self, sid: int | None) -> bool:
+        if sid is None or sid in self.own:
+            return False
+        if len(self.own) >= SEEN:
+            self.own.clear()
+        self.own.add(sid)
+        return True
+
+
+def describe(texts: DataFrame, n: int) -> tuple[DataFrame, Sketch]:
+    """(rid, sid, size) of every row, and the sketch of the shingles of all sets, but for a task's repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(COUNTERS, np.uint8)
+        tidy()
+        sketch, seen, any_set = Sketch(), Seen(), False
         for batch in batches:
             for b in slices(batch):
                 sets = _sets(b, n)
-                if total := [s for s in sets if len(s)]:
-                    slot, n_texts = np.unique(_slot(np.concatenate(total)), return_counts=True)
-                    count[slot] = np.minimum(count[slot] + n_texts, 255)
+                sids = [_sid(s) for s in sets]
+                if fresh := [s for s, sid in zip(sets, sids, strict=True) if seen.new(sid)]:
+                    any_set = True
+                    sketch.add(np.concatenate(fresh))
                 none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([_sid(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *none], ["rid", "sid", "size", "part", "counts"])
-        if count.any():
-            blocks = [x.tobytes() for x in count.reshape(PARTS, -1)]
+                yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *none], ["rid", "sid", "size", "part", "counts"])
+        if any_set:
             none = [pa.nulls(PARTS, pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(blocks, pa.binary())], ["rid", "sid", "size", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(sketch.slices(), pa.binary())], ["rid", "sid", "size", "part", "counts"])
 
     def add(key, t):
-        total = np.zeros(COUNTERS // PARTS, np.uint32)
-        for x in t.column("counts").to_pylist():
-            total = np.minimum(total + np.frombuffer(x, np.uint8), 255)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+        tidy()
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([Sketch.summed(t.column("counts").to_pylist())], pa.binary())})
 
     both = materialize(texts.mapInArrow(run, "rid long, sid long, size long, part int, counts binary"), "sets")
-    sketch = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
-    for r in both.where("part is not null").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # 16 MB, whatever the input
-        sketch[r["part"]] = np.frombuffer(r["counts"], np.uint8)
-    return both.where("part is null").select("rid", "sid", "size"), sketch.ravel()
+    sketch, summed = Sketch(), both.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int").alias("turn"))
+    # in two steps, so that no task holds the slices of all tasks
+    half = summed.groupBy("part", "turn").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    for r in half.toLocalIterator():  # 20 MB, whatever the input
+        sketch.put(r["part"], r["counts"])
+    return both.where("part is null").select("rid", "sid", "size"), sketch
 
 
 def prefix_size(size, num: int, den: int):
@@ -86,20 +158,17 @@ def _prefixes(texts: DataFrame, n: int, num: int, den: int, sketch, only=None) -
     """token, sid, size, pos: each set's prefix, rarest first. A task passes over sets that it has just seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        counts = sketch.value
+        tidy()
+        seen = Seen()
         for batch in batches:
             for b in slices(batch):
                 out: list[tuple] = []
                 for s in _sets(b, n):
                     sid = _sid(s)
-                    if sid is None or sid in seen:
+                    if not seen.new(sid):
                         continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(sid)
                     size = prefix_size(len(s), num, den)
-                    key = (counts[_slot(s)].astype(np.uint64) << np.uint64(48)) | (s >> np.uint64(16))
+                    key = (sketch.value.count(s) << np.uint64(46)) | (s >> np.uint64(18))
                     first = np.argpartition(key, size - 1)[:size] if size < len(s) else np.arange(len(s))
                     first = first[np.argsort(key[first], kind="stable")]
                     token, pos = s[first].view(np.int64), np.arange(len(first), dtype=np.int32)
@@ -113,14 +182,14 @@ def _prefixes(texts: DataFrame, n: int, num: int, den: int, sketch, only=None) -
     return texts.mapInArrow(run, "token long, sid long, size int, pos int")
 
 
-def _need(num: int, den: int) -> Column:
+def _need(na: str, nb: str, num: int, den: int) -> Column:
     """The overlap that two sets need: |x and y| >= num / (num + den) * (|x| + |y|)."""
-    return F.expr(f"cast((({num} * cast(na + nb as long)) + {num + den - 1}) div {num + den} as int)")
+    return F.expr(f"cast((({num} * cast({na} + {nb} as long)) + {num + den - 1}) div {num + den} as int)")
 
 
 def _shared(num: int, den: int) -> Column:
     """The prefix shingles that two sets must share: an overlap's rest lies beyond the prefix that ends first."""
-    return _need(num, den) - F.greatest(*[F.expr(f"cast((({num} * cast({n} as long)) + {den - 1}) div {den} as int) - 1") for n in ("na", "nb")])
+    return _need("na", "nb", num, den) - F.greatest(*[F.expr(f"cast((({num} * cast({n} as long)) + {den - 1}) div {den} as int) - 1") for n in ("na", "nb")])
 
 
 def _bucket(size: Column, num: int, den: int) -> Column:
@@ -133,8 +202,9 @@ def _members(texts: DataFrame, rows: DataFrame, used: DataFrame, n: int) -> Data
     near = texts.where(member(bloom(of, "rid", of.count()))("rid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
-            for b in slices(batch, size=1 << 20):
+            for b in slices(batch):
                 sets = _sets(b, n)
                 spread = [np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES), 1 << 30).astype(np.int32).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(spread, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "ranges", "hashes"])
@@ -147,6 +217,7 @@ def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, num:
     members = _members(texts, rows, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), n)
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int32).reshape(-1, RANGES).astype(np.int64) for c in ("ra", "rb"))
             total = t.column("na").to_numpy().astype(np.int64) + t.column("nb").to_numpy()
@@ -155,6 +226,7 @@ def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, num:
             yield t.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for t in batches:
             keep = []
             for x, y in zip(t.column("ha"), t.column("hb"), strict=True):
@@ -167,14 +239,47 @@ def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, num:
         return members.select(F.col("sid").alias(key), F.col(kept).alias(value))
 
     near = pairs.join(side("ranges", "a", "ra"), "a").join(side("ranges", "b", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    near = materialize(near.mapInArrow(apart, "a long, b long, na int, nb int").distinct(), "near")
+    near = materialize(near.mapInArrow(apart, "a long, b long, na int, nb int"), "near")
     whole = near.join(side("hashes", "a", "ha"), "a").join(side("hashes", "b", "hb"), "b").select("a", "b", "ha", "hb")
-    return materialize(whole.mapInArrow(check, "a long, b long").distinct(), "links")
+    return materialize(whole.mapInArrow(check, "a long, b long"), "links")
+
+
+def _pair(x: str, y: str, nx: str, ny: str) -> list[Column]:
+    """Two sets in the order of their ids, with their sizes."""
+    first = F.col(x) < F.col(y)
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(first, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(first, F.col(ny)).otherwise(F.col(nx)).alias("nb")]
+
+
+def _placed(posts: DataFrame, of: DataFrame) -> DataFrame:
+    """Postings with the components known so far, of shingles that several components hold, and how many of these
+    come before each in its set."""
+    posts = materialize(posts.join(of.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
+    apart = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    posts = posts.join(materialize(apart, "apart"), "token")
+    return materialize(posts.withColumn("before", F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1), "open")
+
+
+def _led(posts: DataFrame, tried: DataFrame | None, num: int, den: int) -> DataFrame:
+    """(a, b, na, nb): each set and the leader, of another component, that shares most of its prefix shingles.
+
+    A shingle's leader in each size range is the set with the fewest rarer shingles before it: of near copies the one
+    that is edited least, to which the others are nearer than to each other. A leader need not share all that a member
+    has, so half of what a link takes is asked for.
+    """
+    leaders = posts.groupBy("token", "bucket").agg(F.min(F.struct("pos", "size", "sid", "component")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", "bucket", "l")
+    met = posts.join(materialize(leaders, "leaders"), ["token", "bucket"]).where("component <> l.component")
+    met = met.select("sid", "size", F.col("l.sid").alias("leader"), F.col("l.size").alias("of"))
+    met = met.groupBy("sid", "size", "leader", "of").agg(F.count("*").alias("c")).select("sid", "leader", "c", *_pair("sid", "leader", "size", "of"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    best = met.where(F.col("c") * 2 >= _shared(num, den)).groupBy("sid").agg(F.min(F.struct(-F.col("c"), "leader", "a", "b", "na", "nb")).alias("m"))
+    return materialize(best.select("m.a", "m.b", "m.na", "m.nb").distinct(), "led")
 
 
 def links(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(rid, sid, size) of every row, and links (a, b) between set ids whose components are those of all links."""
     spark = texts.sparkSession
+    bounded(spark)
     rows, counts = describe(texts, n)
     sketch = spark.sparkContext.broadcast(counts)
     shared = _prefixes(texts, n, num, den, sketch).groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
@@ -183,26 +288,23 @@ def links(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Data
     posts = _prefixes(texts, n, num, den, sketch, only).join(shared, "token")
     posts = posts.groupBy("token", "sid").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
     posts = materialize(posts.withColumn("bucket", _bucket(F.col("size"), num, den).cast("int")), "postings")
-    # first round: a leader for each shingle and size range
-    leaders = materialize(posts.groupBy("token", "bucket").agg(F.min(F.struct("size", "sid")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", "bucket", "l"), "leaders")
-    led = posts.join(leaders, ["token", "bucket"]).where("sid <> l.sid")
-    led = led.select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b"), F.when(F.col("sid") < F.col("l.sid"), F.col("size")).otherwise(F.col("l.size")).alias("na"), F.when(F.col("sid") < F.col("l.sid"), F.col("l.size")).otherwise(F.col("size")).alias("nb"))
-    # a leader need not share all that a member has, so half of what a link takes is asked for
-    led = led.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") * 2 >= _shared(num, den))
-    star = _verified(texts, rows, materialize(led.select("a", "b", "na", "nb"), "led"), n, num, den)
-    of = components(star)
-    # second round: pairs across components
-    posts = materialize(posts.join(of.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
-    apart = materialize(posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "apart")
-    posts = materialize(posts.join(apart, "token"), "open")
-    x = posts.select("token", "bucket", F.col("sid").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
-    y = posts.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("sid").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
-    pairs = x.join(y, ["token", "bucket"]).where("x <> y and cx <> cy and (nx < ny or nx = ny and x < y)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"), "nx", "ny", "px", "py")
-    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.least("px", "py") >= _need(num, den))
-    near = pairs.where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= _shared(num, den))
-    more = _verified(texts, rows, materialize(near.select("a", "b", "na", "nb"), "pairs"), n, num, den)
-    return rows, star.union(more)
+    sketch.unpersist()
+    found, tried, open_posts = None, None, posts.withColumn("component", F.col("sid"))
+    for _ in range(LED):
+        led = _led(open_posts, tried, num, den)
+        star = _verified(texts, rows, led, n, num, den)
+        tried = led.select("a", "b") if tried is None else tried.union(led.select("a", "b"))
+        found = star if found is None else found.union(star)
+        open_posts = _placed(posts, components(found))
+    # pairs across components
+    x = open_posts.select("token", "bucket", F.col("sid").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("before").alias("bx"), F.col("component").alias("cx"))
+    y = open_posts.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("sid").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("before").alias("by"), F.col("component").alias("cy"))
+    # two sets share at most what both hold from here on and, of what comes before, shingles that others hold too
+    fits = (F.col("nx") * den >= F.col("ny") * num) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.least("bx", "by") >= _need("nx", "ny", num, den))
+    pairs = x.join(y, ["token", "bucket"]).where("cx <> cy and (nx < ny or nx = ny and x < y)").where(fits)
+    near = pairs.select(*_pair("x", "y", "nx", "ny")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= _shared(num, den))
+    near = near.join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb")
+    return rows, found.union(_verified(texts, rows, materialize(near, "pairs"), n, num, den))
 
 
 def classes(docs: DataFrame, n: int, num: int, den: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -239,8 +341,9 @@ def one_of_each(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         first = placed.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f"), F.sum("copies").alias("all")).where("all > 1").select(F.col("group"), F.col("f.rid").alias("first"))
         first = materialize(first, "first")
         several = keep(materialize(placed.join(first, "group").select("rid", (F.col("rid") == F.col("first")).alias("_stays")), "several"))
-    marked = docs.withColumn("_rid", rid)
-    near = member(bloom(several, "rid", several.count()))("_rid")
-    met = marked.where(near).join(several.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    kept = met.where("_stays").dropDuplicates(["_rid"]).unionByName(met.where("_stays is null"))
-    return marked.where(~near).drop("_rid").unionByName(kept.drop("_rid", "_stays"))
+    # all columns travel as one, so that none of their names can clash
+    marked = docs.select(F.struct(*docs.columns).alias("row"), rid.alias("rid"))
+    near = member(bloom(several, "rid", several.count()))("rid")
+    met = marked.where(near).join(several, "rid", "left")
+    kept = met.where("_stays").dropDuplicates(["rid"]).union(met.where("_stays is null"))
+    return marked.where(~near).select("row.*").union(kept.select("row.*"))

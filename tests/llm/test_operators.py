@@ -229,22 +229,6 @@ def test_hmm(docs, all_rows, empty):
     assert sum(map(len, got.values())) == len(all_rows) and hmm.score(empty).count() == 0
 
 
-def test_forward_is_exact():
-    rng = np.random.default_rng(0)
-    s = 3
-    m = hmm.Model(*(x / x.sum(axis, keepdims=True) for x, axis in ((rng.random(s), 0), (rng.random((s, s)), 1), (rng.random((hmm.SYMBOLS, s)), 0))))
-    x, at = rng.integers(0, hmm.SYMBOLS, 40).astype(np.uint16), np.array([0, 1, 8, 40])
-    for span in (4, 7, 64):
-        for k, got in enumerate(hmm.likelihood(m, x, at, span)):
-            v = m.start * m.emit[x[at[k]]]
-            for y in x[at[k] + 1 : at[k + 1]]:
-                v = (v @ m.step) * m.emit[y]
-            assert got == pytest.approx(math.log10(v.sum()))
-    before = hmm.likelihood(m, x, at).sum()
-    better = hmm.Model(*(y / y.sum(axis, keepdims=True) for y, axis in zip(hmm.expected(m, x, at, 64), (0, 1, 0), strict=True)))
-    assert hmm.likelihood(better, x, at).sum() > before
-
-
 @pytest.mark.parametrize("n", [0, 1, 23, 24, 500])
 def test_sharding(spark, n):
     d = spark.createDataFrame([(i, None if i % 9 == 0 else "é" * (i % 50)) for i in range(n)], "doc_id long, text string")
