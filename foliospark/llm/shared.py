@@ -55,6 +55,18 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 _made: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` gave, once nothing reads it any more; other tables stay."""
+    if path := getattr(df, "_folio_path", None):
+        _delete(df.sparkSession, path)
+        _made.remove(path)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables materialized inside are deleted when it ends, but for those passed to the function that it gives.
@@ -72,8 +84,7 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     finally:
         for path in _made[before:]:
             if path not in kept:
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(spark, path)
         _made[before:] = kept
 
 
