@@ -1,4 +1,4 @@
-"""Suffix-array dedup by depth-limited radix passes: every byte string of `window` bytes that starts twice.
+"""Suffix-array dedup by depth-limited refinement: every byte string of `window` bytes that starts twice.
 
 Suffixes are split by one key after another, only as deep as the window, and a group of one is dropped at once; the
 groups that are left at full depth are exactly the repeated windows. Only equality counts, so a pass's digit is a
@@ -12,8 +12,13 @@ hash of part of the window rather than its first byte:
    equal ones are repeats as a whole, one of them stands for all, and cells whose core no other has are dropped.
 4. The full window, for one copy of each different cell that shares its core.
 
+What is taken for equal agrees in two hashes of 64 bits, of part of its bytes and of all of them.
+
+Where a text repeats itself after a few bytes, blanks or a ruler, anchors stand that close, and two periods stand for
+the whole: its bytes are compared, its windows all repeat, and one mark says so.
+
 Copies of a document, a passage or a line meet in partial aggregates; a join that may meet a hot key reads tables
-without partitioning, so it can be split. Bloom bitmaps of fixed size keep rows without a partner from the shuffles.
+without partitioning, so it can be split. Bloom bitmaps of bounded size keep rows without a partner from the shuffles.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.kernels import BASE2, SEGMENT, buffers, mix, prefix, slices, sliding_min, substring_hash
-from foliospark.llm.shared import bloom, in_bloom, materialize, member, temporary
+from foliospark.llm.kernels import BASE, BASE2, SEGMENT, buffers, mix, prefix, slices, sliding_min, substring_hash
+from foliospark.llm.shared import bloom, bounded, in_bloom, materialize, member, temporary, tidy
 
 WINDOW, GRAM, CELL = 200, 48, 16
 _PLACE = np.uint64((1 << 22) - 1)
@@ -35,7 +40,7 @@ _PLACE = np.uint64((1 << 22) - 1)
 
 def anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of windows with one anchor: anchor hash, stretch hash, text, first window's start in it, windows, the
-    anchor's distance from that start."""
+    anchor's distance from that start, and whether it isn't a run but the mark of a periodic stretch."""
     width = np.diff(off)
     edge = np.zeros(len(data) + 2, np.int8)
     long = np.flatnonzero(width >= window)
@@ -60,20 +65,46 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> Iterat
         anchor = a[first]
         stretch = mix(substring_hash(prefix(d, BASE2), p0, p1 + window, BASE2) + (anchor - p0).astype(np.uint64))
         doc = np.searchsorted(off, p0 + s, side="right") - 1
-        yield h[anchor], stretch, doc, p0 + s - off[doc], p1 - p0 + 1, anchor - p0
-
-
-def _runs(texts: DataFrame, window: int, gram: int, only=None) -> DataFrame:
+        run = [h[anchor], stretch, doc, p0 + s - off[doc], p1 - p0 + 1, anchor - p0, np.zeros(len(p0), bool)]
+        if len(found := _periodic(d, run[0], doc, p0, p1, anchor, window)):
+            i, last, until = found.T
+            keep = np.ones(len(p0), bool)
+            for a, b, to in found.tolist():
+                keep[a : b + 1] = p0[a : b + 1] < to
+            marks = [run[0][i], run[1][i], doc[i], run[3][i], p1[last] - p0[i] + 1, run[5][i], np.ones(len(i), bool)]
+            run = [np.concatenate([x[keep], y]) for x, y in zip(run, marks, strict=True)]
+        yield tuple(run)
+
+
+def _periodic(d: np.ndarray, key: np.ndarray, doc: np.ndarray, p0: np.ndarray, p1: np.ndarray, anchor: np.ndarray, window: int, least: int = 8) -> np.ndarray:
+    """Of runs whose anchors are equal and equally far apart, `least` or more in a row, those over bytes that repeat
+    themselves at that distance: first run, last run, and the window from which on all equal earlier ones."""
+    step = np.diff(anchor)
+    like = np.zeros(len(key) + 1, bool)
+    like[2:-1] = (key[2:] == key[1:-1]) & (key[1:-1] == key[:-2]) & (doc[2:] == doc[:-2]) & (step[1:] == step[:-1]) & (p0[2:] == p1[1:-1] + 1) & (p0[1:-1] == p1[:-2] + 1)
+    edge = np.flatnonzero(like[1:] != like[:-1]) + 1
+    found = []
+    for a, b in edge.reshape(-1, 2).tolist():  # like from a up to b, so equal from a - 2 to b - 1
+        a, b = a - 2, b - 1
+        q = int(step[a])
+        if b - a + 1 >= least and q > 0 and np.array_equal(d[p0[a] : p1[b] + window - q], d[p0[a] + q : p1[b] + window]):
+            found.append((a, b, int(p0[a]) + 2 * q))
+    return np.array(found, np.int64).reshape(-1, 3)
+
+
+def _runs(texts: DataFrame, window: int, gram: int, only=None, marks: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for b in slices(batch):
                 rid = b.column("rid").to_numpy()
-                for key, whole, doc, p, n, d in anchors(*buffers(b.column("text")), window, gram):
+                for key, whole, doc, p, n, d, mark in anchors(*buffers(b.column("text")), window, gram):
                     key, whole = key.view(np.int64), whole.view(np.int64)
-                    keep = in_bloom(only.value, key) if only else slice(None)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, whole, rid[doc], *(y.astype(np.int32) for y in (p, n, d)))], ["key", "whole", "rid", "p", "n", "d"])
+                    keep = in_bloom(only.value, key) if only else np.ones(len(key), bool)
+                    keep &= marks | ~mark
+                    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, whole, rid[doc], *(y.astype(np.int32) for y in (p, n, d)), mark)], ["key", "whole", "rid", "p", "n", "d", "mark"])
 
-    return texts.mapInArrow(run, "key long, whole long, rid long, p int, n int, d int")
+    return texts.mapInArrow(run, "key long, whole long, rid long, p int, n int, d int, mark boolean")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -96,15 +127,15 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, cell: int
     """(rid, p, n): windows that start at p, ..., p + n - 1 of row rid's text also start elsewhere. texts: rid, text."""
     groups = _groups(_runs(texts, window, gram))
     only = bloom(groups, "key", groups.count())
-    runs = materialize(_runs(texts, window, gram, only).join(groups, "key"), "runs")
-    by_stretch, open_runs = _split(runs)
+    runs = materialize(_runs(texts, window, gram, only, True).join(groups, "key"), "runs")
+    by_stretch, open_runs = _split(runs.where("not mark").drop("mark"))
     cells = materialize(_deeper(texts, open_runs, _cells(window, cell)), "cells")
     cells = materialize(cells.join(_groups(cells), "key"), "shared")
     by_cell, open_cells = _split(cells)
     windows = materialize(_deeper(texts, open_cells, _windows(window)), "windows")
-    twice = materialize(windows.groupBy("key").count().where("count > 1").select("key"), "twice")
-    single = windows.where("not known").join(twice, "key").select("rid", "p", "n")
-    return by_stretch.union(by_cell).union(single)
+    twice = materialize(windows.groupBy("key", "whole").count().where("count > 1").select("key", "whole"), "twice")
+    single = windows.where("not known").join(twice, ["key", "whole"]).select("rid", "p", "n")
+    return by_stretch.union(by_cell).union(single).union(runs.where("mark").select("rid", "p", "n"))
 
 
 def _deeper(texts: DataFrame, rows: DataFrame, keys) -> DataFrame:
@@ -113,6 +144,7 @@ def _deeper(texts: DataFrame, rows: DataFrame, keys) -> DataFrame:
     near = texts.where(member(bloom(wanted, "rid", wanted.count()))("rid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for b in slices(batch):
                 data, off = buffers(b.column("text"))
@@ -152,27 +184,35 @@ def _cells(window: int, cell: int):
 
 
 def _windows(window: int):
-    """Each window of the runs: its hash as key, which the cell's key refines."""
+    """Each window of the runs: its hash as key, which the cell's key refines, and another hash of it as whole."""
 
     def keys(data, key, at, n, d):
         i = np.repeat(np.arange(len(key)), n)
         step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
         start = at[i] + step
         h = mix(_far_hash(data, start, window) ^ key[i])
-        return i, h, h, start, np.ones(len(i), np.int64), d[i] - step
+        return i, h, _far_hash(data, start, window, BASE), start, np.ones(len(i), np.int64), d[i] - step
 
     return keys
 
 
-def _far_hash(data: np.ndarray, start: np.ndarray, size) -> np.ndarray:
+def _far_hash(data: np.ndarray, start: np.ndarray, size, base: int = BASE2) -> np.ndarray:
     """Hashes of the strings of `size` bytes that start at `start`, in any order, by stretches of bounded size."""
     out, size = np.zeros(len(start), np.uint64), np.broadcast_to(size, len(start))
     most = int(size.max()) if len(size) else 0
     for s in range(0, len(data), SEGMENT):
         i = np.flatnonzero((start >= s) & (start < s + SEGMENT))
         if len(i):
-            p = prefix(data[s : s + SEGMENT + most], BASE2)
-            out[i] = substring_hash(p, start[i] - s, start[i] - s + size[i], BASE2)
+            p = prefix(data[s : s + SEGMENT + most], base)
+            out[i] = substring_hash(p, start[i] - s, start[i] - s + size[i], base)
+    return out
+
+
+def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many flags each text has."""
+    out, some = np.zeros(len(off) - 1, np.int64), np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = np.add.reduceat(flags, off[some], dtype=np.int64)
     return out
 
 
@@ -183,14 +223,17 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
     Rows are told apart by id and text, so repeated rows, null ids and ids that stand for several texts are all
     documents; equal rows repeat each other. No rows give no rows; other columns are ignored.
     """
+    bounded(docs.sparkSession)
     texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid"))
     with temporary(docs.sparkSession) as keep_table:
         marks = repeats(texts.select("rid", "text"), window, gram)
-        spans = keep_table(materialize(marks.groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("spans")), "spans"))
+        # a set: equal rows, which share a rid, have equal marks
+        spans = keep_table(materialize(marks.groupBy("rid").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans"))
     marked = member(bloom(spans, "rid", spans.count()))("rid")
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for b in slices(batch):
                 data, off = buffers(b.column("text"))
@@ -208,12 +251,12 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
                 head[1:] &= ~hidden[:-1]
                 inner = off[:-1][np.diff(off) > 0]
                 head[inner] = hidden[inner]
-                total, begun = (np.concatenate([[0], np.cumsum(x)]) for x in (hidden, head))
+                removed, begun = (_sums(x, off) for x in (hidden, head))
                 left = data[~hidden]
-                at = off - total[off]
+                at = off - np.concatenate([[0], np.cumsum(removed)])
                 kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(left.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c) for c in keep), pa.array(np.diff(off)), pa.array(np.diff(total[off])), pa.array(np.diff(begun[off])), kept],
+                    [*(b.column(c) for c in keep), pa.array(np.diff(off)), pa.array(removed), pa.array(begun), kept],
                     [*keep, "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
