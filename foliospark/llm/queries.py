@@ -64,14 +64,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _REACH = """reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
+_USABLE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
 SQL: dict[str, str] = {
+    "op1_suffixes": """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+w AS (SELECT rid, p, md5(substr(x, 2 * p + 1, 400)) AS h FROM (SELECT rid, x, unnest(range(0, n_bytes - 199)) AS p FROM d WHERE n_bytes >= 200)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN twice USING (h)),
+span AS (SELECT rid, min(p) AS a, max(p) + 200 AS b FROM (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS k FROM hit) GROUP BY rid, k),
+cut AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM span GROUP BY rid),
+gap AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS b FROM span UNION ALL SELECT rid, max(b), 1000000000 FROM span GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS x FROM gap JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256 FROM d LEFT JOIN cut USING (rid) LEFT JOIN kept k USING (rid)""",
     "op2_neighbours": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings
-WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+WHERE label IS NOT NULL AND {_USABLE}),
 links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id <> y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
 nodes AS (SELECT DISTINCT a AS id FROM links), {_REACH},
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id), degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN degree d ON d.id = vec_id LEFT JOIN least l ON l.id = vec_id""",
+    "op3_search": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND {_USABLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda x, y: x + y) AS score
+FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
     "op7_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id AS id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 links AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.id <> y.id AND len(x.s) > 0 AND len(x.s) * 100 >= len(y.s) * 90 AND len(y.s) * 100 >= len(x.s) * 90

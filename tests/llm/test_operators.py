@@ -328,6 +328,6 @@ def test_sql(spark):
     for name, sql in SQL.items():
         ours, theirs = QUERIES[name](spark, sf).toPandas(), c.sql(sql).df()
         assert sorted(ours.columns) == sorted(theirs.columns)
-        key = [k for k in ("doc_id", "vec_id") if k in ours.columns]
+        key = [k for k in ("query_id", "doc_id", "vec_id") if k in ours.columns]
         ours, theirs = (p[sorted(p.columns)].sort_values(key).reset_index(drop=True) for p in (ours, theirs))
         assert ours.astype(str).equals(theirs.astype(str)), name
