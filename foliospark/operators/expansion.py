@@ -30,7 +30,7 @@ def nearest(words: DataFrame, vectors: DataFrame, k: int = EXTRA) -> DataFrame:
     """(word, near, similarity, rank): the k nearest words by cosine of each word that has a vector, itself left out.
 
     Query words are taken in blocks of bounded size; a block is multiplied with the vectors where they are read, and
-    each task keeps k for each word. Ties go to the smaller word. Zero vectors are near nothing.
+    each task writes k rows for each word. Ties go to the smaller word. Zero vectors are near nothing.
     """
     own = vectors.join(words.select("word").distinct(), "word", "left_semi")
     blocks = max(1, -(-own.count() // BLOCK))
@@ -53,18 +53,27 @@ def _near_block(vectors: DataFrame, part: pd.DataFrame, k: int, kind: str) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, q = shared.value
+        best = np.full((len(names), k), -np.inf)  # what the task has found so far, best first
+        held = np.full((len(names), k), None, object)
+        own = {name: i for i, name in enumerate(names)}
         for t in batches:
             if not len(t) or not names:
                 continue
             x = np.array(t["vector"].tolist(), np.float64)
             size = np.sqrt((x * x).sum(1, keepdims=True))
-            sims = q @ (x / np.where(size == 0, np.nan, size)).T
-            near = t["word"].to_numpy()
-            for name, s in zip(names, sims, strict=True):
-                s = np.where((near == name) | np.isnan(s), -np.inf, s)
-                best = np.lexsort((near, -s))[:k]
-                best = best[np.isfinite(s[best])]
-                yield pd.DataFrame({"word": pd.Series([name] * len(best), dtype=object), "near": pd.Series(near[best].tolist(), dtype=object), "similarity": s[best]})
+            near = t["word"].to_numpy(object)
+            sims = np.nan_to_num(q @ (x / np.where(size == 0, np.nan, size)).T, nan=-np.inf)
+            for j, name in enumerate(near):
+                if name in own:
+                    sims[own[name], j] = -np.inf
+            reach = (sims >= best[:, -1:]) & np.isfinite(sims)
+            for i in np.flatnonzero(reach.any(1)).tolist():
+                j = np.flatnonzero(reach[i])
+                rows = sorted([*((-s, n) for s, n in zip(best[i], held[i], strict=True) if n is not None), *zip((-sims[i, j]).tolist(), near[j].tolist(), strict=True)])[:k]
+                best[i, : len(rows)] = [-s for s, _ in rows]
+                held[i, : len(rows)] = [n for _, n in rows]
+        i, r = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({"word": pd.Series([names[x] for x in i], dtype=object), "near": pd.Series(held[i, r].tolist(), dtype=object), "similarity": best[i, r]})
 
     return vectors.select("word", "vector").mapInPandas(run, f"word {kind}, near {kind}, similarity double")
 

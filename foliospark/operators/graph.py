@@ -22,19 +22,27 @@ def edges(out: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.where("id <> other").select(F.col("id").alias("src"), F.col("other").alias("dst")).distinct()
 
 
-def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, threshold: float = 1e-8, iterations: int | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, threshold: float = 1e-8, iterations: int | None = None, out_degree: DataFrame | None = None) -> DataFrame:
     """(id, pagerank): all start at 1 / N; sinks give to everyone alike; ends when no score moves by more than threshold.
 
     With `iterations`, exactly so many rounds. Links are bucketed by source and scores by node once, so a round
     shuffles nothing but the sums of what links give. A round writes one number for each node and deletes the round
     before, so lineage and disk don't grow and no round is lost with an executor. Only the sinks' sum and the largest
     move, two numbers a round, reach the driver.
+
+    A node's out-degree is the number of its links, or that in `out_degree` (id, degree), where links come from in
+    lists and degrees from out lists; a link from a node without any is refused then, since its share has no bound.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
     buckets = parallelism(nodes.sparkSession)
-    degree = links.groupBy("src").agg(F.count("*").alias("degree"))
+    if out_degree is None:
+        degree = links.groupBy("src").agg(F.count("*").alias("degree"))
+    else:
+        degree = out_degree.where("degree > 0").select(F.col("id").alias("src"), "degree")
+        if not links.join(degree, "src", "left_anti").isEmpty():
+            raise ValueError("a link from a node without out-degree")
     own = nodes.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     scores = Bucketed(own.select("id", "degree", F.lit(1.0 / n).alias("pagerank"), F.lit(0.0).alias("moved")), "id", buckets)
     edges, done = Bucketed(links.select("src", "dst"), "src", buckets), 0

@@ -73,6 +73,14 @@ def citations(docs: DataFrame) -> DataFrame:
     return docs.select("id", "outCitations", "inCitations")
 
 
+def require_unique(docs: DataFrame, column: str = "id") -> DataFrame:
+    """docs, if no id stands twice; citations of an id that does would have no one target."""
+    twice = docs.groupBy(column).count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"{column} {twice[column]!r} stands {twice['count']} times")
+    return docs
+
+
 def numbered(docs: DataFrame, order: str = "id") -> DataFrame:
     """doc_id from 0, dense, in the order of a column.
 

@@ -158,3 +158,40 @@ def test_bucketed_pagerank_has_no_shuffle_of_links(spark):
     links.drop()
     shares.drop()
     assert "Exchange" not in plan
+
+
+def test_pagerank_of_two_lists(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    links = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (3, 0)], "src long, dst long")
+    degree = spark.createDataFrame([(0, 2), (1, 1), (3, 1)], "id long, degree long")
+    one, two = ({r["id"]: r["pagerank"] for r in graph.pagerank(nodes, links, iterations=5, out_degree=d).collect()} for d in (None, degree))
+    assert one == pytest.approx(two) and sum(one.values()) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        graph.pagerank(nodes, links, out_degree=degree.where("id <> 3"))
+
+
+def test_ids_must_be_unique(spark):
+    docs = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
+    assert corpus.require_unique(docs.distinct()).count() == 2
+    with pytest.raises(ValueError, match="'a' stands 2 times"):
+        corpus.require_unique(docs)
+
+
+def test_nearest_over_many_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((400, 8)), np.zeros((2, 8))])
+    x[50] = x[7]
+    vectors = spark.createDataFrame([(f"w{i:03}", [float(v) for v in e]) for i, e in enumerate(x)], "word string, vector array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {}
+        for r in expansion.nearest(vectors.where("word < 'w030' or word = 'w401'").select("word"), vectors, 4).orderBy("word", "rank").collect():
+            got.setdefault(r["word"], []).append(r["near"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with np.errstate(invalid="ignore"):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {f"w{i:03}": [f"w{j:03}" for j in sorted((j for j in range(400) if j != i), key=lambda j: (-(u[i] @ u[j]), j))[:4]] for i in range(30)}
+    assert got == want
