@@ -42,7 +42,16 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?;"]] = True
 
 
+def templates(table: DataFrame, most: int = 10_000) -> list[tuple[str, str]]:
+    """The notices of a table (text, label), once each; one of more than `most` is refused, since all tasks hold them."""
+    rows = table.where("text is not null and label is not null").select("text", "label").distinct().orderBy("label", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} notices")
+    return [(" ".join(r["text"].split()), r["label"]) for r in rows if len(hashes(r["text"]))]
+
+
 def hashes(text: str) -> np.ndarray:
+    """The hashes of a notice's words, lower-cased."""
     data, off = buffers(pa.array([text]))
     return words(data, off, NOT_WORD)[2]
 
@@ -132,16 +141,17 @@ class Matcher:
         return found
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, notices=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks of every row.
 
     blocks: the blocks met, as (first word, words, label, containment). score: the largest containment, 1 where a
     phrase stands, else 0. A null or empty text has no words, null first and last word, empty labels and score 0.
-    Repeated rows give equal rows; columns beside doc_id and text are ignored.
+    Repeated rows give equal rows; no rows give no rows; columns beside doc_id and text are ignored. Notices may
+    be those of a table (`templates`).
     """
     bounded(docs.sparkSession)
-    vocabulary = np.unique(np.concatenate([hashes(t) for t, _ in templates]))
-    matcher = Matcher(templates, frequencies(docs, vocabulary), threshold)
+    vocabulary = np.unique(np.concatenate([hashes(t) for t, _ in notices]))
+    matcher = Matcher(notices, frequencies(docs, vocabulary), threshold)
     spoken = [(hashes(p), label) for p, label in phrases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,3 +12,12 @@ def test_wrapped_notices(spark):
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(df).collect()}
     assert [got[i][0] for i in range(7)] == ["mit", "mit", "bsd", "", "", "bsd", "mit"]
     assert all(got[i][1] == 1.0 for i in (0, 1, 2, 5, 6)) and got[3][1] == got[4][1] == 0.0
+
+
+def test_notices_of_a_table(spark):
+    table = spark.createDataFrame([("Use it\n freely, as you wish, but at your own risk", "own"), ("Use it\n freely, as you wish, but at your own risk", "own"), ("...", "none"), (None, "x")], "text string, label string")
+    notices = licenses.templates(table)
+    assert [label for _, label in notices] == ["own"]
+    df = spark.createDataFrame([(1, "USE IT FREELY as you wish but at your risk"), (2, "use it"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(df, notices).collect()} == {1: "own", 2: "", 3: ""}
+    assert licenses.scan(df.where("false"), notices).count() == 0
