@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foliospark.functions import tokens
 from foliospark.functions.scalars import PARTS_OF_SPEECH
+from foliospark.functions.stems import STEP2, STEP3, STEP4
 from foliospark.plans.queries import ASKED, FIRST, STOP, TAGGED, THESAURUS, WORDS
 
 
@@ -101,16 +102,65 @@ def _histogram(lists: str, column: str) -> str:
     return f"WITH {LINES}, {_degrees(lists, 'deg')} SELECT {column} AS degree, count(*) AS documents FROM deg GROUP BY ALL"
 
 
-def _pagerank(rounds: int) -> str:
-    steps = ["pr0 AS (SELECT n.id, coalesce(d, 0) AS degree, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS pr FROM nodes n LEFT JOIN (SELECT src AS id, count(*) AS d FROM edges GROUP BY src) USING (id))"]
+def _pagerank(rounds: int, threshold: float | None = None) -> str:
+    """So many rounds; with a threshold, scores stay as they are once no score has moved by more than that."""
+    stop = [f"(SELECT max(moved) FROM pr{i}) <= {threshold}" if threshold and i else "false" for i in range(rounds)]
+    steps = ["pr0 AS (SELECT n.id, coalesce(d, 0) AS degree, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS pr, 0.0::DOUBLE AS moved FROM nodes n LEFT JOIN (SELECT src AS id, count(*) AS d FROM edges GROUP BY src) USING (id))"]
     for i in range(rounds):
         steps.append(
-            f"pr{i + 1} AS MATERIALIZED (SELECT p.id, p.degree, 0.85 * ((SELECT coalesce(sum(pr), 0) FROM pr{i} WHERE degree = 0) / (SELECT count(*) FROM nodes) + coalesce(g, 0)) + 0.15 / (SELECT count(*) FROM nodes) AS pr FROM pr{i} p "
-            f"LEFT JOIN (SELECT dst AS id, sum(pr / degree) AS g FROM edges JOIN pr{i} s ON s.id = src GROUP BY dst) USING (id))"
+            f"pr{i + 1} AS MATERIALIZED (SELECT id, degree, CASE WHEN {stop[i]} THEN old ELSE new END AS pr, CASE WHEN {stop[i]} THEN 0 ELSE abs(new - old) END AS moved FROM "
+            f"(SELECT p.id, p.degree, p.pr AS old, 0.85 * ((SELECT coalesce(sum(pr), 0) FROM pr{i} WHERE degree = 0) / (SELECT count(*) FROM nodes) + coalesce(g, 0)) + 0.15 / (SELECT count(*) FROM nodes) AS new FROM pr{i} p "
+            f"LEFT JOIN (SELECT dst AS id, sum(pr / degree) AS g FROM edges JOIN pr{i} s ON s.id = src GROUP BY dst) USING (id)))"
         )
     return f"WITH {LINES}, {', '.join(steps)} SELECT id, round(pr, 10) AS pagerank FROM pr{rounds}"
 
 
+# stems: `w` is the word so far, `s` its letters as c and v
+
+_SHAPE = "list_reduce(list_prepend('', string_split(w, '')), lambda a, x: a || CASE WHEN x IN ('a', 'e', 'i', 'o', 'u') OR x = 'y' AND a <> '' AND right(a, 1) = 'c' THEN 'v' ELSE 'c' END)"
+_DOUBLE = "(length(w) > 1 AND right(w, 1) = w[-2:-2] AND right(s, 1) = 'c')"
+
+
+def _m(cut: int) -> str:
+    """The measure of the word without its last letters."""
+    return f"len(regexp_extract_all(left(s, length(w) - {cut}), 'v+c+'))"
+
+
+def _cvc(cut: int) -> str:
+    return f"(length(w) - {cut} > 2 AND right(left(s, length(w) - {cut}), 3) = 'cvc' AND right(left(w, length(w) - {cut}), 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _cut(n: int) -> str:
+    return f"left(w, length(w) - {n})"
+
+
+def _swapped(table, least: int, more: str = "true") -> str:
+    parts = (f"WHEN ends_with(w, '{end}') THEN CASE WHEN {_m(len(end))} > {least} AND {more if end == 'ion' else 'true'} THEN {_cut(len(end))} || '{new}' ELSE w END" for end, new in sorted(table, key=lambda x: -len(x[0])))
+    return f"CASE {' '.join(parts)} ELSE w END"
+
+
+def _stems(source: str) -> str:
+    """CTEs; the last, stems, has (token, term): every distinct token of `source` and its stem in lower case."""
+    st = f"right({_cut(3)}, 1) IN ('s', 't')"
+    ed, ing = (f"(NOT ends_with(w, 'eed') AND ends_with(w, '{e}') AND contains(left(s, length(w) - {len(e)}), 'v'))" for e in ("ed", "ing"))
+    steps = [
+        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_cut(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {_cut(1)} ELSE w END AS w",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_m(3)} > 0 THEN {_cut(1)} ELSE w END WHEN {ed} THEN {_cut(2)} WHEN {ing} THEN {_cut(3)} ELSE w END AS w, {ed} OR {ing} AS was",
+        f"CASE WHEN NOT was THEN w WHEN ends_with(w, 'at') OR ends_with(w, 'bl') OR ends_with(w, 'iz') THEN w || 'e' WHEN {_DOUBLE} AND right(w, 1) NOT IN ('l', 's', 'z') THEN {_cut(1)} WHEN {_m(0)} = 1 AND {_cvc(0)} THEN w || 'e' ELSE w END AS w",
+        f"CASE WHEN ends_with(w, 'y') AND contains(left(s, length(w) - 1), 'v') THEN {_cut(1)} || 'i' ELSE w END AS w",
+        f"{_swapped(STEP2, 0)} AS w",
+        f"{_swapped(STEP3, 0)} AS w",
+        f"{_swapped([(e, '') for e in STEP4], 1, st)} AS w",
+        f"CASE WHEN ends_with(w, 'e') AND ({_m(1)} > 1 OR {_m(1)} = 1 AND NOT {_cvc(1)}) THEN {_cut(1)} ELSE w END AS w",
+        f"CASE WHEN {_m(0)} > 1 AND {_DOUBLE} AND right(w, 1) = 'l' THEN {_cut(1)} ELSE w END AS w",
+    ]
+    out = [f"p0 AS (SELECT DISTINCT token, token AS w, false AS was FROM ({source}))"]
+    for i, step in enumerate(steps):
+        was = "" if " AS was" in step else ", was"
+        out.append(f"p{i + 1} AS (SELECT token, {step}{was} FROM (SELECT *, {_SHAPE} AS s FROM p{i}))")
+    return ", ".join(out) + f", stems AS (SELECT token, lower(CASE WHEN length(token) > 3 AND length(w) >= 3 THEN w ELSE token END) AS term FROM p{len(steps)})"
+
+
 _COUNTERS = """SELECT count(*) AS documents, sum((o.raw = 0)::INT)::BIGINT AS sinks, sum((o.true_ = 0)::INT)::BIGINT AS sinks_true, sum(i.true_)::BIGINT AS in_edges_true, sum(i.raw)::BIGINT AS in_edges, sum(o.true_)::BIGINT AS out_edges_true, sum(o.raw)::BIGINT AS out_edges,
 sum(i.repeats)::BIGINT AS duplicate_in_edges, sum((i.repeats > 0)::INT)::BIGINT AS docs_duplicate_in, sum(o.repeats)::BIGINT AS duplicate_out_edges, sum((o.repeats > 0)::INT)::BIGINT AS docs_duplicate_out,
 sum((i.loops > 0)::INT)::BIGINT AS docs_self_in, sum(i.loops)::BIGINT AS self_in_edges, sum((o.loops > 0)::INT)::BIGINT AS docs_self_out, sum(o.loops)::BIGINT AS self_out_edges,
@@ -181,6 +231,8 @@ SQL: dict[str, str] = {
     "tokenize_default": _exploded("documents", "doc_id", "source", tokens.PLAIN),
     "tokenize_query": _exploded("benchmark", "item_id", "text", tokens.QUERY),
     "stopword_filter": f"SELECT lower(token) AS term, count(*) AS n FROM ({_TOKENS}) WHERE lower(token) NOT IN ({_STOP}) GROUP BY ALL",
+    "stem_terms": f"WITH {_stems(_TOKENS)} SELECT token, term FROM stems",
+    "term_pipeline": f"WITH {_stems(_TOKENS)} SELECT term, doc_id, count(*) AS tf FROM ({_TOKENS}) JOIN stems USING (token) WHERE lower(token) NOT IN ({_STOP}) GROUP BY ALL",
     "query_terms": f"SELECT item_id AS query_id, pos, lower(token) AS term, 1.0::DOUBLE AS weight FROM ({_exploded('benchmark', 'item_id', 'text', tokens.QUERY)}) WHERE lower(token) NOT IN ({_STOP})",
     "index_fields": f"SELECT lower(token) AS term, doc_id, count(*) AS tf FROM ({_TOKENS} UNION ALL SELECT doc_id, unnest({_split('lang', tokens.PLAIN)}) FROM documents UNION ALL SELECT doc_id, unnest({_split('source', tokens.PLAIN)}) FROM documents) GROUP BY ALL",
     "term_frequency": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM post",
@@ -208,6 +260,7 @@ SQL: dict[str, str] = {
     "batch_topk": f"{_search('bm25', 10, f'({_BENCH})')} SELECT query_id, doc_id, score, rank FROM ranked",
     "citation_edges": f"WITH {LINES} SELECT src, dst FROM edges",
     "pagerank_10": _pagerank(10),
+    "pagerank_converged": _pagerank(60, 1e-8),
     "out_degree": f"WITH {LINES} SELECT src AS id, count(*) AS degree FROM edges GROUP BY ALL",
     "degree_hist_out": _histogram("outs", "raw"),
     "degree_hist_out_true": _histogram("outs", "true_"),
