@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from foliospark.llm.shared import Idle
 
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 #: Longer words than so many bytes are hashed one by one.
 FAR = 128
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -70,7 +70,7 @@ _held = Idle(_powers)
 
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n."""
-    return _held((1 << max(20, int(n).bit_length()), base))
+    return _held((1 << max(19, int(n).bit_length()), base))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,15 +201,13 @@ def bloom(df: DataFrame, column: str, rows: int):
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in packed.reshape(SLICES, width)], pa.binary())], ["slice", "bits"])
 
-    def union(key, t):
-        out = np.zeros(width, np.uint8)
-        for x in t.column("bits").to_pylist():
-            out |= np.frombuffer(x, np.uint8)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+    def union(found: np.ndarray | None, bits: bytes) -> np.ndarray:
+        more = np.frombuffer(bits, np.uint8)
+        return more.copy() if found is None else found | more
 
     # a bitmap a task: of so few tasks that their bitmaps are no larger than the keys
     slim = df.select(column).coalesce(max(4, rows >> 21))
-    parts = slim.mapInArrow(partial, "slice int, bits binary").groupBy("slice").applyInArrow(union, "slice int, bits binary").collect()  # 16 MB at most
+    parts = folded(slim.mapInArrow(partial, "slice int, bits binary"), union, np.ndarray.tobytes).collect()  # 16 MB at most
     whole = np.zeros((SLICES, width), np.uint8)
     for r in parts:
         whole[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
@@ -225,14 +222,48 @@ def in_bloom(bitmap: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def folded(df: DataFrame, fold: Callable, done: Callable) -> DataFrame:
+    """Rows (key int, value binary) folded to one a key, as they come: fold(what is held or None, value), then done.
+
+    A task holds one state for each of its keys and one batch; a worker needs no pandas for it, as it would for groups.
+    """
+    key, value = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        held: dict = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held[k] = fold(held.get(k), v.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([done(v) for v in held.values()], pa.binary())], [key, value])
+
+    return df.repartition(key).mapInArrow(run, f"{key} int, {value} binary")
+
+
+def among(df: DataFrame, column: str, bitmap) -> DataFrame:
+    """Rows whose long column may be in the bitmap's table: all of them, and some strangers."""
+    if bitmap is None:
+        return df
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        for b in batches:
+            keep = in_bloom(bitmap.value, b.column(at).to_numpy(zero_copy_only=False))
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def member(bitmap) -> Callable[[str], Column]:
     """A filter on a long column: False only where the bitmap's table lacks the key. Only the key goes to Python."""
     if bitmap is None:
         return lambda column: F.lit(True)
 
-    @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def test(keys: pa.Array) -> pa.Array:
         tidy()
-        return pd.Series(in_bloom(bitmap.value, keys.to_numpy(np.int64)))
+        return pa.array(in_bloom(bitmap.value, keys.to_numpy(zero_copy_only=False)))
 
     return test

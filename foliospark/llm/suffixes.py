@@ -26,13 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from foliospark.llm.kernels import BASE, BASE2, SEGMENT, buffers, mix, prefix, slices, sliding_min, substring_hash
-from foliospark.llm.shared import bloom, bounded, in_bloom, materialize, member, temporary, tidy
+from foliospark.llm.shared import among, bloom, bounded, in_bloom, materialize, temporary, tidy
 
 WINDOW, GRAM, CELL = 200, 48, 16
 _PLACE = np.uint64((1 << 22) - 1)
@@ -141,7 +141,7 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, cell: int
 def _deeper(texts: DataFrame, rows: DataFrame, keys) -> DataFrame:
     """key, whole, rid, p, n, d, known: `keys` of every row's parts, from the texts that they are in."""
     wanted = materialize(rows.groupBy("rid").agg(F.collect_list(F.struct("key", "p", "n", "d", "known")).alias("runs")), "wanted")
-    near = texts.where(member(bloom(wanted, "rid", wanted.count()))("rid"))
+    near = among(texts, "rid", bloom(wanted, "rid", wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -216,8 +216,8 @@ def _sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns kept, n_bytes, n_removed, n_spans and kept (the bytes left) of every row.
+def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:
+    """The columns kept, n_bytes, n_removed, n_spans and kept of every row: the bytes left, or the text that they hold.
 
     Every byte that a repeated window covers goes. A null text is empty; texts under `window` bytes stay as they are.
     Rows are told apart by id and text, so repeated rows, null ids and ids that stand for several texts are all
@@ -229,17 +229,22 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
         marks = repeats(texts.select("rid", "text"), window, gram)
         # a set: equal rows, which share a rid, have equal marks
         spans = keep_table(materialize(marks.groupBy("rid").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans"))
-    marked = member(bloom(spans, "rid", spans.count()))("rid")
+    marked = bloom(spans, "rid", spans.count())
     schema = docs.select(*keep).schema
 
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that surely have no marks; the others come back from their join."""
+        for b in batches:
+            yield from run([b.filter(pa.array(~in_bloom(marked.value, b.column("rid").to_numpy())))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
             for b in slices(batch):
                 data, off = buffers(b.column("text"))
-                spans = b.column("spans")
+                spans = b.column("spans") if "spans" in b.schema.names else None
                 gone = np.zeros(len(data) + 1, np.int32)
-                if spans.null_count < len(spans):
+                if spans is not None and spans.null_count < len(spans):
                     size = np.nan_to_num(np.asarray(spans.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
                     flat = spans.flatten()
                     p, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
@@ -255,14 +260,16 @@ def strip(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[s
                 left = data[~hidden]
                 at = off - np.concatenate([[0], np.cumsum(removed)])
                 kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(left.tobytes())])
+                if text:
+                    kept = pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(c) for c in keep), pa.array(np.diff(off)), pa.array(removed), pa.array(begun), kept],
                     [*keep, "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    clear = texts.where(~marked).withColumn("spans", F.lit(None).cast("array<struct<p:int,n:int>>"))
-    return clear.union(texts.where(marked).join(spans, "rid", "left").select(*clear.columns)).mapInArrow(run, out)
+    out = StructType([*schema.fields, *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if text else BinaryType())])
+    some = among(texts, "rid", marked).join(spans, "rid", "left").mapInArrow(run, out)
+    return texts.mapInArrow(clear, out).union(some) if marked else some
 
 
 def digests(stripped: DataFrame) -> DataFrame:
@@ -273,13 +280,9 @@ def digests(stripped: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with what `strip` leaves as text, characters that it cut in two left out; n_chars follows where it is a column."""
 
-    @F.pandas_udf("string")
-    def readable(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
     # all other columns travel as one, so that none of their names can clash
     row = [c for c in docs.columns if c != "text"]
-    out = strip(docs.select("doc_id", "text", F.struct(*row).alias("row_")), window, gram, ("row_",)).select("row_.*", readable("kept").alias("text"))
+    out = strip(docs.select("doc_id", "text", F.struct(*row).alias("row_")), window, gram, ("row_",), True).select("row_.*", F.col("kept").alias("text"))
     if "n_chars" in row:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

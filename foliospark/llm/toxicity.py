@@ -14,15 +14,16 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
 import ahocorasick
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from foliospark.llm.shared import bounded, tidy
 
@@ -204,19 +205,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
     return fit((r["text"], r["toxic"]) for r in rows.select("text", "toxic").toLocalIterator())
 
 
-def scorer(lexicon: Lexicon) -> Callable[[str], Column]:
-    """A function of a text column: its score, 0 to 1; null and empty texts score as no match does."""
+def scored(docs: DataFrame, lexicon: Lexicon, below: float | None = None) -> DataFrame:
+    """docs with their `score`, 0 to 1, as the last column; or, with `below`, only those that score less, without it.
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Null and empty texts score as no match does; columns of any name pass.
+    """
+    bounded(docs.sparkSession)
+    # all columns travel as one, so that none of their names can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         auto = lexicon.automaton()
-        for texts in batches:
-            yield pd.Series([score(fold(t or ""), auto, lexicon) for t in texts], dtype="float64")
+        for b in batches:
+            found = pa.array([score(fold(t), auto, lexicon) for t in b.column("text").to_pylist()], pa.float64())
+            out = pa.RecordBatch.from_arrays([b.column("row"), found], ["row", "score"])
+            yield out if below is None else out.filter(pa.array(found.to_numpy() < below))
 
-    return scored
+    kind = rows.select("row").schema
+    out = rows.mapInArrow(run, StructType([*kind.fields, StructField("score", DoubleType())]))
+    return out.select("row.*", "score") if below is None else out.select("row.*")
 
 
 def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id and score of every row; other columns are ignored, and no rows give no rows."""
-    return docs.select("doc_id", scorer(lexicon)("text").alias("score"))
+    return scored(docs.select("doc_id", "text"), lexicon).select("doc_id", "score")
