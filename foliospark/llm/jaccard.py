@@ -4,9 +4,9 @@ A text's set holds the 64-bit hashes of its distinct word shingles. Sets are ord
 of all texts' shingles (ties by hash), so any two sets agree on the order. Two sets that reach the threshold share a
 shingle within their prefixes; only prefix shingles that two different sets hold are kept, equal sets being one.
 Candidates pass a length filter, a positional filter (what two prefixes' places leave at most, and before them the
-shingles that other sets hold at all), a count of the prefix shingles they share (with the rest of the set whose prefix ends first, that bounds their overlap), and a
-suffix filter (the counts of both sets' shingles by hash range differ no more than the threshold allows), and are
-verified once on whole sets.
+shingles that other sets hold at all), and a second prefix filter: two prefixes must share so many shingles that one is
+among the first of those which others hold, in both. A suffix filter follows (the counts of both sets' shingles by
+hash range differ no more than the threshold allows), and what is left is verified once on whole sets.
 
 Within a large group of near copies not all pairs are made. First every set is verified against one leader, that
 which shares most of its prefix shingles, in LED rounds; what that links becomes components. Then all pairs across
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
 from foliospark.llm.kernels import SPACE, buffers, shingles, slices, word_offsets, words
-from foliospark.llm.shared import bloom, bounded, in_bloom, materialize, member, temporary, tidy
+from foliospark.llm.shared import bloom, bounded, folded, in_bloom, materialize, member, temporary, tidy
 
 #: Slots of the sketch that count to 3, and those that go on; the slices it is summed in; ranges of the suffix filter;
 #: sets remembered by a task; rounds of leaders.
-BITS, HEAVY, PARTS, RANGES, SEEN, LED = 26, 20, 64, 32, 200_000, 2
+BITS, HEAVY, PARTS, RANGES, SEEN, LED = 25, 20, 64, 32, 200_000, 2
 
 
 def _sets(b: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -44,11 +44,11 @@ def _sid(s: np.ndarray) -> int | None:
 
 
 class Sketch:
-    """How many sets hold a shingle: 0 to 3 in 2**BITS slots of two bits, and beyond in 2**HEAVY counters; 20 MB."""
+    """How many sets hold a shingle: 0 to 3 in 2**BITS slots of two bits, and beyond, to 65,535, in 2**HEAVY counters; 10 MB."""
 
     def __init__(self):
         self.low, self.high = (np.zeros((1 << BITS) // 8, np.uint8) for _ in range(2))
-        self.heavy = np.zeros(1 << HEAVY, np.uint32)
+        self.heavy = np.zeros(1 << HEAVY, np.uint16)
 
     @staticmethod
     def _places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,8 @@ class Sketch:
 
     def add(self, s: np.ndarray) -> None:
         """Count the shingles of several sets, put end to end."""
-        self.heavy += np.bincount(self._heavy(s), minlength=1 << HEAVY).astype(np.uint32)
+        slot, n = np.unique(self._heavy(s), return_counts=True)
+        self.heavy[slot] = np.minimum(self.heavy[slot] + n, 0xFFFF)
         _, one, n = np.unique(s >> np.uint64(64 - BITS), return_index=True, return_counts=True)
         at, bit = self._places(s[one])
         now = np.minimum(self._few(at, bit) + n, 3)
@@ -74,7 +75,7 @@ class Sketch:
 
     def count(self, s: np.ndarray) -> np.ndarray:
         few = self._few(*self._places(s)).astype(np.uint64)
-        return np.where(few < 3, few, 3 + np.minimum(self.heavy[self._heavy(s)], 0xFFFF).astype(np.uint64))
+        return np.where(few < 3, few, 3 + self.heavy[self._heavy(s)].astype(np.uint64))
 
     def slices(self) -> list[bytes]:
         """PARTS compressed slices, of which equal ones of several sketches can be summed."""
@@ -84,17 +85,19 @@ class Sketch:
 
     @classmethod
     def _unpacked(cls, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(pa.decompress(raw, 2 * cls.WIDTH + 4 * (1 << HEAVY) // PARTS, codec="zstd", asbytes=True), np.uint8)
-        return x[: 2 * cls.WIDTH].reshape(2, -1), x[2 * cls.WIDTH :].view(np.uint32)
+        x = np.frombuffer(pa.decompress(raw, 2 * cls.WIDTH + 2 * (1 << HEAVY) // PARTS, codec="zstd", asbytes=True), np.uint8)
+        return x[: 2 * cls.WIDTH].reshape(2, -1), x[2 * cls.WIDTH :].view(np.uint16)
 
     @classmethod
-    def summed(cls, raws: list[bytes]) -> bytes:
-        few, heavy = np.zeros(8 * cls.WIDTH, np.uint8), np.zeros((1 << HEAVY) // PARTS, np.uint64)
-        for raw in raws:
-            planes, more = cls._unpacked(raw)
-            few = np.minimum(few + np.unpackbits(planes[0]) + 2 * np.unpackbits(planes[1]), 3)
-            heavy += more
-        return pa.compress(np.packbits(few & 1).tobytes() + np.packbits(few >> 1).tobytes() + np.minimum(heavy, 0xFFFFFFFF).astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+    def more(cls, held: tuple[np.ndarray, np.ndarray] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """A slice's counts with those of another added."""
+        planes, heavy = cls._unpacked(raw)
+        few = np.unpackbits(planes[0]) + 2 * np.unpackbits(planes[1])
+        return (few, heavy.astype(np.uint32)) if held is None else (np.minimum(held[0] + few, 3), np.minimum(held[1] + heavy, 0xFFFF))
+
+    @staticmethod
+    def packed(held: tuple[np.ndarray, np.ndarray]) -> bytes:
+        return pa.compress(np.packbits(held[0] & 1).tobytes() + np.packbits(held[0] >> 1).tobytes() + held[1].astype(np.uint16).tobytes(), codec="zstd", asbytes=True)
 
     def put(self, part: int, raw: bytes) -> None:
         planes, heavy = self._unpacked(raw)
@@ -136,15 +139,9 @@ def describe(texts: DataFrame, n: int) -> tuple[DataFrame, Sketch]:
             none = [pa.nulls(PARTS, pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(sketch.slices(), pa.binary())], ["rid", "sid", "size", "part", "counts"])
 
-    def add(key, t):
-        tidy()
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([Sketch.summed(t.column("counts").to_pylist())], pa.binary())})
-
     both = materialize(texts.mapInArrow(run, "rid long, sid long, size long, part int, counts binary"), "sets")
-    sketch, summed = Sketch(), both.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).cast("int").alias("turn"))
-    # in two steps, so that no task holds the slices of all tasks
-    half = summed.groupBy("part", "turn").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    for r in half.toLocalIterator():  # 20 MB, whatever the input
+    sketch = Sketch()
+    for r in folded(both.where("part is not null").select("part", "counts"), Sketch.more, Sketch.packed).toLocalIterator():  # 10 MB, whatever the input
         sketch.put(r["part"], r["counts"])
     return both.where("part is null").select("rid", "sid", "size"), sketch
 
@@ -187,9 +184,9 @@ def _need(na: str, nb: str, num: int, den: int) -> Column:
     return F.expr(f"cast((({num} * cast({na} + {nb} as long)) + {num + den - 1}) div {num + den} as int)")
 
 
-def _shared(num: int, den: int) -> Column:
+def _shared(num: int, den: int, na: str = "na", nb: str = "nb") -> Column:
     """The prefix shingles that two sets must share: an overlap's rest lies beyond the prefix that ends first."""
-    return _need("na", "nb", num, den) - F.greatest(*[F.expr(f"cast((({num} * cast({n} as long)) + {den - 1}) div {den} as int) - 1") for n in ("na", "nb")])
+    return _need(na, nb, num, den) - F.greatest(*[F.expr(f"cast((({num} * cast({n} as long)) + {den - 1}) div {den} as int) - 1") for n in (na, nb)])
 
 
 def _bucket(size: Column, num: int, den: int) -> Column:
@@ -199,17 +196,19 @@ def _bucket(size: Column, num: int, den: int) -> Column:
 def _members(texts: DataFrame, rows: DataFrame, used: DataFrame, n: int) -> DataFrame:
     """sid, ranges, hashes of the sets in `used`, from one text of each."""
     of = materialize(rows.join(used, "sid").groupBy("sid").agg(F.min("rid").alias("rid")), "owners")
-    near = texts.where(member(bloom(of, "rid", of.count()))("rid"))
+    wanted = bloom(of, "rid", of.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
+            if wanted:
+                batch = batch.filter(pa.array(in_bloom(wanted.value, batch.column("rid").to_numpy())))
             for b in slices(batch):
                 sets = _sets(b, n)
                 spread = [np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES), 1 << 30).astype(np.int32).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(spread, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rid", "ranges", "hashes"])
 
-    return materialize(near.mapInArrow(run, "rid long, ranges binary, hashes binary").join(of, "rid").select("sid", "ranges", "hashes"), "members")
+    return materialize(texts.mapInArrow(run, "rid long, ranges binary, hashes binary").join(of, "rid").select("sid", "ranges", "hashes"), "members")
 
 
 def _verified(texts: DataFrame, rows: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -251,12 +250,13 @@ def _pair(x: str, y: str, nx: str, ny: str) -> list[Column]:
 
 
 def _placed(posts: DataFrame, of: DataFrame) -> DataFrame:
-    """Postings with the components known so far, of shingles that several components hold, and how many of these
-    come before each in its set."""
+    """Postings with the components known so far, of shingles that several components hold; how many of these come
+    before each in its set, and how many its set has."""
     posts = materialize(posts.join(of.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
     apart = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     posts = posts.join(materialize(apart, "apart"), "token")
-    return materialize(posts.withColumn("before", F.row_number().over(Window.partitionBy("sid").orderBy("pos")) - 1), "open")
+    own = Window.partitionBy("sid")
+    return materialize(posts.withColumns({"before": F.row_number().over(own.orderBy("pos")) - 1, "held": F.count("*").over(own).cast("int")}), "open")
 
 
 def _led(posts: DataFrame, tried: DataFrame | None, num: int, den: int) -> DataFrame:
@@ -297,12 +297,16 @@ def links(texts: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Data
         found = star if found is None else found.union(star)
         open_posts = _placed(posts, components(found))
     # pairs across components
-    x = open_posts.select("token", "bucket", F.col("sid").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("before").alias("bx"), F.col("component").alias("cx"))
-    y = open_posts.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("sid").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("before").alias("by"), F.col("component").alias("cy"))
+    x = open_posts.select("token", "bucket", F.col("sid").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("before").alias("bx"), F.col("held").alias("hx"), F.col("component").alias("cx"))
+    y = open_posts.select("token", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("sid").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("before").alias("by"), F.col("held").alias("hy"), F.col("component").alias("cy"))
     # two sets share at most what both hold from here on and, of what comes before, shingles that others hold too
     fits = (F.col("nx") * den >= F.col("ny") * num) & (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + F.least("bx", "by") >= _need("nx", "ny", num, den))
+    # of the shingles that others hold they must share so many that one is among the first of both
+    least = _shared(num, den, "nx", "ny")
+    fits &= (F.col("bx") <= F.col("hx") - least) & (F.col("by") <= F.col("hy") - least)
     pairs = x.join(y, ["token", "bucket"]).where("cx <> cy and (nx < ny or nx = ny and x < y)").where(fits)
-    near = pairs.select(*_pair("x", "y", "nx", "ny")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= _shared(num, den))
+    near = pairs.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"), F.min(F.least(F.col("hx") - F.col("bx"), F.col("hy") - F.col("by")) - 1).alias("rest"))
+    near = near.where(F.col("c") + F.col("rest") >= least).select(*_pair("x", "y", "nx", "ny"))
     near = near.join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     return rows, found.union(_verified(texts, rows, materialize(near, "pairs"), n, num, den))
 
