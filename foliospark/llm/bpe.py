@@ -44,11 +44,12 @@ def classes(ask=None) -> np.ndarray:
     """
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, every):
-            out[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
+    for lo in range(0, 0x110000, 0x1000):  # in short strings, since this one would take 20 MB
+        every = "".join(map(chr, range(lo, lo + 0x1000))) if not 0xD000 < lo + 0x1000 <= 0xE000 else "".join(map(chr, range(lo, 0xD800)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, every):
+                out[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
     if ask:
         for c in range(0x80, 0x110000):
             known = unicodedata.category(chr(c))[0]
@@ -125,24 +126,32 @@ class Encoder:
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = tuple(t.encode() for t in added.values())
         self.bytes = [b""] * size
-        for token, i in self.tokenizer.get_vocab().items():
+        vocab = self.tokenizer.get_vocab()
+        for token, i in vocab.items():
             self.bytes[i] = token.encode() if i in added else bytes(back[c] for c in token)
         self.size = np.array([len(b) for b in self.bytes], np.int64)
         self.spelt, self.spelt_at = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.size) - self.size
         self.number = {b: i for i, b in enumerate(self.bytes) if i in added}
         self.kinds = classes(self.tokenizer.pre_tokenizer.pre_tokenize_str)
-        self._piece = self._by_rank(added)
-        if self._piece:
-            self.tokenizer = None  # nothing asks it any more
+        self._piece = None
+        if self._ranked(vocab):
+            del vocab
+            self.tokenizer = None  # nothing asks it any more, and it is large
+            self._piece = self._by_rank(added)
         self._forget()
 
+    def _ranked(self, vocab: dict[str, int]) -> bool:
+        """Whether the merges are in the order of their ids."""
+        last = -1
+        for m in json.loads(self.tokenizer.to_str())["model"]["merges"]:
+            i = vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")]
+            if i <= last:
+                return False
+            last = i
+        return True
+
     def _by_rank(self, added: dict[int, str]):
-        """The library's own merging in tiktoken, several times faster, where the merges are in the order of their ids."""
-        merges = json.loads(self.tokenizer.to_str())["model"]["merges"]
-        vocab = self.tokenizer.get_vocab()
-        ids = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
-        if ids != sorted(ids) or len(set(ids)) != len(ids):
-            return None
+        """The library's own merging in tiktoken, several times faster."""
         import tiktoken
 
         ranks = {self.bytes[i]: i for i in range(len(self.bytes)) if i not in added}
