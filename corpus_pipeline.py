@@ -17,7 +17,7 @@ from foliospark.llm.shared import discard, materialize, table
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7. A null or empty text scores as one without a match; equal rows stay or go together."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return docs.where(toxicity.scorer(lexicon)("text") < 0.7)
+    return toxicity.scored(docs, lexicon, below=0.7)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
