@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from foliospark.llm.shared import Idle
 
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
 #: Longer words than so many bytes are hashed one by one.
 FAR = 128
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03

@@ -88,7 +88,7 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
 
 
 #: Rows and bytes that cross to a Python worker at once, unless the session sets less: whole texts and sets are long.
-BATCH, BATCH_BYTES = 1000, 4 << 20
+BATCH, BATCH_BYTES = 1000, 1 << 20
 
 
 def bounded(spark: SparkSession) -> None:
@@ -137,7 +137,7 @@ class Idle:
 
 
 def tidy() -> None:
-    """To be called in a Python worker: from then on, memory that it has freed goes back to the system each second.
+    """To be called in a Python worker: from then on, memory that it has freed goes back to the system twice a second.
 
     Workers outlive their tasks and wait for others, each with the heap of the largest batch that it ever met.
     """
@@ -149,7 +149,7 @@ def tidy() -> None:
     def keep() -> None:
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         while True:
-            time.sleep(1)
+            time.sleep(0.5)
             Idle.sweep()
             gc.collect(0)
             pa.default_memory_pool().release_unused()

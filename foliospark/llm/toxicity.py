@@ -200,7 +200,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
         picked.append((r["doc_id"], r["toxic"], r["h"]))
     if not picked:
         return Lexicon()
-    picked = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int, h long")
+    # by Arrow, since a list of rows would pass through Python workers of its own
+    picked = docs.sparkSession.createDataFrame(pa.table(dict(zip(("doc_id", "toxic", "h"), zip(*picked, strict=True), strict=True))))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
     return fit((r["text"], r["toxic"]) for r in rows.select("text", "toxic").toLocalIterator())
 
