@@ -48,19 +48,16 @@ def resolve(query: DataFrame | Terms, index: Index) -> Terms:
     """Query terms with df, 0 where the index lacks the term. Reads the query table once."""
     if isinstance(query, Terms):
         return query
-    merged = merge_terms(query)
-    rows = merged.limit(SMALL + 1).collect()
-    spark = query.sparkSession
-    few = len(rows) <= SMALL
+    merged, spark = merge_terms(query), query.sparkSession
+    rows = merged.limit(SMALL + 1).toArrow()
+    few = rows.num_rows <= SMALL
     if few:
-        merged = spark.createDataFrame(rows, merged.schema)
-    words = tuple(sorted({r["term"] for r in rows if r["term"] is not None}))
-    words = words if few and len(words) <= LITERALS else None
+        merged = spark.createDataFrame(rows)
+    words = set(rows.column("term").to_pylist()) - {None} if few else ()
+    words = tuple(sorted(words)) if few and len(words) <= LITERALS else None
     own = Terms(merged, few, words)
     found = merged.join(own.narrow(index.vocabulary), "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
-    if few:
-        found = spark.createDataFrame(found.collect(), found.schema)
-    return Terms(found, few, words)
+    return Terms(spark.createDataFrame(found.toArrow()) if few else found, few, words)
 
 
 def term_frequencies(query: DataFrame, index: Index) -> DataFrame:
