@@ -30,9 +30,11 @@ from foliospark.llm.shared import Idle, bounded, tidy
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pre-tokens above LONG bytes and texts above LEAF characters are encoded as trees; the cache holds CACHE words.
-LONG, LEAF, CACHE = 2048, 32768, 400_000
+LONG, LEAF, CACHE = 2048, 32768, 1_000_000
 #: Buffers of more bytes are encoded piece by piece.
 PIECE = 1 << 20
+#: Bytes of texts that are encoded at once: more than other kernels take, since words repeat.
+SLICE = 1 << 19
 LETTER, NUMBER, OTHER, WHITE = 1, 2, 3, 4
 
 
@@ -374,7 +376,7 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         tidy()
         enc = encoder(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 ids, at, _, _ = enc.encode(*buffers(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), binary(ids, at)], ["doc_id", "ids"])
 
@@ -382,7 +384,7 @@ def encode_rows(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         tidy()
         enc = encoder(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 ids, at, _, _ = enc.encode(*buffers(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h", "n", "leaf", "text")), binary(ids, at)], ["doc_id", "h", "n", "leaf", "text", "ids"])
 

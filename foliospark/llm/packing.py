@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.bpe import binary, encoder
+from foliospark.llm.bpe import SLICE, binary, encoder
 from foliospark.llm.kernels import buffers, slices
 from foliospark.llm.shared import bounded, materialize, tidy
 
@@ -32,7 +32,7 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         tidy()
         enc, part, total = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, size=SLICE):
                 ids, at, _, _ = enc.encode(*buffers(b.column("text")))
                 ids = np.insert(ids, at[1:], END)
                 at = at + np.arange(len(at))
