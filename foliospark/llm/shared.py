@@ -5,10 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
 import threading
 import time
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -17,74 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: `spark.checkpoint.dir`.
-
-    Only where the session names none and runs on this machine alone, a temporary folder is chosen.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: On a mounted folder Hadoop's default starts two processes (chmod) for each part file, and each of them shares the
-#: executor's memory for a moment; this one starts none. It concerns `file:` paths alone. Parquet pages have checksums.
-PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage.
-
-    The table outlives any executor, and carries no partitioning, so a later join may split skewed keys.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{uuid.uuid4().hex}-{name}"
-    df.write.options(**PLAIN_FILES).mode("overwrite").parquet(path)
-    _made.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folio_path = path
-    return out
-
-
-_made: list[str] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that `materialize` gave, once nothing reads it any more; other tables stay."""
-    if path := getattr(df, "_folio_path", None):
-        _delete(df.sparkSession, path)
-        _made.remove(path)
+from foliospark.sources.scratch import discard, materialize, scope  # noqa: F401  (the operators take them from here)
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables materialized inside are deleted when it ends, but for those passed to the function that it gives.
-
-    What is returned to the caller may read only kept tables and sources.
-    """
-    before, kept = len(_made), []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df._folio_path)
-        return df
-
-    try:
-        yield keep
-    finally:
-        for path in _made[before:]:
-            if path not in kept:
-                _delete(spark, path)
-        _made[before:] = kept
+    """Tables that this thread materializes inside are deleted when it ends, but for those passed to the function that it gives."""
+    with scope(spark) as own:
+        yield own.keep
 
 
 #: Rows and bytes that cross to a Python worker at once, unless the session sets less: whole texts and sets are long.
