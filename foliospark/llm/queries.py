@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, hmm, jaccard, licenses, neighbours, packing, search, sharding, suffixes, toxicity
+from foliospark.llm import bpe, hmm, jaccard, licenses, mixing, neighbours, packing, search, sharding, suffixes, toxicity
 from foliospark.llm.shared import table
 
 
@@ -60,7 +60,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, lexicon).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op8_hmm, op9_sharding, op10_toxicity)}
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op8_hmm, op9_sharding, op10_toxicity, op13_mixing)}
 
 _REACH = """reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
@@ -93,4 +97,13 @@ links AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.id <> y.id AND len(
 WHERE len(list_intersect(x.s, y.s)) * 190 >= (len(x.s) + len(y.s)) * 90), nodes AS (SELECT DISTINCT a AS id FROM links), {_REACH},
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT s.id AS doc_id, len(s) AS n_shingles, coalesce(component_id, s.id) AS component_id FROM s LEFT JOIN least l ON l.id = s.id""",
+    "op13_mixing": """WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size,
+('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS bound, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1) AS weight FROM d GROUP BY source),
+o AS (SELECT bound, weight, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(bound) OVER p, 0) AS spare, (SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER p, 0) AS open
+FROM s WINDOW p AS (ORDER BY bound / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+best AS (SELECT spare, open FROM o ORDER BY spare / open DESC, open DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN bound <= weight * (spare / open) THEN bound ELSE spare * weight / open END AS target FROM s, best),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
 }
