@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import bpe, hmm, jaccard, licenses, mixing, neighbours, packing, search, sharding, suffixes, toxicity
+from foliospark.llm import bpe, codes, hmm, jaccard, licenses, mixing, neighbours, packing, panes, search, sharding, suffixes, toxicity
 from foliospark.llm.shared import table
 
 
@@ -60,14 +60,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, lexicon).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.revisions(table(spark, sf_dir, "clicks"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.drop("label").withColumn("codebooks_sha256", F.lit(books.sha256()))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op8_hmm, op9_sharding, op10_toxicity, op13_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op8_hmm, op9_sharding, op10_toxicity, op11_panes, op12_codes, op13_mixing)}
 
 _REACH = """reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
+_NEAREST = """a{n} AS MATERIALIZED (SELECT p.rid, p.part, min(list_reduce(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b) * 256 + c.entry) AS best
+FROM p JOIN c{n} c USING (part) GROUP BY p.rid, p.part)"""
+
+#: One round: parts by nearest entry, floors of their means, and the entries that no part has as they were.
+_ROUND = _NEAREST + """,
+m{n} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (SELECT part, best % 256 AS entry, j, sum(p.x[j])::BIGINT AS s, count(*) AS n
+FROM a{n} JOIN p USING (rid, part), (SELECT unnest(range(1, (SELECT w FROM k LIMIT 1) + 1)) AS j) GROUP BY part, entry, j) GROUP BY part, entry),
+c{m} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (part, entry))"""
+
 _USABLE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
 SQL: dict[str, str] = {
@@ -97,6 +115,15 @@ links AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.id <> y.id AND len(
 WHERE len(list_intersect(x.s, y.s)) * 190 >= (len(x.s) + len(y.s)) * 90), nodes AS (SELECT DISTINCT a AS id FROM links), {_REACH},
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT s.id AS doc_id, len(s) AS n_shingles, coalesce(component_id, s.id) AS component_id FROM s LEFT JOIN least l ON l.id = s.id""",
+    "op12_codes": f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e, len(embedding) // 4 AS w
+FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, part, e[part * w + 1 : part * w + w] AS x FROM k, (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (SELECT part, f.entry, x FROM (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 256) f JOIN p USING (rid)),
+{', '.join(_ROUND.format(n=n, m=n + 1) for n in range(4))},
+{_NEAREST.format(n=4)},
+r AS (SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+(SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256 FROM k JOIN r USING (rid)""",
     "op13_mixing": """WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size,
 ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS bound, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1) AS weight FROM d GROUP BY source),
