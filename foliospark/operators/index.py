@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.stems import stemmed
 from foliospark.functions.tokens import DELIMITERS, PLAIN, not_stopword, terms, tokens
-from foliospark.sources import scratch
-from foliospark.sources.scratch import materialize, parallelism
+from foliospark.operators import blocks
+from foliospark.sources.scratch import materialize, scope
 
 #: Columns of a corpus document to the delimiter set of each; arrays are split one element at a time.
 CORPUS_FIELDS = {"title": "title", "paperAbstract": "abstract", "entities": "entities", "fieldsOfStudy": "plain", "authors": "authors", "year": "plain", "venue": "venue", "journalName": "journal", "sources": "plain"}
@@ -51,7 +51,7 @@ def postings(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str
 
     Stems are looked up for a document's distinct tokens, after they are counted.
     """
-    needed = docs.select("doc_id", *fields).repartition(parallelism(docs.sparkSession), "doc_id")
+    needed = docs.select("doc_id", *fields).repartition("doc_id")
     if not stemmer:
         return token_rows(needed, fields, stopwords).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     rows = needed.select("doc_id", F.explode(field_tokens(needed, fields)).alias("token")).where(not_stopword(F.col("token"), stopwords))
@@ -59,6 +59,11 @@ def postings(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str
     return stemmed(counted, "token", "stem").groupBy(F.lower("stem").alias("term"), "doc_id").agg(F.sum("n").alias("tf"))
 
 
+def with_length(posts: DataFrame) -> DataFrame:
+    """Postings with their documents' numbers of tokens, where they lie: postings are dealt by document."""
+    return posts.withColumn("length", F.sum("tf").over(Window.partitionBy("doc_id")))
+
+
 def vocabulary(posts: DataFrame) -> DataFrame:
     """(term, df)."""
     return posts.groupBy("term").agg(F.count("*").alias("df"))
@@ -71,8 +76,8 @@ def document_lengths(docs: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def metadata(lengths: DataFrame) -> DataFrame:
-    """One row: documents, avgdl (mean tokens a document, empty ones included)."""
-    return lengths.agg(F.count("*").alias("documents"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")).select("documents", F.when(F.col("documents") > 0, F.col("tokens") / F.col("documents")).alias("avgdl"))
+    """One row: documents, tokens, avgdl (mean tokens a document, empty ones included)."""
+    return lengths.agg(F.count("*").alias("documents"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")).select("documents", "tokens", F.when(F.col("documents") > 0, F.col("tokens") / F.col("documents")).alias("avgdl"))
 
 
 def weights(posts: DataFrame, vocab: DataFrame, documents: int) -> DataFrame:
@@ -87,94 +92,73 @@ def posting_lists(posts: DataFrame) -> DataFrame:
 
 
 def offsets(vocab: DataFrame) -> DataFrame:
-    """(term, df, offset): where each term's 8-byte postings begin, terms in byte order.
-
-    A prefix sum without one task for all: range partitions are summed, the few sums accumulated, and each partition
-    adds what stands before it.
-    """
-    ranged = materialize(vocab.repartitionByRange("term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("part").agg(F.sum("df").alias("n"))  # one row a partition
-    before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.coalesce(F.sum("df").over(Window.partitionBy("part").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("own", own).join(F.broadcast(before), "part").select("term", "df", ((F.col("before") + F.col("own")) * 8).alias("offset"))
+    """(term, df, offset): where each term's 8-byte postings begin, terms in byte order."""
+    return blocks.offsets(vocab).select("term", "df", (F.col("before") * 8).alias("offset"))
 
 
 @dataclass(frozen=True)
 class Index:
-    """The tables of an index and its two scalars."""
+    """The tables of an index and its scalars."""
 
-    postings: DataFrame
-    vocabulary: DataFrame
+    blocks: DataFrame  # see operators.blocks
+    vocabulary: DataFrame  # term, df, ratio, deep
     doc_stats: DataFrame  # doc_id, token_count, max_tf, vsm_weight, pagerank
     display: DataFrame  # doc_id and whatever results may show
+    splitters: DataFrame  # term, part, cuts
     documents: int
-    avgdl: float
+    tokens: int
+    parts: int
     use_stemmer: bool = False
     stopwords: tuple[str, ...] = ()
 
+    @property
+    def avgdl(self) -> float:
+        return self.tokens / self.documents if self.documents else 0.0
+
     @property
     def use_stopwords(self) -> bool:
         return bool(self.stopwords)
 
-
-def in_term_order(posts: DataFrame) -> DataFrame:
-    """Postings by ranges of terms, so that a look-up's filter skips all files and row groups but a few."""
-    return posts.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-
-
-def build(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] = (), stemmer: bool = False, pagerank: DataFrame | None = None, written: bool = True) -> Index:
-    """Index docs (doc_id and the fields). Postings are written once to the shared folder, in term order, since all else reads them."""
-    hold = materialize if written else (lambda df, name: df)
-    words = tuple(sorted(set(stopwords)))
-    posts = hold(in_term_order(postings(docs, fields, words, stemmer)), "postings")
-    vocab = hold(vocabulary(posts).sortWithinPartitions("term"), "vocabulary")
-    lengths = document_lengths(docs, posts)
-    meta = metadata(lengths).first()
-    stats = lengths.join(weights(posts, vocab, meta["documents"]), "doc_id", "left")
-    rank = pagerank.select("doc_id", "pagerank") if pagerank is not None else docs.select("doc_id", F.lit(0.0).alias("pagerank"))
-    stats = hold(stats.join(rank, "doc_id", "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))), "doc_stats")
-    return Index(posts, vocab, stats, docs, meta["documents"], meta["avgdl"] or 0.0, stemmer, words)
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc_id, tf), a row a posting."""
+        return blocks.unrolled(self.blocks).select("term", "doc_id", "tf")
 
 
-META = "documents long, avgdl double, use_stemmer boolean, use_stopwords boolean, stopwords array<string>"
+def with_pagerank(stats: DataFrame, pagerank: DataFrame | None) -> DataFrame:
+    """Statistics with the pagerank of (doc_id, pagerank), 0 for documents that it lacks."""
+    if pagerank is None:
+        return stats.withColumn("pagerank", F.lit(0.0))
+    return stats.join(pagerank.select("doc_id", F.col("pagerank").cast("double")), "doc_id", "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
 
 
-def save(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """Write the tables under path; postings and vocabulary in term order, so that a look-up reads few row groups."""
-    in_term_order(index.postings).write.mode(mode).parquet(f"{path}/postings")
-    index.vocabulary.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/vocabulary")
-    index.doc_stats.write.mode(mode).parquet(f"{path}/doc_stats")
-    index.display.write.mode(mode).parquet(f"{path}/documents")
-    row = [(index.documents, index.avgdl, index.use_stemmer, index.use_stopwords, list(index.stopwords))]
-    index.postings.sparkSession.createDataFrame(row, META).write.mode(mode).json(f"{path}/index_meta")
+def with_bounds(vocab: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, df, ratio, deep): the smallest ratio of a term's blocks, and the most blocks that it has in a part."""
+    return vocab.select("term", "df").join(found.groupBy("term").agg(F.min("ratio").alias("ratio"), (F.max("block") + 1).alias("deep")), "term", "left")
 
 
-def update_pagerank(spark: SparkSession, path: str, pagerank: DataFrame) -> Index:
-    """Put (doc_id, pagerank) into a saved index, 0 for documents that it lacks; nothing else is written anew.
+def build(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] = (), stemmer: bool = False, pagerank: DataFrame | None = None, splitters: DataFrame | None = None, parts: int | None = None, rows: int = blocks.ROWS) -> Index:
+    """Index docs (doc_id and the fields); its tables lie in the shared folder.
 
-    The new statistics stand beside the old until they are whole, and take their name then.
+    Documents are read and tokenised once: their postings are written as they come, and all else reads those. Places
+    in the index are prefix sums over the vocabulary, or those of kept splitters, with their number of parts; so no
+    postings are sampled. rows: the postings of a part.
     """
-    index = load(spark, path)
-    stats = index.doc_stats.drop("pagerank").join(pagerank.select("doc_id", F.col("pagerank").cast("double")), "doc_id", "left")
-    stats.withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))).write.mode("overwrite").parquet(f"{path}/doc_stats_new")
-    scratch.delete(spark, f"{path}/doc_stats")
-    jvm = spark._jvm.org.apache.hadoop.fs
-    jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(jvm.Path(f"{path}/doc_stats_new"), jvm.Path(f"{path}/doc_stats"))
-    return load(spark, path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    return scratch.exists(spark, f"{path}/index_meta")
-
-
-def delete(spark: SparkSession, path: str) -> bool:
-    return scratch.delete(spark, path)
-
-
-def load(spark: SparkSession, path: str) -> Index:
-    """Open a saved index; nothing but its metadata is read yet."""
-    if not exists(spark, path):
-        raise IndexNotLoadedError(path)
-    m = spark.read.schema(META).json(f"{path}/index_meta").first()
-    read = {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocabulary", "doc_stats", "documents")}
-    return Index(read["postings"], read["vocabulary"], read["doc_stats"], read["documents"], m["documents"], m["avgdl"], m["use_stemmer"], tuple(m["stopwords"]))
+    words = tuple(sorted(set(stopwords)))
+    with scope(docs.sparkSession) as own:
+        hold = lambda df, name: own.keep(materialize(df, name))
+        posts = materialize(with_length(postings(docs, fields, words, stemmer)), "counts")
+        terms_ = materialize(vocabulary(posts), "terms")
+        if splitters is None:
+            size, parts = blocks.part_size(terms_, rows)
+            places = materialize(blocks.placed(terms_, size), "places")
+            splitters = hold(blocks.splitters(places), "splitters")
+        else:
+            places = materialize(blocks.placed_by(terms_, splitters), "places")
+        lengths = materialize(document_lengths(docs, posts), "lengths")
+        meta = metadata(lengths).first()
+        found = hold(blocks.blocked(blocks.located(posts, places), parts, meta["avgdl"] or 0.0), "blocks")
+        vocab = hold(with_bounds(terms_, found).sortWithinPartitions("term"), "vocabulary")
+        stats = lengths.join(weights(posts, terms_, meta["documents"]), "doc_id", "left")
+        stats = hold(with_pagerank(stats, pagerank), "doc_stats")
+    return Index(found, vocab, stats, docs, splitters, meta["documents"], meta["tokens"], parts, stemmer, words)

@@ -77,7 +77,7 @@ class Search:
         """One query."""
         if self.index is None:
             raise IndexNotLoadedError("search")
-        spark = self.index.postings.sparkSession
+        spark = self.index.blocks.sparkSession
         queries = spark.createDataFrame([(0, query)], "query_id int, query string")
         terms = self.terms(queries)
         try:

@@ -236,6 +236,11 @@ SQL: dict[str, str] = {
     "query_terms": f"SELECT item_id AS query_id, pos, lower(token) AS term, 1.0::DOUBLE AS weight FROM ({_exploded('benchmark', 'item_id', 'text', tokens.QUERY)}) WHERE lower(token) NOT IN ({_STOP})",
     "index_fields": f"SELECT lower(token) AS term, doc_id, count(*) AS tf FROM ({_TOKENS} UNION ALL SELECT doc_id, unnest({_split('lang', tokens.PLAIN)}) FROM documents UNION ALL SELECT doc_id, unnest({_split('source', tokens.PLAIN)}) FROM documents) GROUP BY ALL",
     "term_frequency": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM post",
+    "merged_postings": f"WITH {POSTINGS} SELECT term, doc_id, tf FROM post",
+    "merged_vocabulary": f"WITH {INDEX} SELECT term, df FROM vocab",
+    "merged_stats": f"WITH {INDEX} SELECT d.doc_id, token_count, max_tf, round(vsm_weight, 9) AS vsm_weight FROM documents d LEFT JOIN lens USING (doc_id) LEFT JOIN wts USING (doc_id)",
+    "merged_topk": f"{_search('bm25', 10, f'({_BENCH})')} SELECT query_id, doc_id, score, rank FROM ranked",
+    "postings_blocks": f"WITH {POSTINGS} SELECT term, count(*) AS df, true AS bounded, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM post GROUP BY term",
     "doc_length": f"WITH {INDEX} SELECT doc_id, token_count FROM lens",
     "document_frequency": f"WITH {INDEX} SELECT term, df FROM vocab",
     "index_meta": f"WITH {INDEX} SELECT n::BIGINT AS documents, round(avgdl, 9) AS avgdl FROM meta",

@@ -6,16 +6,17 @@ citations: within an order, returned lines cite the next line's part; `part` are
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import scalars, stems, tokens
-from foliospark.operators import evaluation, expansion, graph, histogram, index, report, retrieval, session
+from foliospark.operators import blocks, evaluation, expansion, graph, histogram, index, report, retrieval, segments, session
 from foliospark.operators.index import Index
 from foliospark.sources import corpus
-from foliospark.sources.scratch import materialize
+from foliospark.sources.scratch import folder, lasting, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TEXT = {"text": "abstract"}
@@ -28,6 +29,7 @@ TAGGED = [(1, 0, "thing", "NN"), (1, 1, "ing", "VBD"), (1, 2, "of", "IN"), (2, 0
 #: Words for the first vectors.
 WORDS = ("thing", "erble", "thtion", "la", "de", "ing", "er", "tion")
 STOP = tokens.ENGLISH
+_lock = threading.Lock()
 _built: dict[tuple[str, str], Index] = {}
 
 
@@ -43,7 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def the_index(spark: SparkSession, sf_dir: str) -> Index:
     """The text index of a data folder, built once a session, as an engine serves many queries from one index."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
+    with _lock, lasting():
+        if key in _built:
+            return _built[key]
         docs = table(spark, sf_dir, "documents")
         n = docs.count()
         # a stand-in for citation scores: decreasing with doc_id
@@ -52,6 +56,20 @@ def the_index(spark: SparkSession, sf_dir: str) -> Index:
     return _built[key]
 
 
+def the_merged(spark: SparkSession, sf_dir: str) -> Index:
+    """The same index from three segments, of documents by language: one stored, two added, and all merged."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} merged")
+    with _lock, lasting():
+        if key not in _built:
+            path, docs = folder(spark, "index"), table(spark, sf_dir, "documents")
+            third = F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(3))
+            segments.save(index.build(docs.where(third == 0), TEXT), path)
+            for i in (1, 2):
+                segments.append(spark, path, docs.where(third == i), TEXT)
+            _built[key] = segments.merge(spark, path)
+    return _built[key]
+
+
 def asked(spark: SparkSession, rows=ASKED) -> DataFrame:
     return spark.createDataFrame(rows, "query_id int, pos int, term string, weight double")
 
@@ -147,7 +165,7 @@ def doc_length(spark, d):
 
 @query
 def document_frequency(spark, d):
-    return the_index(spark, d).vocabulary
+    return the_index(spark, d).vocabulary.select("term", "df")
 
 
 @query
@@ -178,7 +196,7 @@ def postings_offset(spark, d):
 @query
 def vocabulary_sorted(spark, d):
     """The whole vocabulary in byte order."""
-    return the_index(spark, d).vocabulary.orderBy("term")
+    return the_index(spark, d).vocabulary.select("term", "df").orderBy("term")
 
 
 @query
@@ -187,6 +205,37 @@ def vocabulary_ranked(spark, d):
     return corpus.numbered(the_index(spark, d).vocabulary, "term").select("term", "df", F.col("doc_id").alias("place"))
 
 
+@query
+def merged_postings(spark, d):
+    """The postings of an index that was merged from segments."""
+    return the_merged(spark, d).postings
+
+
+@query
+def merged_vocabulary(spark, d):
+    return the_merged(spark, d).vocabulary.select("term", "df")
+
+
+@query
+def merged_stats(spark, d):
+    """Lengths and weights after a merge: the weights follow the document frequencies of the whole."""
+    return the_merged(spark, d).doc_stats.select("doc_id", "token_count", "max_tf", F.round("vsm_weight", 9).alias("vsm_weight"))
+
+
+@query
+def merged_topk(spark, d):
+    """Every benchmark text as a query to the merged index, by blocks that can reach its best ten."""
+    i = the_merged(spark, d)
+    return retrieval.top(retrieval.normalised(retrieval.bounded(_benchmark(spark, d), i, 10), True), 10, 9).select("query_id", "doc_id", "score", "rank")
+
+
+@query
+def postings_blocks(spark, d):
+    """The size and span of every term's blocks: bounded rows, whatever the term."""
+    rows = the_index(spark, d).blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("n").cast("int").alias("most"), F.min("first").alias("first_doc"), F.max(F.col("first") + F.element_at("docs", -1)).alias("last_doc"))
+    return rows.select("term", "df", (F.col("most") <= blocks.BLOCK).alias("bounded"), "first_doc", "last_doc")
+
+
 # retrieval
 
 
@@ -256,11 +305,15 @@ def result_range(spark, d):
     return retrieval.in_range(retrieval.search(asked(spark), the_index(spark, d), "okapi", 12, digits=9), 5, 20).select("query_id", "doc_id", "rank")
 
 
+def _benchmark(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return tokens.query_terms(rows, STOP)
+
+
 @query
 def batch_topk(spark, d):
     """Every benchmark text as a query: ten results each."""
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.search(tokens.query_terms(rows, STOP), the_index(spark, d), "okapi", 10, digits=9).select("query_id", "doc_id", "score", "rank")
+    return retrieval.search(_benchmark(spark, d), the_index(spark, d), "okapi", 10, digits=9).select("query_id", "doc_id", "score", "rank")
 
 
 # graphs

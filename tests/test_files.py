@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import evaluation, expansion, graph, index, report, retrieval, session
+from foliospark.operators import evaluation, expansion, graph, index, report, retrieval, segments, session
 from foliospark.sources import corpus
 
 DOCS = [
@@ -76,15 +76,15 @@ def built(spark, folder):
 
 def test_pagerank_into_a_saved_index(spark, folder, built):
     path = f"file://{folder}/index"
-    index.save(built, path)
-    before = {r["doc_id"]: r.asDict() for r in index.load(spark, path).doc_stats.collect()}
-    now = index.update_pagerank(spark, path, spark.createDataFrame([(1, 0.5), (2, 0.25), (7, 1.0)], "doc_id long, pagerank double"))
+    segments.save(built, path)
+    before = {r["doc_id"]: r.asDict() for r in segments.load(spark, path).doc_stats.collect()}
+    now = segments.update_pagerank(spark, path, spark.createDataFrame([(1, 0.5), (2, 0.25), (7, 1.0)], "doc_id long, pagerank double"))
     after = {r["doc_id"]: r.asDict() for r in now.doc_stats.collect()}
     assert {i: r["pagerank"] for i, r in after.items()} == {0: 0.0, 1: 0.5, 2: 0.25}
     assert all({k: v for k, v in after[i].items() if k != "pagerank"} == {k: v for k, v in r.items() if k != "pagerank"} for i, r in before.items())
-    assert index.delete(spark, path) and not index.exists(spark, path)
+    assert segments.delete(spark, path) and not segments.exists(spark, path)
     with pytest.raises(index.IndexNotLoadedError):
-        index.load(spark, path)
+        segments.load(spark, path)
 
 
 def test_shown_results(spark, built):

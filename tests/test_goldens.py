@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.config import Settings
 from foliospark.functions import scalars, stems, tokens
-from foliospark.operators import evaluation, expansion, graph, index, retrieval, session
+from foliospark.operators import evaluation, expansion, graph, index, retrieval, segments, session
 from foliospark.sources import corpus
 
 DOCS = [(0, "red red fox 2001"), (1, "red dog 0"), (2, "blue dog dog fox 1999")]
@@ -154,16 +154,16 @@ def test_session(spark, built):
 
 def test_saved_index(spark, built, tmp_path):
     path = f"file://{tmp_path}/ix"
-    assert not index.exists(spark, path)
-    index.save(built, path)
-    again = index.load(spark, path)
+    assert not segments.exists(spark, path)
+    segments.save(built, path)
+    again = segments.load(spark, path)
     assert (again.documents, again.avgdl) == (3, 4.0)
     q = terms(spark, ("blue", 1.0), ("dog", 1.0))
     assert scores(retrieval.search(q, again, "okapi")) == pytest.approx(scores(retrieval.search(q, built, "okapi")))
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,dog)]" in again.postings.where("term = 'dog'")._jdf.queryExecution().toString()
-    assert index.delete(spark, path) and not index.exists(spark, path)
+    assert segments.delete(spark, path) and not segments.exists(spark, path)
     with pytest.raises(index.IndexNotLoadedError):
-        index.load(spark, path)
+        segments.load(spark, path)
 
 
 def test_settings():
