@@ -179,6 +179,7 @@ def _settings(spark: SparkSession) -> Iterator[None]:
     wanted = {
         f"{state}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         f"{state}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{state}.rocksdb.allowFAllocate": "false",  # many small stores: each would set megabytes of disk aside
         f"{state}.rocksdb.boundedMemoryUsage": "true",
         f"{state}.rocksdb.maxMemoryUsageMB": "200",
         f"{state}.maintenanceInterval": "10s",
