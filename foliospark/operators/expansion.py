@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from foliospark.functions.stems import stemmed
 from foliospark.functions.tokens import not_stopword
 
 EXTRA, NEW_WEIGHT = 3, 0.5
-#: Distinct query words that may be compared with all vectors in one block.
+#: Query words of a block; a block of vectors has twice as many.
 BLOCK = 4096
 
 
@@ -26,56 +26,94 @@ class QueryExpansionError(RuntimeError):
     """An expander failed."""
 
 
-def nearest(words: DataFrame, vectors: DataFrame, k: int = EXTRA) -> DataFrame:
+def nearest(words: DataFrame, vectors: DataFrame, k: int = EXTRA, block: int = BLOCK) -> DataFrame:
     """(word, near, similarity, rank): the k nearest words by cosine of each word that has a vector, itself left out.
 
-    Query words are taken in blocks of bounded size; a block is multiplied with the vectors where they are read, and
-    each task writes k rows for each word. Ties go to the smaller word. Zero vectors are near nothing.
+    Up to `block` query words are sent to every task of one scan of the vectors. More meet the vectors in one grouped
+    plan: the vectors are scanned once, and every block of them is multiplied with every block of words in a task of its
+    own. Either way a task writes k rows a word, of which k are kept in turn. Ties go to the smaller word. Zero vectors
+    are near nothing.
     """
-    own = vectors.join(words.select("word").distinct(), "word", "left_semi")
-    blocks = max(1, -(-own.count() // BLOCK))
-    kind = vectors.schema["word"].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        part = own.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b).toPandas() if blocks > 1 else own.toPandas()
-        found = _near_block(vectors, part, k, kind)
-        out = found if out is None else out.union(found)
+    own = vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", "vector")
+    n = own.count()
+    found = _sent(own, vectors, k) if n <= block else _grouped(own, n, vectors, k, block)
     w = Window.partitionBy("word").orderBy(F.desc("similarity"), "near")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _near_block(vectors: DataFrame, part: pd.DataFrame, k: int, kind: str) -> DataFrame:
-    names = part["word"].tolist()
-    q = np.array(part["vector"].tolist(), np.float64).reshape(len(names), -1) if names else np.zeros((0, 1))
-    size = np.sqrt((q * q).sum(1, keepdims=True))
-    q = q / np.where(size == 0, np.nan, size)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, q))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = shared.value
-        best = np.full((len(names), k), -np.inf)  # what the task has found so far, best first
-        held = np.full((len(names), k), None, object)
-        own = {name: i for i, name in enumerate(names)}
-        for t in batches:
-            if not len(t) or not names:
-                continue
-            x = np.array(t["vector"].tolist(), np.float64)
-            size = np.sqrt((x * x).sum(1, keepdims=True))
-            near = t["word"].to_numpy(object)
-            sims = np.nan_to_num(q @ (x / np.where(size == 0, np.nan, size)).T, nan=-np.inf)
-            for j, name in enumerate(near):
-                if name in own:
-                    sims[own[name], j] = -np.inf
-            reach = (sims >= best[:, -1:]) & np.isfinite(sims)
-            for i in np.flatnonzero(reach.any(1)).tolist():
-                j = np.flatnonzero(reach[i])
-                rows = sorted([*((-s, n) for s, n in zip(best[i], held[i], strict=True) if n is not None), *zip((-sims[i, j]).tolist(), near[j].tolist(), strict=True)])[:k]
-                best[i, : len(rows)] = [-s for s, _ in rows]
-                held[i, : len(rows)] = [n for _, n in rows]
-        i, r = np.nonzero(np.isfinite(best))
-        yield pd.DataFrame({"word": pd.Series([names[x] for x in i], dtype=object), "near": pd.Series(held[i, r].tolist(), dtype=object), "similarity": best[i, r]})
-
-    return vectors.select("word", "vector").mapInPandas(run, f"word {kind}, near {kind}, similarity double")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    """Rows of length 1, of NaN where a vector is zero."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(size == 0, np.nan, size)
+
+
+class _Best:
+    """The k nearest words of each query word, so far."""
+
+    def __init__(self, names: list, q: np.ndarray, k: int):
+        self.names, self.q, self.k = names, q, k
+        self.sims, self.near = np.full((len(names), k), -np.inf), np.full((len(names), k), None, object)
+        self.own = {name: i for i, name in enumerate(names)}
+
+    def meet(self, near: list, x: np.ndarray) -> None:
+        sims = np.nan_to_num(self.q @ x.T, nan=-np.inf)
+        for j, name in enumerate(near):
+            if name in self.own:
+                sims[self.own[name], j] = -np.inf
+        reach = (sims >= self.sims[:, -1:]) & np.isfinite(sims)
+        for i in np.flatnonzero(reach.any(1)).tolist():
+            held = [(-s, n) for s, n in zip(self.sims[i], self.near[i], strict=True) if n is not None]
+            rows = sorted([*held, *((-sims[i, j], near[j]) for j in np.flatnonzero(reach[i]))])[: self.k]
+            self.sims[i, : len(rows)] = [-s for s, _ in rows]
+            self.near[i, : len(rows)] = [n for _, n in rows]
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        i, r = np.nonzero(np.isfinite(self.sims))
+        return pa.RecordBatch.from_arrays([pa.array([self.names[x] for x in i], kind), pa.array(self.near[i, r].tolist(), kind), pa.array(self.sims[i, r])], ["word", "near", "similarity"])
+
+
+def _schema(vectors: DataFrame) -> str:
+    kind = vectors.schema["word"].dataType.simpleString()
+    return f"word {kind}, near {kind}, similarity double"
+
+
+def _sent(own: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """One scan of the vectors, with the query words, a block at most, in every task."""
+    part = own.toArrow()
+    column = part.column("vector").combine_chunks()
+    shared = vectors.sparkSession.sparkContext.broadcast((part.column("word").to_pylist(), _unit(column)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = _Best(*shared.value, k), None
+        for b in batches:
+            kind = b.column("word").type
+            if b.num_rows and best.names:
+                best.meet(b.column("word").to_pylist(), _unit(b.column("vector")))
+        if kind is not None:
+            yield best.rows(kind)
+
+    return vectors.select("word", "vector").mapInArrow(run, _schema(vectors))
+
+
+def _grouped(own: DataFrame, n: int, vectors: DataFrame, k: int, block: int) -> DataFrame:
+    """A task for each block of query words and each block of vectors."""
+    rows, cols = -(-n // block), max(1, -(-vectors.count() // (2 * block)))
+    at = lambda count: F.pmod(F.xxhash64("word"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = own.select("word", "vector", at(rows).alias("q"), every(cols).alias("v"))
+    right = vectors.select("word", "vector", every(rows).alias("q"), at(cols).alias("v"))
+
+    def run(queries: pa.Table, others: pa.Table) -> pa.Table:
+        both = [(t.column("word"), t.column("vector").combine_chunks()) for t in (queries, others)]
+        kind = queries.schema.field("word").type
+        best = _Best(both[0][0].to_pylist(), _unit(both[0][1]), k)
+        if best.names and len(both[1][0]):
+            best.meet(both[1][0].to_pylist(), _unit(both[1][1]))
+        return pa.Table.from_batches([best.rows(kind)])
+
+    return left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(run, _schema(vectors))
 
 
 def _originals(query: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ TEXT = {"text": "abstract"}
 #: (query_id, pos, term, weight): frequent and rare words, and one that no document has.
 ASKED = [(1, 0, "thing", 1.0), (1, 1, "erble", 1.0), (1, 2, "zzzz", 0.5), (2, 0, "thtion", 2.0), (2, 1, "the", 1.0), (3, 0, "de", 1.0)]
 FIRST = [(1, 0, "thing", 1.0), (1, 1, "erble", 1.0), (1, 2, "zzzz", 1.0)]
-#: A thesaurus and tagged words for it.
+#: A thesaurus and tagged words for it, for the evaluation's few queries.
 THESAURUS = [("noun", "thing", 1, 1, "thing"), ("noun", "thing", 1, 2, "object"), ("noun", "thing", 1, 3, "erble"), ("noun", "thing", 1, 4, "matter"), ("noun", "thing", 2, 1, "the"), ("noun", "thing", 2, 2, "affair"), ("verb", "ing", 1, 1, "go on"), ("verb", "ing", 1, 2, "thtion"), ("adverb", "de", 1, 1, "of")]
 TAGGED = [(1, 0, "thing", "NN"), (1, 1, "ing", "VBD"), (1, 2, "of", "IN"), (2, 0, "de", "RB"), (2, 1, "thing", "JJ"), (2, 2, "the", "DT")]
 #: Words for the first vectors.
@@ -241,8 +241,8 @@ def postings_blocks(spark, d):
 
 @query
 def merge_query_terms(spark, d):
-    twice = asked(spark, [*ASKED, (1, 3, "thing", 0.25), (2, 2, "the", 1.5)])
-    return retrieval.merge_terms(twice).select("query_id", "term", "weight", "pos")
+    """Every benchmark text as a query, repeats of a term as one."""
+    return retrieval.merge_terms(_benchmark(spark, d)).select("query_id", "term", "weight", "pos")
 
 
 @query
@@ -449,7 +449,7 @@ def eval_grid(spark, d):
     i, judged, out = the_index(spark, d), _judged(spark, d), None
     rows = asked(spark).select("query_id", "pos", F.col("term").alias("token"))
     words = expansion.capped(expansion.by_vectors(rows, _named_vectors(spark, d), STOP), STOP)
-    for name, terms in (("none", asked(spark)), ("glove", words), ("wordnet", expansion_cap(spark, d))):
+    for name, terms in (("none", asked(spark)), ("glove", words), ("wordnet", _few_expanded(spark))):
         terms = retrieval.resolve(terms, i)
         for model in ("vsm", "okapi"):
             for w in (0.0, 0.25):
@@ -483,9 +483,17 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The first vectors under words of the corpus."""
+    """All vectors, the first under words of the corpus."""
     names = spark.createDataFrame(list(enumerate(WORDS)), "vec_id long, word string")
-    return table(spark, d, "embeddings").join(F.broadcast(names), "vec_id").select("word", F.col("embedding").alias("vector"))
+    named = table(spark, d, "embeddings").join(F.broadcast(names), "vec_id", "left")
+    return named.select(F.coalesce("word", F.concat(F.lit("w"), F.col("vec_id").cast("string"))).alias("word"), F.col("embedding").alias("vector"))
+
+
+@query
+def glove_nearest_all(spark, d):
+    """The nearest words of every twentieth, in blocks of words and of vectors."""
+    vectors = _vectors(spark, d)
+    return expansion.nearest(vectors.where("word % 20 = 0"), vectors, block=64).select("word", "near", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 @query
@@ -501,9 +509,36 @@ def glove_expand(spark, d):
     return expansion.by_vectors(rows, vectors, STOP)
 
 
+def _benchmark_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _exploded(table(spark, d, "benchmark"), "item_id", "text", tokens.QUERY).withColumnRenamed("item_id", "query_id")
+
+
+def _thesaurus(spark: SparkSession, d: str) -> DataFrame:
+    """A thesaurus out of the benchmark: each of an item's first words has the five words after it as a sense."""
+    words = _benchmark_tokens(spark, d)
+    sense = F.row_number().over(Window.partitionBy("token").orderBy("query_id", "pos"))
+    lemmas = words.where("pos < 4").select("query_id", F.col("pos").alias("at"), F.col("token").alias("lemma"), sense.alias("sense"))
+    kind = F.element_at(F.array(*map(F.lit, ("noun", "verb", "adjective", "adverb"))), F.length("lemma") % 4 + 1)
+    near = (F.col("pos") > F.col("at")) & (F.col("pos") <= F.col("at") + 5)
+    return lemmas.join(words, "query_id").where(near).select(kind.alias("pos"), "lemma", "sense", (F.col("pos") - F.col("at")).alias("rank"), F.col("token").alias("word"))
+
+
+def _tags(spark: SparkSession, d: str) -> DataFrame:
+    """(token, tag) of the benchmark's words, by their length."""
+    kind = F.element_at(F.array(*map(F.lit, ("NN", "VBD", "JJ", "RB", "IN"))), F.length("token") % 5 + 1)
+    return _benchmark_tokens(spark, d).select("token").distinct().withColumn("tag", kind)
+
+
 @query
 def wordnet_expand(spark, d):
-    return expansion.by_thesaurus(spark.createDataFrame(TAGGED, "query_id int, pos int, token string, tag string"), spark.createDataFrame(THESAURUS, "pos string, lemma string, sense int, rank int, word string"), STOP)
+    """Every benchmark text, its words tagged by a table and expanded by a thesaurus."""
+    return expansion.by_thesaurus(expansion.tagged(_benchmark_tokens(spark, d), _tags(spark, d)), _thesaurus(spark, d), STOP)
+
+
+def _few_expanded(spark: SparkSession) -> DataFrame:
+    """The evaluation's queries, expanded by a thesaurus of a few words."""
+    found = expansion.by_thesaurus(spark.createDataFrame(TAGGED, "query_id int, pos int, token string, tag string"), spark.createDataFrame(THESAURUS, "pos string, lemma string, sense int, rank int, word string"), STOP)
+    return expansion.capped(found, STOP)
 
 
 @query
@@ -513,7 +548,7 @@ def expansion_cap(spark, d):
 
 @query
 def expanded_search(spark, d):
-    """Expansion, then BM25+ with its weights."""
+    """Every benchmark text expanded, then BM25+ with the weights of its words."""
     return retrieval.search(expansion_cap(spark, d), the_index(spark, d), "okapi", 10, digits=9).select("query_id", "doc_id", "score", "rank")
 
 
