@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.scalars import word_class
 from foliospark.functions.stems import stemmed
 from foliospark.functions.tokens import not_stopword
+from foliospark.sources.scratch import materialize
 
 EXTRA, NEW_WEIGHT = 3, 0.5
 #: Query words of a block; a block of vectors has twice as many.
@@ -34,7 +35,7 @@ def nearest(words: DataFrame, vectors: DataFrame, k: int = EXTRA, block: int = B
     own. Either way a task writes k rows a word, of which k are kept in turn. Ties go to the smaller word. Zero vectors
     are near nothing.
     """
-    own = vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", "vector")
+    own = materialize(vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", "vector"), "words")
     n = own.count()
     found = _sent(own, vectors, k) if n <= block else _grouped(own, n, vectors, k, block)
     w = Window.partitionBy("word").orderBy(F.desc("similarity"), "near")

@@ -5,10 +5,13 @@ Lists are rows (id, pos, other): the pos-th entry of a document's in or out list
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.sources.scratch import Bucketed, materialize, parallelism
+from foliospark.sources.scratch import Bucketed, materialize, parallelism, scope
+
+#: Links of a source from which on they may be dealt evenly.
+HUB = 10_000
 
 
 def entries(docs: DataFrame, column: str) -> DataFrame:
@@ -22,13 +25,14 @@ def edges(out: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.where("id <> other").select(F.col("id").alias("src"), F.col("other").alias("dst")).distinct()
 
 
-def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, threshold: float = 1e-8, iterations: int | None = None, out_degree: DataFrame | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, threshold: float = 1e-8, iterations: int | None = None, out_degree: DataFrame | None = None, hub: int = HUB) -> DataFrame:
     """(id, pagerank): all start at 1 / N; sinks give to everyone alike; ends when no score moves by more than threshold.
 
     With `iterations`, exactly so many rounds. Links are bucketed by source and scores by node once, so a round
-    shuffles nothing but the sums of what links give. A round writes one number for each node and deletes the round
-    before, so lineage and disk don't grow and no round is lost with an executor. Only the sinks' sum and the largest
-    move, two numbers a round, reach the driver.
+    shuffles nothing but the sums of what links give. The links of hubs, sources of more than `hub` links or their part
+    of all, are dealt evenly instead, and the hubs' shares are sent to them: there are four hubs a bucket at most. A
+    round writes one number for each node and deletes the round before, so lineage and disk don't grow and no round is
+    lost with an executor. The sinks' sum and the largest move, two numbers a round, are observed as it is written.
 
     A node's out-degree is the number of its links, or that in `out_degree` (id, degree), where links come from in
     lists and degrees from out lists; a link from a node without any is refused then, since its share has no bound.
@@ -36,30 +40,45 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, threshol
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    buckets = parallelism(nodes.sparkSession)
-    if out_degree is None:
-        degree = links.groupBy("src").agg(F.count("*").alias("degree"))
-    else:
-        degree = out_degree.where("degree > 0").select(F.col("id").alias("src"), "degree")
-        if not links.join(degree, "src", "left_anti").isEmpty():
-            raise ValueError("a link from a node without out-degree")
-    own = nodes.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    scores = Bucketed(own.select("id", "degree", F.lit(1.0 / n).alias("pagerank"), F.lit(0.0).alias("moved")), "id", buckets)
-    edges, done = Bucketed(links.select("src", "dst"), "src", buckets), 0
-    while True:
-        sink, moved = scores.read().agg(F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("pagerank"))), F.lit(0.0)), F.max("moved")).first()
-        if done == iterations or iterations is None and done and moved <= threshold:
-            out = materialize(scores.read().select("id", "pagerank"), "pagerank")
-            scores.drop()
-            edges.drop()
-            return out
-        shares = scores.read().where("degree > 0").select(F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("share"))
-        given = edges.read().join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
-        score = F.lit(damping) * (F.lit(sink / n) + F.coalesce("given", F.lit(0.0))) + F.lit((1.0 - damping) / n)
-        moves = scores.read().join(given, "id", "left").select("id", "degree", score.alias("pagerank"), F.abs(score - F.col("pagerank")).alias("moved"))
-        before, scores = scores, Bucketed(moves, "id", buckets)
-        before.drop()
-        done += 1
+    spark = nodes.sparkSession
+    with scope(spark) as mine:
+        buckets = parallelism(spark)
+        fan = materialize(links.groupBy("src").agg(F.count("*").alias("degree")), "degrees")
+        if out_degree is None:
+            degree = fan
+        else:
+            degree = out_degree.where("degree > 0").select(F.col("id").alias("src"), "degree")
+            if not fan.join(degree, "src", "left_anti").isEmpty():
+                raise ValueError("a link from a node without out-degree")
+        own = nodes.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        whole, widest = fan.agg(F.coalesce(F.sum("degree"), F.lit(0)), F.coalesce(F.max("degree"), F.lit(0))).first()
+        limit = max(hub, -(-whole // (4 * buckets)))
+        hubs = fan.where(F.col("degree") > limit).select("src") if widest > limit else None
+        few = links.select("src", "dst")
+        if hubs is not None:
+            few = few.join(F.broadcast(hubs), "src", "left_anti")
+            many = materialize(links.select("src", "dst").join(F.broadcast(hubs), "src", "left_semi").repartition(buckets), "hubs")
+        edges = Bucketed(few, "src", buckets)
+        sinks = F.coalesce(F.sum(F.when(F.col("degree") == 0, F.col("pagerank"))), F.lit(0.0)).alias("sink")
+        told = Observation()
+        scores = Bucketed(own.select("id", "degree", F.lit(1.0 / n).alias("pagerank"), F.lit(0.0).alias("moved")), "id", buckets, (told, sinks))
+        done = 0
+        while True:
+            sink, moved = told.get["sink"], told.get.get("moved")
+            if done == iterations or iterations is None and done and moved <= threshold:
+                return mine.keep(materialize(scores.read().select("id", "pagerank"), "pagerank"))
+            shares = scores.read().where("degree > 0").select(F.col("id").alias("src"), (F.col("pagerank") / F.col("degree")).alias("share"))
+            given = edges.read().join(shares, "src").select(F.col("dst").alias("id"), "share")
+            if hubs is not None:
+                sent = shares.join(F.broadcast(hubs), "src", "left_semi")
+                given = given.union(many.join(F.broadcast(sent), "src").select("dst", "share"))
+            given = given.groupBy("id").agg(F.sum("share").alias("given"))
+            score = F.lit(damping) * (F.lit(sink / n) + F.coalesce("given", F.lit(0.0))) + F.lit((1.0 - damping) / n)
+            moves = scores.read().join(given, "id", "left").select("id", "degree", score.alias("pagerank"), F.abs(score - F.col("pagerank")).alias("moved"))
+            told, before = Observation(), scores
+            scores = Bucketed(moves, "id", buckets, (told, sinks, F.max("moved").alias("moved")))
+            before.drop()
+            done += 1
 
 
 def save(out: DataFrame, inn: DataFrame, nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:

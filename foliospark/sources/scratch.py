@@ -148,15 +148,20 @@ def discard(df: DataFrame) -> None:
 
 
 class Bucketed:
-    """A table bucketed and sorted by a column in the shared folder, so that joins and sums on it need no shuffle."""
+    """A table bucketed and sorted by a column in the shared folder, so that joins and sums on it need no shuffle.
 
-    def __init__(self, df: DataFrame, column: str, buckets: int):
+    observed: an observation and its aggregates, filled in as the rows are written, after the last shuffle.
+    """
+
+    def __init__(self, df: DataFrame, column: str, buckets: int, observed: tuple = ()):
         self.spark, self.column, self.buckets = df.sparkSession, column, buckets
         self.name = f"folio_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/{self.name}"
         self.scope = current(self.spark)
         self.scope.own(self.path, self.name)
-        df.repartition(buckets, column).sortWithinPartitions(column).write.bucketBy(buckets, column).sortBy(column).option("path", self.path).saveAsTable(self.name)
+        rows = df.repartition(buckets, column).sortWithinPartitions(column)
+        rows = rows.observe(*observed) if observed else rows
+        rows.write.bucketBy(buckets, column).sortBy(column).option("path", self.path).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
