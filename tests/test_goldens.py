@@ -1,6 +1,7 @@
 """Small cases worked out by hand from the definitions."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +192,14 @@ def test_stopword_file(spark, tmp_path):
 def test_empty_corpus(spark):
     i = index.build(spark.createDataFrame([], "doc_id long, text string"), {"text": "abstract"})
     assert i.documents == 0 and retrieval.search(terms(spark, ("a", 1.0)), i, "existential").count() == 0
+
+
+def test_stems_as_columns(spark):
+    """The steps as expressions against the plain algorithm, over made-up words with every suffix."""
+    rng = random.Random(1)
+    ends = [*(e for e, _ in stems.STEP2 + stems.STEP3), *stems.STEP4, "ed", "ing", "eed", "s", "sses", "ies", "y", "e", "ll", "at", "bl", "iz"]
+    words = {"".join(rng.choice("aeiouybcdlstrnw") for _ in range(rng.randrange(7))) + rng.choice(ends) + rng.choice(["", "", "s", "ed", "ing", "ness"]) for _ in range(8000)}
+    words |= {"yyes", "syyyyx", "Yesss", "ÜBERed", "naïvely", "a\nbing", "", "abc", "HOPPING", "hopping", "agreed", "𝄞ings"}
+    found = stems.stemmed(spark.createDataFrame([(w,) for w in [*words, None]], "t string"), "t", "stem")
+    assert {r["t"]: r["stem"] for r in found.collect()} == {w: stems.stem(w) for w in words} | {None: None}
+    assert "Python" not in found._jdf.queryExecution().toString() and "ArrowEval" not in found._jdf.queryExecution().toString()
