@@ -1,8 +1,8 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with licence templates.
 
-A block is a line, or a sentence of one. Notices wrapped over lines are met too: in a sentence that runs over lines, up
-to a blank line, each window of a template's length over THRESHOLD is a block of its own, where it holds more of the
-template than any line does. A block meets a template when it holds at least THRESHOLD of the template's
+A block is a line, or a sentence of one. Notices that run over lines or sentences are met too: in a paragraph, up to a
+blank line, each window of a template's length over THRESHOLD is a block of its own, whatever signs stand in it; of such
+windows that overlap, the best is told, where it holds more of the template than any line or sentence in it. A block meets a template when it holds at least THRESHOLD of the template's
 distinct words. Words are ordered by their frequency in all documents, rarest first. A block that meets the
 threshold must hold one of the template's first `|T| - need + 1` words (prefix filter), have at least `need` words
 (length filter), and, from the place of its first match in that order, enough words of the template left
@@ -111,9 +111,10 @@ class Matcher:
         return found
 
     def wrapped(self, h: list[int], line: list[int]) -> list[tuple[int, int, str, float]]:
-        """First word, words, label and containment of each template's best window over a sentence's words.
+        """First word, words, label and containment of windows over a paragraph's words that meet a template.
 
-        Only where it spans lines and holds more of the template than each line of the sentence does.
+        Of windows that overlap the best is given, where it spans blocks and holds more of the template than each of
+        them does. line: the block of each word.
         """
         found = []
         for t in {t for x in set(h) if x in self.index for t in self.index[x]}:
@@ -125,19 +126,26 @@ class Matcher:
             of: dict[int, set[int]] = {}
             for i in at:
                 of.setdefault(line[i], set()).add(h[i])
-            most, best, held, low = max(need - 1, *map(len, of.values())), None, {}, 0
+            best, held, low, kept = None, {}, 0, []
             for k, i in enumerate(at):
                 held[h[i]] = held.get(h[i], 0) + 1
-                while at[low] <= i - size:
+                # words that are too far off, and those that stand again further on
+                while at[low] <= i - size or held[h[at[low]]] > 1:
                     x = h[at[low]]
                     held[x] -= 1
                     if not held[x]:
                         del held[x]
                     low += 1
-                if len(held) > most:
-                    most, best = len(held), (at[low], i - at[low] + 1)
-            if best:
-                found.append((*best, label, most / len(order)))
+                if len(held) < need:
+                    continue
+                if best and at[low] > best[2]:
+                    kept.append(best)
+                    best = None
+                if not best or len(held) > best[0]:
+                    best = len(held), at[low], i
+            for n, a, z in [*kept, best] if best else kept:
+                if n > max(len(of.get(k, ())) for k in range(line[a], line[z] + 1)):
+                    found.append((a, z - a + 1, label, n / len(order)))
         return found
 
 
@@ -145,7 +153,7 @@ def scan(docs: DataFrame, notices=TEMPLATES, phrases=PHRASES, threshold: float =
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks of every row.
 
     blocks: the blocks met, as (first word, words, label, containment). score: the largest containment, 1 where a
-    phrase stands, else 0. A null or empty text has no words, null first and last word, empty labels and score 0.
+    phrase stands, else 0. Texts of any length are scanned whole. A null or empty text has no words, null first and last word, empty labels and score 0.
     Repeated rows give equal rows; no rows give no rows; columns beside doc_id and text are ignored. Notices may
     be those of a table (`templates`).
     """
@@ -191,17 +199,14 @@ def scan(docs: DataFrame, notices=TEMPLATES, phrases=PHRASES, threshold: float =
                     more[d].add(label)
                     score[d] = max(score[d], share)
                     blocks[d].append({"first": int(a - at[d]), "words": int(z - a), "label": label, "share": share})
-            # sentences that run over lines, up to a blank line
+            # windows over paragraphs, which end at blank lines alone
             lines = np.flatnonzero(data == 10)
             ink = np.concatenate([[0], np.cumsum(data > 32)])
             blank = lines[1:][ink[lines[1:]] == ink[lines[:-1]]]
-            stop = np.zeros(len(data), bool)
-            stop[:-1] = _STOP[data[:-1]] & (data[1:] <= 32)
-            stop[blank] = True
-            long = np.union1d(np.flatnonzero(stop) + 1, off)
+            long = np.union1d(blank + 1, off)
             for k in np.unique(np.searchsorted(long, start[hit], side="right")).tolist():
                 a, z = np.searchsorted(start, [long[k - 1], long[k]])
-                line = np.searchsorted(lines, start[a:z])
+                line = np.searchsorted(ends, start[a:z], side="right")
                 if line[0] == line[-1]:
                     continue
                 d = int(np.searchsorted(at, a, side="right")) - 1

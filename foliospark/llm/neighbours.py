@@ -87,9 +87,10 @@ def _ordered(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows)), *(b.column(c) for c in ("pass", "label", "id", "embedding"))], ["part", "idx", "pass", "label", "id", "embedding"])
             at += b.num_rows
 
-    keyed = materialize(vectors.mapInArrow(keys, "pass int, label int, width int, key long, id long, embedding array<float>"), "keys")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    keyed = materialize(vectors.mapInArrow(keys, f"pass int, label int, width int, key long, id long, embedding {kind}"), "keys")
     order = ["pass", "label", "width", "key", "id"]
-    ranked = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, "part int, idx long, pass int, label int, id long, embedding array<float>")
+    ranked = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"part int, idx long, pass int, label int, id long, embedding {kind}")
     ranked = materialize(ranked, "order")
     starts, total = [], 0
     for r in ranked.groupBy("part").count().orderBy("part").collect():  # one row a partition
@@ -176,7 +177,8 @@ def _cells(members: DataFrame, cosine: float) -> DataFrame:
             out = b.take(pa.array(np.concatenate(row)))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(mine))], [*b.schema.names, "cell", "own"])
 
-    return members.mapInArrow(place, "id long, label int, component long, embedding array<float>, cell int, own boolean")
+    kind = members.schema["embedding"].dataType.simpleString()
+    return members.mapInArrow(place, f"id long, label int, component long, embedding {kind}, cell int, own boolean")
 
 
 def _bridges(members: DataFrame, cosine: float) -> DataFrame:

@@ -25,6 +25,10 @@ from foliospark.llm.shared import bounded, materialize, tidy
 END = 0
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def tokenise(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, part, start (in the part), n, ids (binary) of every row, each with the end id; written to a table."""
 
@@ -45,14 +49,14 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
 
     bounded(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(texts.mapInArrow(run, "doc_id long, part int, start long, n long, ids binary"), "ids")
+    return materialize(texts.mapInArrow(run, f"doc_id {_kind(docs)}, part int, start long, n long, ids binary"), "ids")
 
 
 def pack(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
     """Pieces of every row's token stream: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     ids are little-endian unsigned 32-bit. A null or empty text is its end id alone; repeated rows and rows without
-    doc_id are documents of their own; columns beside doc_id and text are ignored; no rows give no pieces.
+    doc_id are documents of their own; doc_ids are of any type; texts of any length are tokenised whole; columns beside doc_id and text are ignored; no rows give no pieces.
     """
     spark = docs.sparkSession
     rows = tokenise(docs, path)
@@ -67,6 +71,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
         dtype = encoder(path).dtype
         for b in batches:
             cols: list[list] = [[] for _ in range(8)]
+            kind = b.column("doc_id").type
             for doc, part, start, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "start", "n", "ids")), strict=True):
                 tokens = np.frombuffer(ids, dtype).astype("<u4")
                 at, own = starts.value[part] + start, 0
@@ -78,11 +83,11 @@ def pack(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
                         c.append(v)
                     own += size
                 if len(cols[0]) >= 4096:
-                    yield batch(cols)
+                    yield batch(cols, kind)
                     cols = [[] for _ in range(8)]
-            yield batch(cols)
+            yield batch(cols, kind)
 
-    def batch(cols: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+    def batch(cols: list[list], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind if not i else pa.int64()) for i, c in enumerate(cols[:7])] + [pa.array(cols[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return rows.mapInArrow(cut, f"doc_id {_kind(docs)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

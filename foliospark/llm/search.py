@@ -159,7 +159,8 @@ def _search(fit: DataFrame, wanted: Column, k: int, queries: int = QUERIES, rows
                 codes = quantiser.codes(x)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in quantiser.pack(codes)], pa.binary()), pa.array(quantiser.residuals(x, codes))], ["vec_id", "embedding", "codes", "gap"])
 
-    coded = materialize(fit.mapInArrow(code, "vec_id long, embedding array<float>, codes binary, gap double"), "codes")
+    kind = fit.schema["embedding"].dataType.simpleString()
+    coded = materialize(fit.mapInArrow(code, f"vec_id long, embedding {kind}, codes binary, gap double"), "codes")
     asked = coded.where(wanted).select(F.col("vec_id").alias("query_id"), "embedding")
     qb, rb = max(1, -(-asked.count() // queries)), max(1, -(-coded.count() // rows))
     left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("r"), "query_id", "embedding")

@@ -180,8 +180,8 @@ def held_out(column: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> Lexicon:
-    """Fit on at most `sample` labelled rows that aren't held out, those of the smallest id hashes, as far as they hold
-    no more than `characters` characters.
+    """Fit on at most `sample` labelled rows that aren't held out, those of the smallest id hashes; a text that would take
+    them over `characters` characters is passed by, and those after it are not.
 
     Ids labelled more than once count by their largest label; of an id's several texts the shortest counts, ties to
     the smaller hash. Both bounds make the broadcast of ids and what reaches the driver of fixed size, repeated ids
@@ -194,9 +194,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
     sized = sized.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     picked, total = [], 0
     for r in sized.select("doc_id", "toxic", "text.size", "text.h").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # `sample` rows
+        if total + r["size"] > characters:
+            continue
         total += r["size"]
-        if total > characters:
-            break
         picked.append((r["doc_id"], r["toxic"], r["h"]))
     if not picked:
         return Lexicon()

@@ -204,6 +204,12 @@ def test_licenses(docs, all_rows, empty):
                 want = set(text.split())
                 if len(own & want) >= math.ceil(0.8 * len(want) - 1e-9):
                     more.add(label)
+        for block in re.split(r"\n[\x00-\x20]*\n", t):  # windows, whatever signs or line ends they hold
+            own = sep.findall(lower(block))
+            for text, label in licenses.TEMPLATES:
+                want, size = set(text.split()), math.ceil(len(text.split()) / 0.8)
+                if any(len(want.intersection(own[j : j + size])) >= math.ceil(0.8 * len(want) - 1e-9) for j in range(len(own))):
+                    more.add(label)
         for r in got[i]:
             assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None))
             assert (r["base_labels"], r["labels"]) == (",".join(sorted(labels)), ",".join(sorted(more))) and 0 <= r["score"] <= 1
