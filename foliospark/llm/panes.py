@@ -33,12 +33,13 @@ from foliospark.sources.scratch import PLAIN_FILES, delete, folder, parallelism,
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 #: Shards that one pane's rows are dealt over.
-SALTS = 256
+SALTS = 64
 #: A clock before any event, and what stands for a null click_id on the way (a null would make the column inexact).
 NEVER = NAMELESS = -(1 << 62)
 
 ROWS = "shard int, mark boolean, click_id long, kind string, hour long, cents long"
 SENT = "to_kind string, to_hour long, lane int, kind string, hour long, click_id long, n_rows long, cents long, batch long, clock long, last boolean"
+SENT_NAMES = [c.split()[0] for c in SENT.split(", ")]
 RESULT = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 
 
@@ -90,20 +91,22 @@ class Shard(StatefulProcessor):
             marks = frame["mark"].to_numpy(bool)
             if marks.any():
                 mark = frame[marks].iloc[0]
-            frame = frame[~marks]
-            late = _past(frame["hour"].to_numpy(np.int64), frame["clock"].to_numpy(np.int64), self.closed)
+            hour, clock = frame["hour"].to_numpy(np.int64), frame["clock"].to_numpy(np.int64)
+            late = ~marks & _past(hour, clock, self.closed)
             if late.any():
-                yield self._sent(frame[late].assign(to_kind="", to_hour=0, lane=int(key[0]) + 1, n_rows=1))
-            sums = frame[~late].groupby(["kind", "hour"], sort=False)["cents"].agg(["size", "sum"])
+                part = frame[late]
+                yield self._sent(len(part), "", 0, int(key[0]) + 1, part["kind"].to_numpy(), hour[late], part["click_id"].to_numpy(), 1, part["cents"].to_numpy(), part["batch"].to_numpy(), clock[late], False)
+            sums = frame[~(marks | late)].groupby(["kind", "hour"], sort=False)["cents"].agg(["size", "sum"])
             for pane, n, cents in zip(sums.index, sums["size"].tolist(), sums["sum"].tolist(), strict=True):
                 held = panes.setdefault(pane, [0, 0, False])
                 held[0] += n
                 held[1] += cents
         if mark is not None:
-            out = list(self._forwarded(panes, int(mark["clock"]), bool(mark["last"])))
+            told = int(mark["batch"]), int(mark["clock"]), bool(mark["last"])
+            out = list(self._forwarded(panes, *told[1:]))
             if out:
-                sums = pd.DataFrame(out, columns=["kind", "hour", "n_rows", "cents"])
-                yield self._sent(sums.assign(to_kind=sums["kind"], to_hour=sums["hour"], lane=0, click_id=-1, batch=int(mark["batch"]), clock=int(mark["clock"]), last=bool(mark["last"])))
+                kind, hour, n, cents = zip(*out, strict=True)
+                yield self._sent(len(out), kind, hour, 0, kind, hour, -1, n, cents, *told)
         if panes:
             self.panes.put([(k, h, *held) for (k, h), held in panes.items()])
         elif panes is not None:
@@ -121,8 +124,8 @@ class Shard(StatefulProcessor):
                 del panes[kind, hour]
 
     @staticmethod
-    def _sent(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame[[c.split()[0] for c in SENT.split(", ")]]
+    def _sent(n: int, *columns) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(SENT_NAMES, columns, strict=True)), index=range(n))
 
     def close(self) -> None:
         pass
@@ -141,12 +144,13 @@ class Merger(StatefulProcessor):
         tidy()
         if key[2]:  # late rows pass, in lanes of their own
             for frame in rows:
-                yield self._out(frame.assign(record="late"))
+                yield pd.DataFrame({"batch": frame["batch"], "hour": frame["hour"], "click_id": frame["click_id"], "n_rows": 1, "cents": frame["cents"], "record": "late", "kind": frame["kind"]})
             return
         n = cents = 0
         for frame in rows:
-            n, cents, told = n + int(frame["n_rows"].sum()), cents + int(frame["cents"].sum()), frame.iloc[0]
-        clock, hour = int(told["clock"]), int(key[1])
+            n, cents = n + int(frame["n_rows"].to_numpy().sum()), cents + int(frame["cents"].to_numpy().sum())
+            batch, clock, last = (frame[c].to_numpy()[0].item() for c in ("batch", "clock", "last"))
+        hour = int(key[1])
         old = self.totals.get() or (0, 0, False)
         new = old[0] + n, old[1] + cents
         emitted, written = bool(old[2]), []
@@ -154,27 +158,27 @@ class Merger(StatefulProcessor):
             written, emitted = [("emit", *new)], True
         elif emitted and n:
             written = [("retract", old[0], old[1]), ("replace", *new)]
-        elif not emitted and told["last"]:
+        elif not emitted and last:
             written = [("final", *new)]
         if written:
-            frame = pd.DataFrame(written, columns=["record", "n_rows", "cents"])
-            yield self._out(frame.assign(batch=int(told["batch"]), hour=hour, click_id=-1, kind=key[0]))
-        if told["last"] or _past(hour, clock, self.closed):
+            record, rows_, cents_ = zip(*written, strict=True)
+            yield pd.DataFrame({"batch": batch, "hour": hour, "click_id": -1, "n_rows": rows_, "cents": cents_, "record": record, "kind": key[0]})
+        if last or _past(hour, clock, self.closed):
             self.totals.clear()
         else:
             self.totals.update((*new, emitted))
 
-    @staticmethod
-    def _out(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame[[c.split()[0] for c in RESULT.split(", ")]]
-
     def close(self) -> None:
         pass
 
 
 @contextmanager
-def _settings(spark: SparkSession) -> Iterator[None]:
-    """Keyed state in RocksDB of bounded memory, while the query runs; the session's own settings come back after."""
+def _settings(spark: SparkSession, local: bool = False) -> Iterator[None]:
+    """Keyed state in RocksDB of bounded memory, while the query runs; the session's own settings come back after.
+
+    local: the checkpoint lies on a mounted folder. Hadoop starts a process for each file that it makes there by way of
+    its file contexts, and twice as many with Spark's own checksums beside those of the local file system.
+    """
     state = "spark.sql.streaming.stateStore"
     wanted = {
         f"{state}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -185,6 +189,8 @@ def _settings(spark: SparkSession) -> Iterator[None]:
         f"{state}.maintenanceInterval": "10s",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
+    if local:
+        wanted |= {"spark.sql.streaming.checkpoint.fileChecksum.enabled": "false", "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -229,11 +235,11 @@ def revisions(table: DataFrame, batches: int = 8, due: int = 6, closed: int = 96
     due, closed: hours after a pane's end. shards: tasks that hold keyed sums; by the session's partitions, if not given.
     """
     spark = table.sparkSession
-    shards = shards or max(SALTS, 2 * parallelism(spark))
+    shards = shards or max(SALTS, parallelism(spark))
     with scope(spark) as own:
         root = folder(spark, "panes")
         clocks = staged(clicks(table, batches), batches, shards, root)
-        with _settings(spark):
+        with _settings(spark, root.startswith("file:")):
             for b, clock in enumerate(clocks):
                 rename(spark, f"{root}/staged/batch={b}", f"{root}/fed/b{b}")
                 start(spark, root, b, clock, b == batches - 1, due, closed)
