@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import scalars, stems, tokens
-from foliospark.operators import blocks, evaluation, expansion, graph, histogram, index, report, retrieval, segments, session
+from foliospark.operators import blocks, evaluation, expansion, graph, histogram, index, report, retrieval, segments, session, tagging
 from foliospark.operators.index import Index
 from foliospark.sources import corpus
 from foliospark.sources.scratch import folder, lasting, materialize
@@ -535,6 +535,14 @@ def wordnet_expand(spark, d):
     return expansion.by_thesaurus(expansion.tagged(_benchmark_tokens(spark, d), _tags(spark, d)), _thesaurus(spark, d), STOP)
 
 
+@query
+def wordnet_tagged(spark, d):
+    """Every benchmark text, tagged by a tagger that learnt from the benchmark's own tags, and expanded by a thesaurus."""
+    words = _benchmark_tokens(spark, d)
+    tagger = tagging.learn(expansion.tagged(words, _tags(spark, d)), rounds=3)
+    return expansion.by_thesaurus(tagging.tagged(words, tagger), _thesaurus(spark, d), STOP)
+
+
 def _few_expanded(spark: SparkSession) -> DataFrame:
     """The evaluation's queries, expanded by a thesaurus of a few words."""
     found = expansion.by_thesaurus(spark.createDataFrame(TAGGED, "query_id int, pos int, token string, tag string"), spark.createDataFrame(THESAURUS, "pos string, lemma string, sense int, rank int, word string"), STOP)

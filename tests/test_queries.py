@@ -37,4 +37,4 @@ def test_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() - SQL.keys() == {"wordnet_tagged"}  # what a tagger learns is tested by its accuracy
