@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.scalars import duration
+from foliospark.operators import graph
 from foliospark.operators.evaluation import summary, timing
 
 #: The order in which a result's properties are shown; others follow in the order they were asked for.
@@ -75,6 +76,53 @@ def write(lines: DataFrame, path: str, order: tuple[str, ...] = ("section", "pla
 
 
 def histogram_lines(rows: DataFrame, key: str, count: str, by_count: bool = False) -> DataFrame:
-    """(place, line) of a histogram: keys ascending, or counts descending with ties by key."""
+    """(place, line) of a histogram, `key count`: keys ascending, or counts descending with ties by key."""
     order = [F.desc(count), F.col(key)] if by_count else [F.col(key)]
     return rows.orderBy(*order).select(key, count, F.concat_ws(" ", F.col(key).cast("string"), F.col(count).cast("string")).alias("line"))
+
+
+# The lines of the statistics of a citation graph, each with its counter, and the heads of the histograms.
+COUNTERS = (
+    ("documents", "Documents: "), ("sinks", "Sinks: "), ("sinks_true", "Sinks +(self references): "),
+    ("in_edges_true", "In edges -(self references + multiple same references): "), ("in_edges", "In edges: "),
+    ("out_edges_true", "Out edges -(self references + multiple same references): "), ("out_edges", "Out edges: "),
+    ("duplicate_in_edges", "Duplicate In edges -(self references): "), ("docs_duplicate_in", "Documents with duplicate In edges -(self references): "),
+    ("duplicate_out_edges", "Duplicate Out edges -(self references): "), ("docs_duplicate_out", "Documents with duplicate Out edges -(self references): "),
+    ("docs_self_in", "Self referencing documents via In edges: "), ("self_in_edges", "Self referencing In edges: "),
+    ("docs_self_out", "Self referencing documents via Out edges: "), ("self_out_edges", "Self referencing Out edges: "),
+    ("inconsistent_in_edges", "In edges which are not listed in the Out edges of the source node: "),
+    ("inconsistent_out_edges", "Out edges which are not listed in the In edges of the source node: "),
+)
+HEADS = {
+    "in_edges": "Number of In edges | Number of documents",
+    "out_edges": "Number of Out edges | Number of documents",
+    "in_edges_true": "Number of In edges -(self references + multiple same references) | Number of documents",
+    "out_edges_true": "Number of Out edges -(self references + multiple same references) | Number of documents",
+    "in_edges_not_found": "Number of not found In edges -(multiple same references) | Number of documents",
+    "out_edges_not_found": "Number of not found Out edges -(multiple same references) | Number of documents",
+}
+
+
+def graph_report(out: DataFrame, inn: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(file, n, line): the statistics of a citation graph and its histograms, the lines of each file by n.
+
+    A histogram's line stands at its degree, after a head at -1; the counters' lines stand in their own order.
+    """
+    stats = graph.edge_stats(out, inn, nodes)
+    lines = F.array(*[F.concat(F.lit(label), F.col(name).cast("string")) for name, label in COUNTERS])
+    found = stats.select(F.lit("citations_stats").alias("file"), F.posexplode(lines).alias("n", "line")).select("file", F.col("n").cast("long").alias("n"), "line")
+    degrees = {"in": graph.degrees(inn, nodes), "out": graph.degrees(out, nodes)}
+    missing = {"in": graph.not_found(inn, nodes), "out": graph.not_found(out, nodes)}
+    for name, head in HEADS.items():
+        side = name.split("_")[0]
+        column = "missing" if name.endswith("not_found") else "true" if name.endswith("true") else "raw"
+        rows = histogram_lines(graph.histogram(missing[side] if column == "missing" else degrees[side], column), "degree", "documents")
+        first = nodes.sparkSession.createDataFrame([(-1, head)], "n long, line string")
+        found = found.union(first.union(rows.select(F.col("degree").cast("long"), "line")).select(F.lit(name), "n", "line"))
+    return found
+
+
+def write_files(lines: DataFrame, path: str) -> None:
+    """Each file's lines, in order, as text in a folder of its name; the rows of a report, not of a table."""
+    for r in lines.select("file").distinct().collect():
+        write(lines.where(F.col("file") == r["file"]), f"{path}/{r['file']}", ("n",))

@@ -315,3 +315,25 @@ SQL: dict[str, str] = {
     "dense_ids": "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS doc_id FROM orders",
     "session_search": f"WITH wanted AS ({_SESSION}), " + _search("bm25", None, "wanted").removeprefix("WITH ").replace("round(score, 9) AS score", "score") + " SELECT query_id, r.doc_id, rank, lang, round(score, 6) AS score FROM ranked r JOIN documents d ON d.doc_id = r.doc_id WHERE rank <= 10",
 }
+
+
+def _graph_report() -> str:
+    """The lines of files out of the queries' own SQL."""
+    counters = [
+        ("documents", "Documents"), ("sinks", "Sinks"), ("sinks_true", "Sinks +(self references)"), ("in_edges_true", "In edges -(self references + multiple same references)"), ("in_edges", "In edges"),
+        ("out_edges_true", "Out edges -(self references + multiple same references)"), ("out_edges", "Out edges"), ("duplicate_in_edges", "Duplicate In edges -(self references)"), ("docs_duplicate_in", "Documents with duplicate In edges -(self references)"),
+        ("duplicate_out_edges", "Duplicate Out edges -(self references)"), ("docs_duplicate_out", "Documents with duplicate Out edges -(self references)"), ("docs_self_in", "Self referencing documents via In edges"), ("self_in_edges", "Self referencing In edges"),
+        ("docs_self_out", "Self referencing documents via Out edges"), ("self_out_edges", "Self referencing Out edges"), ("inconsistent_in_edges", "In edges which are not listed in the Out edges of the source node"), ("inconsistent_out_edges", "Out edges which are not listed in the In edges of the source node"),
+    ]
+    parts = [f"SELECT 'citations_stats' AS file, i::BIGINT AS n, l[i + 1] AS line FROM (SELECT [{', '.join(f'{_text(label + chr(58) + chr(32))} || {name}' for name, label in counters)}] AS l FROM ({SQL['edge_stats']})), range({len(counters)}) r(i)"]
+    both = " -(self references + multiple same references)"
+    hists = [("in_edges", "In edges", SQL["degree_hist_in"]), ("out_edges", "Out edges", SQL["degree_hist_out"]), ("in_edges_true", f"In edges{both}", SQL["degree_hist_in_true"]), ("out_edges_true", f"Out edges{both}", SQL["degree_hist_out_true"])]
+    none = "not found {} edges -(multiple same references)"
+    for side, lists in (("In", "ins"), ("Out", "outs")):
+        hists.append((f"{side.lower()}_edges_not_found", none.format(side), f"WITH {LINES} SELECT n AS degree, count(*) AS documents FROM (SELECT nodes.id, count(DISTINCT other) FILTER (WHERE other NOT IN (SELECT id FROM nodes)) AS n FROM nodes LEFT JOIN {lists} USING (id) GROUP BY ALL) GROUP BY n"))
+    for name, head, sql in hists:
+        parts.append(f"SELECT '{name}', -1, 'Number of {head} | Number of documents' UNION ALL SELECT '{name}', degree, degree || ' ' || documents FROM ({sql})")
+    return " UNION ALL ".join(parts)
+
+
+SQL["graph_report"] = _graph_report()

@@ -408,6 +408,13 @@ def not_found_hist(spark, d):
     return graph.histogram(graph.not_found(citations(spark, d)[0], _small_nodes(spark, d)), "missing")
 
 
+@query
+def graph_report(spark, d):
+    """The statistics and histograms of the citation graph, as lines of files."""
+    out, nodes = citations(spark, d)
+    return report.graph_report(materialize(out, "out"), materialize(_in_lists(spark, d), "in"), nodes)
+
+
 @query
 def adjacency_dump(spark, d):
     return graph.adjacency(*citations(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.scalars import author_ids, author_names, record_size
-from foliospark.sources.scratch import materialize
+from foliospark.sources.scratch import discard, materialize
 
 _STRINGS = T.ArrayType(T.StringType())
 DOCUMENT = T.StructType(
@@ -81,14 +81,18 @@ def require_unique(docs: DataFrame, column: str = "id") -> DataFrame:
     return docs
 
 
-def numbered(docs: DataFrame, order: str = "id") -> DataFrame:
-    """doc_id from 0, dense, in the order of a column.
+def numbered(docs: DataFrame, order: str = "id", unique: bool = False) -> DataFrame:
+    """doc_id from 0, dense, in the order of a column; with `unique`, a value that stands twice is refused.
 
-    Range partitions are sorted and counted, and each row adds its place to the rows before its partition, so no
-    task sees more than its own rows.
+    Documents are read once and written. Range partitions of what is written are sorted and counted, and each row adds
+    its place to the rows before its partition, so no task sees more than its own rows.
     """
-    ranged = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    whole = materialize(docs, "documents")
+    if unique:
+        require_unique(whole, order)
+    ranged = whole.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     ranged = materialize(ranged, "ranged")
+    discard(whole)
     counts = ranged.groupBy("_part").count()  # one row a partition
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     return ranged.join(F.broadcast(before), "_part").withColumn("doc_id", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
