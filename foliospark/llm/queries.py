@@ -73,10 +73,31 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op8_hmm, op9_sharding, op10_toxicity, op11_panes, op12_codes, op13_mixing)}
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of `op5_licenses`: the places of phrases."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def hmm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of `op8_hmm`: which texts are held out, the counts of tokens, and the base score."""
+    return op8_hmm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffixes, op2_neighbours, op3_search, op4_packing, op5_licenses, op6_bpe, op7_jaccard, op8_hmm, op9_sharding, op10_toxicity, op11_panes, op12_codes, op13_mixing, licenses_base, hmm_base)}
 
 _REACH = """reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
+#: crc32 of a number's decimal digits: each byte is met by eight steps, of which seven add nothing.
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({0}::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _spoken(phrase: str) -> str:
+    """Places of a phrase among the words w."""
+    met = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(phrase.split()))
+    return f"list_filter(range(1, len(w) + 1), lambda i: {met})"
+
+
 _NEAREST = """a{n} AS MATERIALIZED (SELECT p.rid, p.part, min(list_reduce(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b) * 256 + c.entry) AS best
 FROM p JOIN c{n} c USING (part) GROUP BY p.rid, p.part)"""
 
@@ -115,6 +136,14 @@ links AS (SELECT x.id AS a, y.id AS b FROM s x JOIN s y ON x.id <> y.id AND len(
 WHERE len(list_intersect(x.s, y.s)) * 190 >= (len(x.s) + len(y.s)) * 90), nodes AS (SELECT DISTINCT a AS id FROM links), {_REACH},
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT s.id AS doc_id, len(s) AS n_shingles, coalesce(component_id, s.id) AS component_id FROM s LEFT JOIN least l ON l.id = s.id""",
+    "licenses_base": f"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, {_spoken("cc by")} AS a, {_spoken("general public license")} AS b, {_spoken("all rights reserved")} AS c FROM w)
+SELECT doc_id, len(w) AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) - 1 AS first_word, list_max(a || b || c) - 1 AS last_word,
+array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "hmm_base": f"""WITH d AS MATERIALIZED (SELECT doc_id, {_CRC.format("doc_id")} % 10 = 0 AS held_out, list_append(list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), '') AS w FROM documents),
+t AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS token FROM d), c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c USING (token) CROSS JOIN n GROUP BY doc_id""",
     "op12_codes": f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e, len(embedding) // 4 AS w
 FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS MATERIALIZED (SELECT rid, part, e[part * w + 1 : part * w + w] AS x FROM k, (SELECT unnest(range(4)) AS part)),
