@@ -323,7 +323,8 @@ def test_search(spark):
 
 
 def test_queries_are_registered():
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    found = [re.match(r"op(\d+)_", k) for k in QUERIES]
+    assert [int(m[1]) for m in found if m] == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_sql(spark):
@@ -331,7 +332,8 @@ def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     for t in ("documents", "embeddings", "labels"):
         c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    for name, sql in SQL.items():
+    elsewhere = {"op12_codes", "op13_mixing", "licenses_base", "hmm_base"}  # have tests of their own
+    for name, sql in SQL.items() - {(n, SQL[n]) for n in elsewhere}:
         ours, theirs = QUERIES[name](spark, sf).toPandas(), c.sql(sql).df()
         assert sorted(ours.columns) == sorted(theirs.columns)
         key = [k for k in ("query_id", "doc_id", "vec_id") if k in ours.columns]
