@@ -28,17 +28,21 @@ def ratio(avgdl: float, tf: str = "tf", length: str = "length") -> Column:
     return F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col(length) / F.lit(avgdl or 1.0)) / F.col(tf)
 
 
-def offsets(vocab: DataFrame) -> DataFrame:
+def ranged(vocab: DataFrame) -> DataFrame:
+    """The vocabulary written by ranges of terms, `at`, in byte order."""
+    return materialize(vocab.select("term", "df").repartitionByRange("term").sortWithinPartitions("term").withColumn("at", F.spark_partition_id()), "ranged")
+
+
+def offsets(ranges: DataFrame) -> DataFrame:
     """(term, df, before): the postings that stand before each term's, terms in byte order.
 
     A prefix sum without one task for all: range partitions are summed, the few sums accumulated, and each partition
     adds what stands before it.
     """
-    ranged = materialize(vocab.select("term", "df").repartitionByRange("term").sortWithinPartitions("term").withColumn("at", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("at").agg(F.sum("df").alias("n"))  # one row a partition
+    sums = ranges.groupBy("at").agg(F.sum("df").alias("n"))  # one row a partition
     earlier = sums.withColumn("earlier", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = F.coalesce(F.sum("df").over(Window.partitionBy("at").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("own", own).join(F.broadcast(earlier), "at").select("term", "df", (F.col("earlier") + F.col("own")).alias("before"))
+    return ranges.withColumn("own", own).join(F.broadcast(earlier), "at").select("term", "df", (F.col("earlier") + F.col("own")).alias("before"))
 
 
 def part_size(vocab: DataFrame, rows: int = ROWS) -> tuple[int, int]:
@@ -48,9 +52,9 @@ def part_size(vocab: DataFrame, rows: int = ROWS) -> tuple[int, int]:
     return size, total // size + 1
 
 
-def placed(vocab: DataFrame, size: int) -> DataFrame:
-    """(term, df, part, cuts): each term's first part, and how many it has."""
-    return offsets(vocab).select("term", "df", F.floor(F.col("before") / size).cast("int").alias("part"), F.ceil(F.col("df") / size).cast("int").alias("cuts"))
+def placed(ranges: DataFrame, size: int) -> DataFrame:
+    """(term, df, part, cuts) of a vocabulary in ranges: each term's first part, and how many it has."""
+    return offsets(ranges).select("term", "df", F.floor(F.col("before") / size).cast("int").alias("part"), F.ceil(F.col("df") / size).cast("int").alias("cuts"))
 
 
 def splitters(places: DataFrame) -> DataFrame:
@@ -67,14 +71,14 @@ def placed_by(vocab: DataFrame, marks: DataFrame) -> DataFrame:
     one row a range is carried on in one place.
     """
     both = vocab.select("term", "df", F.lit(None).cast("struct<part int,cuts int>").alias("mark")).union(marks.select("term", F.lit(None).cast("long"), F.struct("part", "cuts")))
-    ranged = materialize(both.repartitionByRange("term").withColumn("at", F.spark_partition_id()), "ranged")
+    both = materialize(both.repartitionByRange("term").withColumn("at", F.spark_partition_id()), "ranged")
     until = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    last = ranged.groupBy("at").agg(F.max(F.when(F.col("mark").isNotNull(), F.struct("term", "mark"))).alias("top"))
+    last = both.groupBy("at").agg(F.max(F.when(F.col("mark").isNotNull(), F.struct("term", "mark"))).alias("top"))
     carried = last.select("at", F.last("top", ignorenulls=True).over(until).alias("carried"))
     # a splitter stands before the same term of the vocabulary
     within = Window.partitionBy("at").orderBy("term", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     own = F.last(F.when(F.col("mark").isNotNull(), F.struct("term", "mark")), ignorenulls=True).over(within)
-    found = ranged.withColumn("own", own).join(F.broadcast(carried), "at").where("df is not null").withColumn("own", F.coalesce("own", "carried"))
+    found = both.withColumn("own", own).join(F.broadcast(carried), "at").where("df is not null").withColumn("own", F.coalesce("own", "carried"))
     same, cuts = F.col("own.term") == F.col("term"), F.coalesce(F.col("own.mark.cuts"), F.lit(1))
     part = F.coalesce(F.col("own.mark.part"), F.lit(0))
     return found.select("term", "df", F.when(same, part).otherwise(part + cuts - 1).alias("part"), F.when(same, cuts).otherwise(F.lit(1)).alias("cuts"))

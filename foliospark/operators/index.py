@@ -93,7 +93,7 @@ def posting_lists(posts: DataFrame) -> DataFrame:
 
 def offsets(vocab: DataFrame) -> DataFrame:
     """(term, df, offset): where each term's 8-byte postings begin, terms in byte order."""
-    return blocks.offsets(vocab).select("term", "df", (F.col("before") * 8).alias("offset"))
+    return blocks.offsets(blocks.ranged(vocab)).select("term", "df", (F.col("before") * 8).alias("offset"))
 
 
 @dataclass(frozen=True)
@@ -151,10 +151,11 @@ def build(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] =
         terms_ = materialize(vocabulary(posts), "terms")
         if splitters is None:
             size, parts = blocks.part_size(terms_, rows)
-            places = materialize(blocks.placed(terms_, size), "places")
-            splitters = hold(blocks.splitters(places), "splitters")
+            offsets_ = own.keep(blocks.ranged(terms_))
+            places = blocks.placed(offsets_, size)
+            splitters = blocks.splitters(places)  # written when the index is
         else:
-            places = materialize(blocks.placed_by(terms_, splitters), "places")
+            places = blocks.placed_by(terms_, splitters)
         lengths = materialize(document_lengths(docs, posts), "lengths")
         meta = metadata(lengths).first()
         found = hold(blocks.blocked(blocks.located(posts, places), parts, meta["avgdl"] or 0.0), "blocks")

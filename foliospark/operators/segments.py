@@ -103,7 +103,7 @@ def merge(spark: SparkSession, path: str, rows: int = blocks.ROWS) -> Index:
         vocab = materialize(ix.vocabulary, "vocabulary")
         size, parts = blocks.part_size(vocab, rows)
         if size * v["parts"] * 2 < (vocab.agg(F.sum("df")).first()[0] or 0):
-            places = materialize(blocks.placed(vocab, size), "places")
+            places = materialize(blocks.placed(blocks.ranged(vocab), size), "places")
             held, marks = blocks.located(blocks.unrolled(ix.blocks), places), written(blocks.splitters(places), path, "splitters")
         else:
             held, marks, parts = blocks.unrolled(ix.blocks, "part"), v["splitters"], v["parts"]

@@ -156,7 +156,7 @@ def test_ranks_of_all_results(spark):
 def test_kept_splitters_place_new_terms(spark):
     words = spark.createDataFrame([(f"t{i:04d}", 1 + 50 * (i == 500)) for i in range(1000)], "term string, df long")
     size, parts = 20, 53
-    places = scratch.materialize(blocks.placed(words, size), "places")
+    places = scratch.materialize(blocks.placed(blocks.ranged(words), size), "places")
     marks = scratch.materialize(blocks.splitters(places), "marks")
     again = {r["term"]: (r["part"], r["cuts"]) for r in blocks.placed_by(words, marks).collect()}
     first = {r["term"]: (r["part"], r["cuts"]) for r in places.collect()}
