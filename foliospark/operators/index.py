@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.functions.stems import stemmed
 from foliospark.functions.tokens import DELIMITERS, PLAIN, not_stopword, terms, tokens
 from foliospark.operators import blocks
-from foliospark.sources.scratch import materialize, scope
+from foliospark.sources.scratch import materialize, scope, spread
 
 #: Columns of a corpus document to the delimiter set of each; arrays are split one element at a time.
 CORPUS_FIELDS = {"title": "title", "paperAbstract": "abstract", "entities": "entities", "fieldsOfStudy": "plain", "authors": "authors", "year": "plain", "venue": "venue", "journalName": "journal", "sources": "plain"}
@@ -51,7 +51,8 @@ def postings(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str
 
     Stems are looked up for a document's distinct tokens, after they are counted.
     """
-    needed = docs.select("doc_id", *fields).repartition("doc_id")
+    needed = docs.select("doc_id", *fields)
+    needed = needed.repartition(spread(needed), "doc_id")
     if not stemmer:
         return token_rows(needed, fields, stopwords).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     rows = needed.select("doc_id", F.explode(field_tokens(needed, fields)).alias("token")).where(not_stopword(F.col("token"), stopwords))
