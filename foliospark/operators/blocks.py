@@ -10,6 +10,10 @@ holds gets several parts, dealt by document. So neither a row nor a task grows w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from foliospark.sources.scratch import materialize, parallelism
 
 #: Parameters of BM25+; postings of a block, and of a part.
 K1, B = 2.0, 0.75
-BLOCK, ROWS = 128, 4_000_000
+BLOCK, ROWS = 128, 1_000_000
 #: Documents that stay together where a term's postings are dealt over parts.
 NEAR = 4096
 COLUMNS = ("term", "part", "block", "n", "ratio", "first", "docs", "tfs", "lengths")
@@ -84,20 +88,74 @@ def placed_by(vocab: DataFrame, marks: DataFrame) -> DataFrame:
     return found.select("term", "df", F.when(same, part).otherwise(part + cuts - 1).alias("part"), F.when(same, cuts).otherwise(F.lit(1)).alias("cuts"))
 
 
-def located(posts: DataFrame, places: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, length, part) of postings whose terms have places."""
-    share = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / NEAR)), F.col("cuts")).cast("int")
-    return posts.join(places.select("term", "part", "cuts"), "term").select("term", "doc_id", "tf", "length", (F.col("part") + share).alias("part"))
+def located(posts: DataFrame, places: DataFrame, tasks: int) -> DataFrame:
+    """(term, doc_id, tf, length, part) of postings whose terms have places, a part's postings of a term in one task.
 
+    One shuffle, over `tasks` hashes: of the places only the terms of several parts, no more than there are parts, are
+    sent to every task, and the others meet their postings where these are dealt to.
+    """
+    heavy = F.broadcast(places.where("cuts > 1").select("term", "cuts"))
+    share = F.coalesce(F.pmod(F.xxhash64(F.floor(F.col("doc_id") / NEAR)), F.col("cuts")).cast("int"), F.lit(0))
+    dealt = posts.join(heavy, "term", "left").select("term", "doc_id", "tf", "length", share.alias("share")).repartition(tasks, "term", "share")
+    every = places.select("term", "part", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("share"))
+    return dealt.join(every.hint("shuffle_hash"), ["term", "share"]).select("term", "doc_id", "tf", "length", (F.col("part") + F.col("share")).alias("part"))
+
+
+def _cut(rows: pa.Table, block: int) -> pa.RecordBatch:
+    """The blocks of whole terms: of each, best first, and within a block documents ascend."""
+    term = rows.column("term").combine_chunks().dictionary_encode()
+    term = term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term
+    code, part, least, doc, tf, length = term.indices.to_numpy(), *(rows.column(c).to_numpy() for c in ("part", "ratio", "doc_id", "tf", "length"))
+    order = np.lexsort((doc, least, part, code))
+    code, part = code[order], part[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (code[1:] != code[:-1]) | (part[1:] != part[:-1])
+    place = np.arange(len(rows)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    at = np.flatnonzero(place % block == 0)
+    n = np.diff([*at, len(rows)])
+    best = least[order[at]]
+    order = order[np.lexsort((doc[order], np.repeat(np.arange(len(at)), n)))]
+    doc, offsets = doc[order], pa.array([*at, len(rows)], pa.int32())
+    heads = [term.dictionary.take(pa.array(code[at])), pa.array(part[at], pa.int32()), pa.array(place[at] // block, pa.int32()), pa.array(n, pa.int32()), pa.array(best), pa.array(doc[at])]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (doc - np.repeat(doc[at], n), tf[order], length[order])]
+    return pa.RecordBatch.from_arrays([*heads, *lists], list(COLUMNS))
+
+
+def blocked(rows: DataFrame, avgdl: float, block: int = BLOCK) -> DataFrame:
+    """Blocks of (term, doc_id, tf, length, part), a part's postings of a term in one task.
+
+    Spark sorts the rows by a hash of the term alone; a task then holds one batch and the rows of one hash, which are a
+    term's in the parts of the task, and orders these itself.
+    """
 
-def blocked(rows: DataFrame, parts: int, avgdl: float, block: int = BLOCK) -> DataFrame:
-    """Blocks of (term, doc_id, tf, length, part), in the order of parts and terms. One shuffle, of each row to its part."""
-    own = Window.partitionBy("part", "term").orderBy("ratio", "doc_id")
-    at = rows.withColumn("ratio", ratio(avgdl)).repartitionById(parts, "part").withColumn("block", F.floor((F.row_number().over(own) - 1) / block).cast("int"))
-    lists = at.groupBy("part", "term", "block").agg(F.min("ratio").alias("ratio"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length"))).alias("p"))
-    first = F.col("p")[0]["doc_id"]
-    out = lists.select("term", "part", "block", F.size("p").alias("n"), "ratio", first.alias("first"), F.transform("p", lambda x: x["doc_id"] - first).alias("docs"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["length"]).alias("lengths"))
-    return out.sortWithinPartitions("part", "term", "block")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            if held and held[-1].column("key")[-1].as_py() != key[0] or key[0] != key[-1]:
+                last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+                whole = pa.Table.from_batches([*held, b.slice(0, last)])
+                yield _cut(whole, block)
+                held, b = [], b.slice(last)
+            held.append(b)
+        if held:
+            yield _cut(pa.Table.from_batches(held), block)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"term string, part int, block int, n int, ratio double, first {kinds['doc_id']}, docs array<{kinds['doc_id']}>, tfs array<{kinds['tf']}>, lengths array<{kinds['length']}>"
+    near = rows.withColumns({"ratio": ratio(avgdl), "key": F.xxhash64("term")}).sortWithinPartitions("key")
+    return near.mapInArrow(run, schema)
+
+
+def gathered(found: DataFrame, parts: int) -> DataFrame:
+    """Blocks in their parts, in the order of terms: one shuffle of whole blocks."""
+    return ordered(found.repartitionById(parts, "part"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    return found.sortWithinPartitions("part", "term", "block")
 
 
 def unrolled(blocks: DataFrame, *more: str) -> DataFrame:

@@ -81,10 +81,13 @@ def metadata(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("documents"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")).select("documents", "tokens", F.when(F.col("documents") > 0, F.col("tokens") / F.col("documents")).alias("avgdl"))
 
 
-def weights(posts: DataFrame, vocab: DataFrame, documents: int) -> DataFrame:
-    """(doc_id, vsm_weight): the norm of tf (ln N - ln df), over the largest tf."""
-    part = F.col("tf") * (F.log(F.lit(float(documents))) - F.log(F.col("df").cast("double")))
-    return posts.join(vocab, "term").groupBy("doc_id").agg((F.sqrt(F.sum(part * part)) / F.max("tf")).alias("vsm_weight"))
+def weights(found: DataFrame, vocab: DataFrame, documents: int) -> DataFrame:
+    """(doc_id, vsm_weight) from blocks: the norm of tf (ln N - ln df), over the largest tf. Blocks meet the vocabulary
+    before they are unrolled, so a term is shuffled once a block."""
+    idf = F.log(F.lit(float(documents))) - F.log(F.col("df").cast("double"))
+    weighed = found.select(*blocks.COLUMNS).join(vocab.select("term", idf.alias("idf")), "term")
+    part = F.col("tf") * F.col("idf")
+    return blocks.unrolled(weighed, "idf").groupBy("doc_id").agg((F.sqrt(F.sum(part * part)) / F.max("tf")).alias("vsm_weight"))
 
 
 def posting_lists(posts: DataFrame) -> DataFrame:
@@ -150,17 +153,18 @@ def build(docs: DataFrame, fields: Mapping[str, str], stopwords: Iterable[str] =
         hold = lambda df, name: own.keep(materialize(df, name))
         posts = materialize(with_length(postings(docs, fields, words, stemmer)), "counts")
         terms_ = materialize(vocabulary(posts), "terms")
+        size, tasks = blocks.part_size(terms_, rows)
         if splitters is None:
-            size, parts = blocks.part_size(terms_, rows)
-            offsets_ = own.keep(blocks.ranged(terms_))
-            places = blocks.placed(offsets_, size)
+            parts = tasks
+            places = hold(blocks.placed(blocks.ranged(terms_), size), "places")
             splitters = blocks.splitters(places)  # written when the index is
         else:
-            places = blocks.placed_by(terms_, splitters)
+            places = materialize(blocks.placed_by(terms_, splitters), "places")
         lengths = materialize(document_lengths(docs, posts), "lengths")
         meta = metadata(lengths).first()
-        found = hold(blocks.blocked(blocks.located(posts, places), parts, meta["avgdl"] or 0.0), "blocks")
+        held = blocks.located(posts, places, tasks)
+        found = hold(blocks.gathered(blocks.blocked(held, meta["avgdl"] or 0.0), parts), "blocks")
         vocab = hold(with_bounds(terms_, found).sortWithinPartitions("term"), "vocabulary")
-        stats = lengths.join(weights(posts, terms_, meta["documents"]), "doc_id", "left")
+        stats = lengths.join(weights(found, terms_, meta["documents"]), "doc_id", "left")
         stats = hold(with_pagerank(stats, pagerank), "doc_stats")
     return Index(found, vocab, stats, docs, splitters, meta["documents"], meta["tokens"], parts, stemmer, words)

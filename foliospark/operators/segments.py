@@ -53,6 +53,10 @@ def _segments(spark: SparkSession, path: str, version: dict, avgdl: float) -> tu
     return _union(found), _union(words).groupBy("term").agg(F.sum("df").alias("df"), F.min("ratio").alias("ratio"), F.max("deep").alias("deep"))
 
 
+def _weighted(stats: DataFrame, found: DataFrame, vocab: DataFrame, documents: int) -> DataFrame:
+    return stats.drop("vsm_weight").join(index.weights(found, vocab, documents), "doc_id", "left").select(*stats.columns)
+
+
 def load(spark: SparkSession, path: str) -> Index:
     """Open the current version; nothing but its pointer is read yet. Weights of documents follow the document
     frequencies of all segments: where these were added and not merged, they are computed from the postings when asked for."""
@@ -63,8 +67,7 @@ def load(spark: SparkSession, path: str) -> Index:
     found, vocab = _segments(spark, path, v, avgdl)
     stats, display = (_union([spark.read.parquet(f"{path}/{t}") for t in v[k]]) for k in ("stats", "display"))
     if not v["weighted"]:
-        posts = blocks.unrolled(found).select("term", "doc_id", "tf")
-        stats = stats.drop("vsm_weight").join(index.weights(posts, vocab, v["documents"]), "doc_id", "left").select(*stats.columns)
+        stats = _weighted(stats, found, vocab, v["documents"])
     return Index(found, vocab, stats, display, spark.read.parquet(f"{path}/{v['splitters']}"), v["documents"], v["tokens"], v["parts"], v["use_stemmer"], tuple(v["stopwords"]))
 
 
@@ -104,13 +107,17 @@ def merge(spark: SparkSession, path: str, rows: int = blocks.ROWS) -> Index:
         size, parts = blocks.part_size(vocab, rows)
         if size * v["parts"] * 2 < (vocab.agg(F.sum("df")).first()[0] or 0):
             places = materialize(blocks.placed(blocks.ranged(vocab), size), "places")
-            held, marks = blocks.located(blocks.unrolled(ix.blocks), places), written(blocks.splitters(places), path, "splitters")
+            held, marks = blocks.located(blocks.unrolled(ix.blocks), places, parts), written(blocks.splitters(places), path, "splitters")
+            merged = blocks.gathered(blocks.blocked(held, ix.avgdl), parts)
         else:
-            held, marks, parts = blocks.unrolled(ix.blocks, "part"), v["splitters"], v["parts"]
-        at = written(blocks.blocked(held, parts, ix.avgdl), path, "blocks")
+            marks, parts = v["splitters"], v["parts"]
+            held = ix.blocks.select(*blocks.COLUMNS).repartitionById(parts, "part")  # whole blocks, unrolled where they come together
+            merged = blocks.ordered(blocks.blocked(blocks.unrolled(held, "part"), ix.avgdl))
+        at = written(merged, path, "blocks")
         found = spark.read.parquet(f"{path}/{at}")
         segment = {"blocks": at, "vocabulary": written(index.with_bounds(vocab, found), path, "vocabulary"), "avgdl": ix.avgdl}
-        stats = written(ix.doc_stats, path, "stats")
+        stats = _union([spark.read.parquet(f"{path}/{t}") for t in v["stats"]])
+        stats = written(_weighted(stats, found, vocab, v["documents"]), path, "stats")
     versions.commit(spark, path, v | {"segments": [segment], "splitters": marks, "parts": parts, "stats": [stats], "weighted": True})
     return load(spark, path)
 
