@@ -30,3 +30,32 @@ def test_postings_are_shuffled_once_to_bounded_tasks(spark):
 def test_documents_are_dealt_by_megabytes(spark, tmp_path):
     spark.range(60).select("id", F.expr("array_join(transform(sequence(1, 30000), x -> md5(concat(id, '.', x))), ' ')").alias("text")).write.parquet(str(tmp_path / "d"))
     assert scratch.spread(spark.read.parquet(str(tmp_path / "d"))) > 8  # one task of 256 MB before
+
+
+def test_only_the_nearest_of_a_block_are_looked_at(spark):
+    import numpy as np
+
+    from foliospark.operators import expansion
+
+    class Counted(list):
+        seen = 0
+
+        def __getitem__(self, i):
+            Counted.seen += 1
+            return super().__getitem__(i)
+
+    x = np.random.default_rng(1).normal(size=(500, 8))
+    x[100:110] = x[100]  # ties
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    best = expansion._Best(list(range(50)), x[:50], 3)
+    for a in range(0, 500, 100):
+        best.meet(Counted(range(a, a + 100)), x[a : a + 100])
+    sims = x[:50] @ x.T
+    sims[np.arange(50), np.arange(50)] = -np.inf
+    for i in range(50):
+        assert [best.near[i, r] for r in range(3)] == sorted(range(500), key=lambda j: (-round(sims[i, j], 12), j))[:3]
+    assert Counted.seen < 50 * 5 * 8  # every vector of the first block before
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "word long, vector array<double>")
+    asked = vectors.where("word % 20 = 0")
+    apart, sent = (sorted(map(tuple, expansion.nearest(asked, vectors, block=b).select("word", "near", "rank").collect())) for b in (8, 4096))
+    assert apart == sent
