@@ -19,12 +19,14 @@ from foliospark.functions.scalars import finite, ratio
 from foliospark.operators import blocks
 from foliospark.operators.blocks import K1, B
 from foliospark.operators.index import Index
-from foliospark.sources.scratch import discard, materialize
+from foliospark.sources.scratch import discard, materialize, parallelism
 
 #: Query terms up to this number are sent to every task; and words up to this number are pushed to the scans.
 SMALL, LITERALS = 50_000, 512
 #: Queries whose terms have fewer postings are scored in one go, without bounds.
 FEW = 1_000_000
+#: Terms of sums by query and document that a task adds up.
+SUMS = 2_000_000
 
 
 def merge_terms(query: DataFrame) -> DataFrame:
@@ -80,8 +82,27 @@ def lookup(index: Index, words: Iterable[str]) -> DataFrame:
 
 
 def _matched(q: Terms, index: Index) -> DataFrame:
-    """Postings of the query terms, with these and their documents' lengths."""
-    return blocks.unrolled(q.narrow(index.blocks)).join(q.sent(q.frame.drop("ratio", "deep")), "term")
+    """Postings of the query terms, with these and their documents' lengths.
+
+    Where the terms are few, the postings of their words are dealt by document once, and meet the queries there: sums by
+    query and document need no shuffle then, however many queries share a word.
+    """
+    asked = q.frame.drop("ratio", "deep")
+    if not q.few:
+        return blocks.unrolled(q.narrow(index.blocks)).join(asked, "term")
+    return _dealt(blocks.unrolled(_wanted(q, index)), sum(r["df"] for r in q.rows)).join(F.broadcast(asked), "term")
+
+
+def _wanted(q: Terms, index: Index) -> DataFrame:
+    """The blocks of the words of a few queries."""
+    if q.words is not None:
+        return q.narrow(index.blocks)
+    return index.blocks.join(F.broadcast(q.frame.select("term").distinct()), "term", "left_semi")
+
+
+def _dealt(posts: DataFrame, sums: int) -> DataFrame:
+    """Postings by document, in as many tasks as their sums ask for."""
+    return posts.repartition(max(parallelism(posts.sparkSession), sums // SUMS), "doc_id")
 
 
 def _part(idf: Column, index: Index) -> Column:
@@ -191,8 +212,13 @@ def bounded(query: DataFrame | Terms, index: Index, k: int, slack: float = 1e-7)
         lowers[b.query_id] = lowers.get(b.query_id, 0.0) + min(b.gain, 0.0)
     told = sums.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).collect()
     thresholds = {r["query_id"]: r["least"] + lowers[r["query_id"]] - slack * (1 + abs(r["least"])) for r in told}
-    chosen = _local(q, reach(bounds, thresholds), "cut double")
-    found = _blocks_of(index, q, chosen, F.col("ratio") <= F.col("cut"))
+    rows = reach(bounds, thresholds)
+    chosen = _local(q, rows, "cut double")
+    widest = F.broadcast(chosen.groupBy("term").agg(F.max("cut").alias("cut")))
+    held = q.narrow(index.blocks).join(widest, "term").where("ratio <= cut")
+    df = {(b.query_id, b.term): b.df for b in bounds}
+    dealt = _dealt(blocks.unrolled(held, "ratio"), sum(df[r[0], r[1]] for r in rows))
+    found = dealt.join(F.broadcast(chosen), "term").where("ratio <= cut")
     sums = found.groupBy("query_id", "doc_id").agg(F.sum(_part(_idf(index), index)).alias("part"))
     return _with_constant(sums, q, index)
 

@@ -59,3 +59,15 @@ def test_only_the_nearest_of_a_block_are_looked_at(spark):
     asked = vectors.where("word % 20 = 0")
     apart, sent = (sorted(map(tuple, expansion.nearest(asked, vectors, block=b).select("word", "near", "rank").collect())) for b in (8, 4096))
     assert apart == sent
+
+
+def test_sums_of_queries_need_no_shuffle(spark):
+    from foliospark.operators import index, retrieval
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("concat('all w', id % 7, ' v', id % 11)").alias("text"))
+    ix = index.build(docs, {"text": "abstract"})
+    rows = [(q, p, t, 1.0) for q in range(9) for p, t in enumerate(("all", f"w{q % 7}", "v3"))]
+    sums = retrieval._matched(retrieval.resolve(spark.createDataFrame(rows, "query_id int, pos int, term string, weight double"), ix), ix).groupBy("query_id", "doc_id").agg(F.sum("tf").alias("n"))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 1, plan
+    assert sums.count() == 9 * 300 and sums.agg(F.sum("n")).first()[0] == sum(300 + sum(d % 7 == q % 7 for d in range(300)) + sum(d % 11 == 3 for d in range(300)) for q in range(9))
