@@ -186,7 +186,7 @@ def _settings(spark: SparkSession, local: bool = False) -> Iterator[None]:
         f"{state}.rocksdb.allowFAllocate": "false",  # many small stores: each would set megabytes of disk aside
         f"{state}.rocksdb.boundedMemoryUsage": "true",
         f"{state}.rocksdb.maxMemoryUsageMB": "200",
-        f"{state}.maintenanceInterval": "10s",
+        f"{state}.unloadOnCommit": "true",  # a start runs one batch: no store is asked twice, and none stays open for the next
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     if local:

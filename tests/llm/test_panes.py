@@ -123,3 +123,16 @@ def test_a_hot_pane_is_spread(spark, salts):
         panes.staged(rows, 1, salts, root)
         counts = [r["count"] for r in spark.read.schema(f"batch int, {panes.ROWS}").parquet(f"{root}/staged").where("not mark").groupBy("shard").count().collect()]
     assert len(counts) == salts and max(counts) < 1.3 * 8000 / salts
+
+
+def test_no_store_stays_open(spark):
+    """A start's stores are closed with its tasks: those of 8 starts, open at once, took an executor's memory."""
+    stores = spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager
+    with scratch.scope(spark):
+        root = scratch.folder(spark, "panes")
+        rows = [(s, mark, s, "k", 5, 10) for s in range(6) for mark in (False, True)]
+        spark.createDataFrame(rows, ", ".join(panes.ROWS.split(", "))).write.parquet(f"{root}/fed/b0")
+        before = stores.getNumRocksDBInstances(True)
+        with panes._settings(spark):
+            panes.start(spark, root, 0, panes.NEVER, True, 6, 96)
+        assert stores.getNumRocksDBInstances(True) <= before
