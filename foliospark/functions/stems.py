@@ -117,43 +117,62 @@ def _ends_short(cut: int) -> Column:
     return F.endswith(_without(cut, "_s"), F.lit("cvc")) & ~F.right(_without(cut), F.lit(1)).isin("w", "x", "y")
 
 
+def _change(cut: int, new: str = "") -> Column:
+    """So many letters off the end, one digit, and the letters that come in their place, of which none is a y."""
+    return F.lit(f"{cut}{new}")
+
+
+def _changed(column: str, new: Column) -> Column:
+    cut = F.left("_k", F.lit(1)).cast("int")
+    return F.when(F.col("_k").isNull(), F.col(column)).otherwise(F.concat(F.left(F.col(column), F.length(column) - cut), new))
+
+
 def _swapped(table, least: int, more: Column | None = None) -> Column:
     """The longest suffix of the table decides, as in `_swap`; `more` is asked of the suffix ion. A measure is two letters."""
     out = None
     for end, new in sorted(table, key=lambda x: -len(x[0])):
         hit = _measured(len(end)) > 2 * least
-        new = F.when(hit & more if end == "ion" and more is not None else hit, F.concat(_without(len(end)), F.lit(new))).otherwise(F.col("_w"))
+        new = F.when(hit & more if end == "ion" and more is not None else hit, _change(len(end), new))
         out = F.when(_ends(end), new) if out is None else out.when(_ends(end), new)
-    return out.otherwise(F.col("_w"))
+    return out
 
 
 def _steps() -> list[dict[str, Column]]:
-    """The algorithm's steps; each is given the word `_w` and its letters `_s`."""
+    """The algorithm's steps; each is given the word `_w` and its letters `_s`, and says what changes, if anything does."""
     w = F.col("_w")
     double = F.endswith("_s", F.lit("c")) & (F.right(w, F.lit(1)) == F.right(_without(1), F.lit(1)))
     cut = {e: _ends(e) & F.contains(_without(len(e), "_s"), F.lit("v")) for e in ("ed", "ing")}
     return [
-        {"_w": F.when(_ends("sses", "ies"), _without(2)).when(_ends("s") & ~_ends("ss"), _without(1)).otherwise(w)},
-        {"_w": F.when(_ends("eed"), F.when(_measured(3) > 0, _without(1)).otherwise(w)).when(cut["ed"], _without(2)).when(cut["ing"], _without(3)).otherwise(w), "_cut": ~_ends("eed") & (cut["ed"] | cut["ing"])},
-        {"_w": F.when(~F.col("_cut"), w).when(_ends("at", "bl", "iz"), F.concat(w, F.lit("e"))).when(double & ~_ends("l", "s", "z"), _without(1)).when((_measured(0) == 2) & _ends_short(0), F.concat(w, F.lit("e"))).otherwise(w)},
-        {"_w": F.when(_ends("y") & F.contains(_without(1, "_s"), F.lit("v")), F.concat(_without(1), F.lit("i"))).otherwise(w)},
-        {"_w": _swapped(STEP2, 0)},
-        {"_w": _swapped(STEP3, 0)},
-        {"_w": _swapped([(e, "") for e in STEP4], 1, F.right(_without(3), F.lit(1)).isin("s", "t"))},
-        {"_w": F.when(_ends("e") & ((_measured(1) > 2) | ((_measured(1) == 2) & ~_ends_short(1))), _without(1)).otherwise(w)},
-        {"_w": F.when((_measured(0) > 2) & double & _ends("l"), _without(1)).otherwise(w)},
+        {"_k": F.when(_ends("sses", "ies"), _change(2)).when(_ends("s") & ~_ends("ss"), _change(1))},
+        {"_k": F.when(_ends("eed"), F.when(_measured(3) > 0, _change(1))).when(cut["ed"], _change(2)).when(cut["ing"], _change(3)), "_cut": ~_ends("eed") & (cut["ed"] | cut["ing"])},
+        {"_k": F.when(F.col("_cut"), F.when(_ends("at", "bl", "iz"), _change(0, "e")).when(double & ~_ends("l", "s", "z"), _change(1)).when((_measured(0) == 2) & _ends_short(0), _change(0, "e")))},
+        {"_k": F.when(_ends("y") & F.contains(_without(1, "_s"), F.lit("v")), _change(1, "i"))},
+        {"_k": _swapped(STEP2, 0)},
+        {"_k": _swapped(STEP3, 0)},
+        {"_k": _swapped([(e, "") for e in STEP4], 1, F.right(_without(3), F.lit(1)).isin("s", "t"))},
+        {"_k": F.when(_ends("e") & ((_measured(1) > 2) | ((_measured(1) == 2) & ~_ends_short(1))), _change(1))},
+        {"_k": F.when((_measured(0) > 2) & double & _ends("l"), _change(1))},
     ]
 
 
+#: The letters that a word must end with for any step to change it.
+LAST = sorted({e[-1] for e, _ in STEP2 + STEP3} | {e[-1] for e in STEP4} | set("sdgyel"))
+
+
 def stemmed(rows: DataFrame, token: str, out: str) -> DataFrame:
     """rows with the stem of `token` as `out`; null tokens have null stems.
 
-    The steps are column expressions, of some 50 microseconds a word, so each distinct token is stemmed once and the
-    dictionary is joined back, as a broadcast where it is small; else a common token's rows may be split as they are joined.
+    The steps are column expressions, so each distinct token is stemmed once and the dictionary of those that may change
+    is joined back, as a broadcast where it is small. A word's letters are told apart once: what is left of it after a
+    step has the letters that it had.
     """
-    found = rows.select(F.col(token).alias("_t")).where("_t is not null").distinct().select("_t", F.col("_t").alias("_w"), F.lit(False).alias("_cut"))
+    may = (F.length("_t") > 3) & F.right("_t", F.lit(1)).isin(LAST)
+    found = rows.select(F.col(token).alias("_t")).where(may).distinct().select("_t", F.col("_t").alias("_w"), F.lit(False).alias("_cut"))
+    found = found.withColumn("_s", _letters(F.col("_w")))
+    new, letters = F.substring("_k", 2, 9), "abcdefghijklmnopqrstuvwxz"
     for step in _steps():
-        found = found.withColumn("_s", _letters(F.col("_w"))).withColumns(step)
-    long = (F.length("_t") > 3) & (F.length("_w") >= 3)
-    dictionary = found.select("_t", F.when(long, F.col("_w")).otherwise(F.col("_t")).alias(out))
-    return rows.join(dictionary, rows[token] == dictionary["_t"], "left").drop("_t")
+        found = found.withColumns(step).withColumns({"_w": _changed("_w", new), "_s": _changed("_s", F.translate(new, letters, _shape(letters)))})
+    # no filter on the stem: Spark would push it below the steps, each of them spelt out in the next
+    dictionary = found.select("_t", F.when(F.length("_w") >= 3, F.col("_w")).otherwise(F.col("_t")).alias("_stem_of"))
+    joined = rows.join(dictionary, rows[token] == dictionary["_t"], "left")
+    return joined.withColumn(out, F.coalesce("_stem_of", F.col(token))).drop("_t", "_stem_of")

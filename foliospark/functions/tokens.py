@@ -49,7 +49,7 @@ def spaced(text: Column, delimiters: str) -> Column:
 
 def tokens(text: Column, delimiters: str) -> Column:
     """Array of the tokens between delimiters, never empty ones, in order and in their own case. Null text: none."""
-    return F.filter(F.split(spaced(F.coalesce(text, F.lit("")), delimiters), " "), lambda t: t != "")
+    return F.array_remove(F.split(spaced(F.coalesce(text, F.lit("")), delimiters), " "), "")
 
 
 def not_stopword(token: Column, stopwords: Iterable[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from foliospark.functions import stems
 from foliospark.operators import blocks
 from foliospark.sources import scratch
 
@@ -71,3 +72,13 @@ def test_sums_of_queries_need_no_shuffle(spark):
     plan = sums._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 1, plan
     assert sums.count() == 9 * 300 and sums.agg(F.sum("n")).first()[0] == sum(300 + sum(d % 7 == q % 7 for d in range(300)) + sum(d % 11 == 3 for d in range(300)) for q in range(9))
+
+
+def test_letters_of_a_word_are_told_apart_once(spark):
+    """And words that no step can change stay out of the dictionary; odd letters and each kind of y stem as one by one."""
+    words = ["boyyish", "syzygies", "happyy", "yyying", "Yelled", "élision", "buyer", "relational", "thing", "erble", "zoom", "𝔞tional", "a\ning", "flyyed", "sky", "toyly"]
+    found = stems.stemmed(spark.createDataFrame([(w,) for w in words], "t string"), "t", "stem")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 3
+    assert {r["t"]: r["stem"] for r in found.collect()} == {w: stems.stem(w) for w in words}
+    assert not {w for w in words if stems.porter(w) != w and w[-1] not in stems.LAST}
