@@ -354,22 +354,19 @@ def train(coded: DataFrame, counts: Counts, states: int = STATES, rounds: int =
     return model
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent: int = FREQUENT, endings: int = ENDINGS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
-
-    A null or empty text is its end alone. Rows with a null id are scored but not learnt from; equal rows, and rows
-    that share an id, are texts of their own. Without training rows every token is unknown. No rows give no rows;
-    columns beside doc_id and text are ignored.
-    """
+def _texts(docs: DataFrame) -> DataFrame:
     bounded(docs.sparkSession)
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"held_out": held_out(), "rid": F.xxhash64("doc_id", "text")})
-    learnt = texts.where("not held_out")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"held_out": held_out(), "rid": F.xxhash64("doc_id", "text")})
+
+
+def _coded(texts: DataFrame, frequent: int, endings: int, more: tuple[str, ...]) -> tuple[DataFrame, DataFrame, Counts]:
+    """The coded texts, with further columns of the model, the sums of their looked-up words, and the counts."""
+    spark, learnt = texts.sparkSession, texts.where("not held_out")
     with temporary(spark) as keep:
         vocabulary = materialize(count_words(learnt.select("text"), endings), "words")
         counts, least = totals(vocabulary, learnt.count(), frequent, endings)
-        coded = keep(materialize(code(texts, spark.sparkContext.broadcast(counts)), "coded"))
-        model = spark.sparkContext.broadcast(train(coded, counts, states, rounds))
+        coded = code(texts, spark.sparkContext.broadcast(counts)).select("doc_id", "rid", "held_out", "n_tokens", "known", "base", *more, "rare")
+        coded = keep(materialize(coded, "coded"))
 
         # the rest of the words, looked up
         rare = vocabulary.where(F.col("c") < least).select("h", "c")
@@ -377,6 +374,34 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent:
         asked = coded.where(F.size("rare") > 0).select("rid", F.explode("rare").alias("w")).select("rid", "w.h", "w.k")
         told = asked.join(rare, "h", "left").select("rid", F.log10(F.coalesce("c", F.lit(0)) + ADD).alias("l"), F.element_at(floor, F.col("k") + 1).alias("f"), F.col("c").isNotNull().cast("long").alias("seen"))
         told = keep(materialize(told.groupBy("rid").agg(F.sum(F.col("l") - float(counts.base_floor)).alias("more_base"), F.sum(F.col("l") - F.col("f")).alias("more_share"), F.sum("seen").alias("more_known"), F.count("*").alias("words")), "rare"))
+    return coded, told, counts
+
+
+def _whole(rows: DataFrame, coded: DataFrame, told: DataFrame, counts: Counts, *more) -> DataFrame:
+    """Rows with the sums of their looked-up words; rows of one id and text share them, and each has them once."""
+    none = F.lit(0.0)
+    return rows.join(told.join(_copies(coded), "rid"), "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.col("more_known") / F.col("rows"), none)).cast("long").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce(F.col("more_base") / F.col("rows"), none)).alias("base_score"), *more,
+    )
+
+
+def base(docs: DataFrame, frequent: int = FREQUENT, endings: int = ENDINGS) -> DataFrame:
+    """What `score` gives but for the model's score, by the same steps; no model is trained for it."""
+    coded, told, counts = _coded(_texts(docs), frequent, endings, ())
+    return _whole(coded, coded, told, counts)
+
+
+def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent: int = FREQUENT, endings: int = ENDINGS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    A null or empty text is its end alone. Rows with a null id are scored but not learnt from; equal rows, and rows
+    that share an id, are texts of their own. Without training rows every token is unknown. No rows give no rows;
+    columns beside doc_id and text are ignored.
+    """
+    spark = docs.sparkSession
+    coded, told, counts = _coded(_texts(docs), frequent, endings, ("share", "seq"))
+    model = spark.sparkContext.broadcast(train(coded, counts, states, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -387,13 +412,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, frequent:
 
     shape = "doc_id long, rid long, held_out boolean, n_tokens long, known long, base double, share double"
     main = coded.select("doc_id", "rid", "held_out", "n_tokens", "known", "base", "share", "seq").mapInArrow(run, shape + ", forward double")
-    # rows of one id and text share their sums; each has them once
-    copies = _copies(coded)
-    none = F.lit(0.0)
-    return main.join(told.join(copies, "rid"), "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.col("more_known") / F.col("rows"), none)).cast("long").alias("n_known"), F.lit(counts.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("more_base") / F.col("rows"), none)).alias("base_score"), (F.col("forward") + F.col("share") + F.coalesce(F.col("more_share") / F.col("rows"), none)).alias("score"),
-    )
+    return _whole(main, coded, told, counts, (F.col("forward") + F.col("share") + F.coalesce(F.col("more_share") / F.col("rows"), F.lit(0.0))).alias("score"))
 
 
 def _copies(coded: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import hmm
+from foliospark.llm.queries import QUERIES
 
 
 def forward(m, x):
@@ -103,3 +104,18 @@ def test_little_to_learn_from(spark, texts):
     got = hmm.score(df).collect()
     assert len(got) == len(texts) + 1 and all(math.isfinite(r["score"]) and r["score"] <= 0 and math.isfinite(r["base_score"]) for r in got)
     assert hmm.score(df.where("doc_id is null")).first()["train_tokens"] == 0
+
+
+def test_base_scores_need_no_model(spark, monkeypatch):
+    """What `hmm_base` gives is what `score` gives beside the model's score, with words to look up too."""
+    monkeypatch.setattr(hmm, "HEAD", 64)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j * j % (i + 2)}" for j in range(i % 23))) for i in range(300)] + [(None, "w1 w2"), (5, None)] + [(7, "w3 w99")] * 2, "doc_id long, text string")
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    want = sorted(str(tuple(r)) for r in hmm.score(docs, rounds=1).select(*names[:-1], F.round(names[-1], 6)).collect())
+
+    def no_model(*_):
+        raise AssertionError("a model was trained")
+
+    monkeypatch.setattr(hmm, "train", no_model)
+    assert sorted(str(tuple(r)) for r in hmm.base(docs).select(*names[:-1], F.round(names[-1], 6)).collect()) == want
+    assert QUERIES["hmm_base"](spark, "/root/testdata/sf0.001").count() == 200
