@@ -1,10 +1,9 @@
 """Window panes with revisions: totals by kind and event hour, published when due, corrected later, forgotten at last.
 
-Two keyed stages of one Structured Streaming query. Rows go to salted shards: a pane's rows are dealt over SALTS of them,
-so a pane of a third of all rows is no single task. A shard adds up what it has not forwarded yet; at a batch's
-punctuation it forwards one partial sum a pane. The merger, keyed by pane, adds the shards' sums and alone decides what
-is published, corrected and closed. A shard also remembers the panes that it has fed, since only it can tell the merger
-of a punctuation that brings them due, closes them, or is the last.
+One keyed stage of a Structured Streaming query, and a stateless one before it. The tasks that read a batch add up its
+rows by pane as they come, so a pane of a third of all rows is no single task; late rows pass, in lanes of their own. The
+sums go to shards, a pane's to one: a shard keeps the totals of its open panes and what was added since. At a batch's
+punctuation, which goes to every shard, it says what is published, corrected and closed.
 
 Each batch carries its clock, the latest event time of the batches before; the query is started anew for each on one
 checkpoint. A start that fails is started again with the same files, so it neither loses nor repeats rows: state, offsets
@@ -18,28 +17,33 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliospark.llm.shared import tidy
 from foliospark.sources.scratch import PLAIN_FILES, delete, folder, parallelism, rename, scope
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
-#: Shards that one pane's rows are dealt over.
+#: Lanes that one pane's late rows are dealt over, and the least number of shards.
 SALTS = 64
+#: Rows that a task holds before it adds them up.
+PENDING = 1 << 16
 #: A clock before any event, and what stands for a null click_id on the way (a null would make the column inexact).
 NEVER = NAMELESS = -(1 << 62)
 
 ROWS = "shard int, mark boolean, click_id long, kind string, hour long, cents long"
-SENT = "to_kind string, to_hour long, lane int, kind string, hour long, click_id long, n_rows long, cents long, batch long, clock long, last boolean"
-SENT_NAMES = [c.split()[0] for c in SENT.split(", ")]
+#: lane: where a late row passes, -1 for sums and punctuations.
+SENT = "lane int, mark boolean, kind string, hour long, click_id long, n_rows long, cents long"
+#: A shard's panes: totals as of the last punctuation, what was added since, and whether they were published.
+HELD = "kind array<string>, hour array<long>, n_rows array<long>, cents array<long>, more_rows array<long>, more_cents array<long>, emitted array<boolean>"
 RESULT = "batch long, hour long, click_id long, n_rows long, cents long, record string, kind string"
 
 
@@ -66,126 +70,100 @@ def clicks(table: DataFrame, batches: int) -> DataFrame:
     return timed.withColumn("hour", F.expr(f"(event - pmod(event, {HOUR}L)) div {HOUR}L"))
 
 
-def _past(hour, clock, grace: int):
+def _past(hour: int, clock: int, grace: int) -> bool:
     """Whether the clock stands `grace` hours or more after the hour's end."""
     return clock >= (hour + 1 + grace) * HOUR
 
 
-class Shard(StatefulProcessor):
-    """Adds up a shard's rows by pane and forwards the sums at the punctuation."""
-
-    def __init__(self, due: int, closed: int):
-        self.due, self.closed = due, closed
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # n_rows and cents are what is not forwarded yet; told: the merger has met the pane when it was due
-        self.panes = handle.getListState("panes", "kind string, hour long, n_rows long, cents long, told boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows added up by pane, and its late rows and punctuations as they are (columns of SENT)."""
+    tidy()
+    names = [c.split()[0] for c in SENT.split(", ")]
+    held, rows = [], 0
+
+    def added() -> pa.Table:
+        t = pa.concat_tables(held).group_by(["kind", "hour"]).aggregate([("n_rows", "sum"), ("cents", "sum")])
+        return t.rename_columns({"n_rows_sum": "n_rows", "cents_sum": "cents"}).select(["kind", "hour", "n_rows", "cents"])
+
+    def sent(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = len(t)
+        same = {"lane": pa.repeat(pa.scalar(-1, pa.int32()), n), "mark": pa.repeat(False, n), "click_id": pa.repeat(-1, n)}
+        yield from pa.table([same[c] if c in same else t.column(c) for c in names], names=names).to_batches()
+
+    for b in batches:
+        b = pa.RecordBatch.from_arrays(b.columns, b.schema.names)  # literals come as not null, sums would not
+        alone = pc.or_(b.column("mark"), pc.greater_equal(b.column("lane"), 0))
+        if pc.any(alone).as_py():
+            yield b.filter(alone).select(names)
+        held.append(pa.Table.from_batches([b.filter(pc.invert(alone)).select(["kind", "hour", "n_rows", "cents"])]))
+        rows += len(held[-1])
+        if rows >= PENDING:
+            held = [added()]
+            if 2 * len(held[0]) >= PENDING:  # adding up gains too little
+                yield from sent(held.pop())
+            rows = sum(map(len, held))
+    if held:
+        yield from sent(added())
+
+
+def totals(batch: int, clock: int, last: bool, due: int, closed: int) -> Callable:
+    """Keeps the totals of a shard's panes, and says at the punctuation what of them is written in a batch."""
+
+    def run(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tidy()
-        panes: dict | None = None
-        mark = None
+        panes = {(k, h): list(held) for k, h, *held in zip(*state.get, strict=True)} if state.exists else {}
+        marked = False
         for frame in rows:
-            if panes is None:
-                panes = {(k, h): [n, c, told] for k, h, n, c, told in self.panes.get()}
-            marks = frame["mark"].to_numpy(bool)
-            if marks.any():
-                mark = frame[marks].iloc[0]
-            hour, clock = frame["hour"].to_numpy(np.int64), frame["clock"].to_numpy(np.int64)
-            late = ~marks & _past(hour, clock, self.closed)
+            mark, late = frame["mark"].to_numpy(bool), frame["lane"].to_numpy() >= 0
+            marked |= bool(mark.any())
             if late.any():
                 part = frame[late]
-                yield self._sent(len(part), "", 0, int(key[0]) + 1, part["kind"].to_numpy(), hour[late], part["click_id"].to_numpy(), 1, part["cents"].to_numpy(), part["batch"].to_numpy(), clock[late], False)
-            sums = frame[~(marks | late)].groupby(["kind", "hour"], sort=False)["cents"].agg(["size", "sum"])
-            for pane, n, cents in zip(sums.index, sums["size"].tolist(), sums["sum"].tolist(), strict=True):
-                held = panes.setdefault(pane, [0, 0, False])
-                held[0] += n
-                held[1] += cents
-        if mark is not None:
-            told = int(mark["batch"]), int(mark["clock"]), bool(mark["last"])
-            out = list(self._forwarded(panes, *told[1:]))
-            if out:
-                kind, hour, n, cents = zip(*out, strict=True)
-                yield self._sent(len(out), kind, hour, 0, kind, hour, -1, n, cents, *told)
+                yield pd.DataFrame({"batch": batch, "hour": part["hour"], "click_id": part["click_id"], "n_rows": 1, "cents": part["cents"], "record": "late", "kind": part["kind"]})
+            more = frame[~(mark | late)]
+            for kind, hour, n, cents in zip(*(more[c].tolist() for c in ("kind", "hour", "n_rows", "cents")), strict=True):
+                held = panes.setdefault((kind, hour), [0, 0, 0, 0, False])
+                held[2] += n
+                held[3] += cents
+        if marked and (out := list(_written(panes))):
+            record, hour, kind, n, cents = zip(*out, strict=True)
+            yield pd.DataFrame({"batch": batch, "hour": hour, "click_id": -1, "n_rows": n, "cents": cents, "record": record, "kind": kind})
         if panes:
-            self.panes.put([(k, h, *held) for (k, h), held in panes.items()])
-        elif panes is not None:
-            self.panes.clear()
-
-    def _forwarded(self, panes: dict, clock: int, last: bool) -> Iterator[tuple]:
-        """Sums of the panes that the merger has to hear of; panes that need no further word are taken out."""
-        for (kind, hour), held in list(panes.items()):
-            n, cents, told = held
-            due, closed = _past(hour, clock, self.due), _past(hour, clock, self.closed)
-            if n or closed or ((due or last) and not told):
-                yield kind, hour, n, cents
-            panes[kind, hour] = [0, 0, due]
-            if closed or last:
+            state.update(tuple(map(list, zip(*((*pane, *held) for pane, held in panes.items()), strict=True))))
+        elif state.exists:
+            state.remove()
+
+    def _written(panes: dict) -> Iterator[tuple]:
+        """(record, hour, kind, n_rows, cents); closed panes are taken out."""
+        for (kind, hour), (old_rows, old_cents, n, c, emitted) in list(panes.items()):
+            new = hour, kind, old_rows + n, old_cents + c
+            now = _past(hour, clock, due)
+            if now and not emitted:
+                yield "emit", *new
+            elif emitted and n:
+                yield "retract", hour, kind, old_rows, old_cents
+                yield "replace", *new
+            elif last and not emitted:
+                yield "final", *new
+            panes[kind, hour] = [*new[2:], 0, 0, emitted or now]
+            if last or _past(hour, clock, closed):
                 del panes[kind, hour]
 
-    @staticmethod
-    def _sent(n: int, *columns) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(SENT_NAMES, columns, strict=True)), index=range(n))
-
-    def close(self) -> None:
-        pass
-
-
-class Merger(StatefulProcessor):
-    """Keeps a pane's totals, and says what of it is written in a batch."""
-
-    def __init__(self, due: int, closed: int):
-        self.due, self.closed = due, closed
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "n_rows long, cents long, emitted boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tidy()
-        if key[2]:  # late rows pass, in lanes of their own
-            for frame in rows:
-                yield pd.DataFrame({"batch": frame["batch"], "hour": frame["hour"], "click_id": frame["click_id"], "n_rows": 1, "cents": frame["cents"], "record": "late", "kind": frame["kind"]})
-            return
-        n = cents = 0
-        for frame in rows:
-            n, cents = n + int(frame["n_rows"].to_numpy().sum()), cents + int(frame["cents"].to_numpy().sum())
-            batch, clock, last = (frame[c].to_numpy()[0].item() for c in ("batch", "clock", "last"))
-        hour = int(key[1])
-        old = self.totals.get() or (0, 0, False)
-        new = old[0] + n, old[1] + cents
-        emitted, written = bool(old[2]), []
-        if not emitted and _past(hour, clock, self.due):
-            written, emitted = [("emit", *new)], True
-        elif emitted and n:
-            written = [("retract", old[0], old[1]), ("replace", *new)]
-        elif not emitted and last:
-            written = [("final", *new)]
-        if written:
-            record, rows_, cents_ = zip(*written, strict=True)
-            yield pd.DataFrame({"batch": batch, "hour": hour, "click_id": -1, "n_rows": rows_, "cents": cents_, "record": record, "kind": key[0]})
-        if last or _past(hour, clock, self.closed):
-            self.totals.clear()
-        else:
-            self.totals.update((*new, emitted))
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 @contextmanager
 def _settings(spark: SparkSession, local: bool = False) -> Iterator[None]:
-    """Keyed state in RocksDB of bounded memory, while the query runs; the session's own settings come back after.
+    """Keyed state in the executors' heap, while the query runs; the session's own settings come back after.
+
+    It is a row a shard with its open panes. RocksDB was found to keep native memory of stores that were closed, and each
+    start opens one a partition.
 
     local: the checkpoint lies on a mounted folder. Hadoop starts a process for each file that it makes there by way of
     its file contexts, and twice as many with Spark's own checksums beside those of the local file system.
     """
     state = "spark.sql.streaming.stateStore"
     wanted = {
-        f"{state}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        f"{state}.rocksdb.changelogCheckpointing.enabled": "true",
-        f"{state}.rocksdb.allowFAllocate": "false",  # many small stores: each would set megabytes of disk aside
-        f"{state}.rocksdb.boundedMemoryUsage": "true",
-        f"{state}.rocksdb.maxMemoryUsageMB": "200",
+        f"{state}.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
         f"{state}.unloadOnCommit": "true",  # a start runs one batch: no store is asked twice, and none stays open for the next
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
@@ -202,13 +180,13 @@ def _settings(spark: SparkSession, local: bool = False) -> Iterator[None]:
 
 
 def staged(rows: DataFrame, batches: int, shards: int, root: str) -> list[int]:
-    """Write the batches and their punctuations, a folder each, and give each batch's clock."""
+    """Write the batches and a punctuation for each, a folder a batch, and give each batch's clock."""
     spark = rows.sparkSession
     salt = F.pmod(F.xxhash64("click_id"), F.lit(min(SALTS, shards)))
     shard = F.pmod(F.xxhash64("kind", "hour") + salt, F.lit(shards)).cast("int")
     data = rows.select("batch", shard.alias("shard"), F.lit(False).alias("mark"), "click_id", "kind", "hour", "cents", "event")
     data.write.options(**PLAIN_FILES).partitionBy("batch").parquet(f"{root}/staged")
-    marks = spark.range(batches * shards, numPartitions=batches).select((F.col("id") / shards).cast("int").alias("batch"), (F.col("id") % shards).cast("int").alias("shard"), F.lit(True).alias("mark"), F.lit(0).cast("long").alias("click_id"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("hour"), F.lit(0).cast("long").alias("cents"))
+    marks = spark.range(batches, numPartitions=1).select(F.col("id").cast("int").alias("batch"), F.lit(0).alias("shard"), F.lit(True).alias("mark"), F.lit(0).cast("long").alias("click_id"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("hour"), F.lit(0).cast("long").alias("cents"))
     marks.write.options(**PLAIN_FILES).partitionBy("batch").mode("append").parquet(f"{root}/staged")
     written = spark.read.schema(f"batch int, event long, {ROWS}").parquet(f"{root}/staged")
     latest = {r["batch"]: r["latest"] for r in written.groupBy("batch").agg(F.max("event").alias("latest")).collect()}  # one row a batch
@@ -219,12 +197,14 @@ def staged(rows: DataFrame, batches: int, shards: int, root: str) -> list[int]:
     return clocks
 
 
-def start(spark: SparkSession, root: str, batch: int, clock: int, last: bool, due: int, closed: int) -> None:
+def start(spark: SparkSession, root: str, batch: int, clock: int, last: bool, due: int, closed: int, shards: int = SALTS) -> None:
     """Feed what lies in the folder and was not fed yet, as one batch."""
     fed = spark.readStream.schema(ROWS).parquet(f"{root}/fed/*")
-    fed = fed.withColumns({"batch": F.lit(batch).cast("long"), "clock": F.lit(clock).cast("long"), "last": F.lit(last)})
-    sent = fed.groupBy("shard").transformWithStateInPandas(Shard(due, closed), SENT, "Append", "None")
-    out = sent.groupBy("to_kind", "to_hour", "lane").transformWithStateInPandas(Merger(due, closed), RESULT, "Append", "None")
+    late = ~F.col("mark") & (F.col("hour") <= clock // HOUR - 1 - closed)
+    fed = fed.select(F.when(late, F.col("shard")).otherwise(-1).alias("lane"), "mark", "kind", "hour", "click_id", F.lit(1).cast("long").alias("n_rows"), "cents")
+    every, own = F.sequence(F.lit(0), F.lit(shards - 1)), F.pmod(F.xxhash64("kind", "hour"), F.lit(shards)).cast("int")
+    sent = fed.mapInArrow(sums, SENT).withColumn("to", F.explode(F.when(F.col("mark"), every).otherwise(F.array(F.when(F.col("lane") >= 0, F.col("lane")).otherwise(own)))))
+    out = sent.groupBy("to").applyInPandasWithState(totals(batch, clock, last, due, closed), RESULT, HELD, "append", GroupStateTimeout.NoTimeout)
     query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -232,7 +212,7 @@ def start(spark: SparkSession, root: str, batch: int, clock: int, last: bool, du
 def revisions(table: DataFrame, batches: int = 8, due: int = 6, closed: int = 96, shards: int | None = None) -> DataFrame:
     """Rows (batch, hour, click_id, n_rows, cents, record, kind): what each batch writes.
 
-    due, closed: hours after a pane's end. shards: tasks that hold keyed sums; by the session's partitions, if not given.
+    due, closed: hours after a pane's end. shards: keys that hold totals; by the session's partitions, if not given.
     """
     spark = table.sparkSession
     shards = shards or max(SALTS, parallelism(spark))
@@ -242,7 +222,7 @@ def revisions(table: DataFrame, batches: int = 8, due: int = 6, closed: int = 96
         with _settings(spark, root.startswith("file:")):
             for b, clock in enumerate(clocks):
                 rename(spark, f"{root}/staged/batch={b}", f"{root}/fed/b{b}")
-                start(spark, root, b, clock, b == batches - 1, due, closed)
+                start(spark, root, b, clock, b == batches - 1, due, closed, shards)
         for used in ("fed", "staged", "checkpoint"):
             delete(spark, f"{root}/{used}")
         own.kept.add(root)

@@ -3,7 +3,10 @@
 import binascii
 import datetime as dt
 import math
+from collections import defaultdict
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,36 @@ def test_no_store_stays_open(spark):
         with panes._settings(spark):
             panes.start(spark, root, 0, panes.NEVER, True, 6, 96)
         assert stores.getNumRocksDBInstances(True) <= before
+
+
+def test_a_start_opens_one_store_a_partition_and_none_in_native_memory(spark):
+    """RocksDB kept native memory of closed stores; two keyed stages opened two stores a partition in each of 8 starts."""
+    with scratch.scope(spark):
+        root = scratch.folder(spark, "panes")
+        rows = [(s, mark, s, "k", 5, 10) for s in range(6) for mark in (False, True)]
+        spark.createDataFrame(rows, ", ".join(panes.ROWS.split(", "))).write.parquet(f"{root}/fed/b0")
+        with panes._settings(spark):
+            panes.start(spark, root, 0, panes.NEVER, True, 6, 96)
+        state = Path(root.removeprefix("file:").replace("//", "")) / "checkpoint" / "state"
+        assert [p.name for p in state.iterdir()] == ["0"]
+        kinds = {p.suffix for p in state.glob("0/[0-9]*/*") if p.is_file() and not p.name.startswith(".")}
+        assert kinds - {".crc"} == {".delta"}
+
+
+@pytest.mark.parametrize("pending", [1, 7, 1 << 16])
+def test_a_task_adds_up_its_rows(monkeypatch, pending):
+    """Sums by pane are whole however many rows a task holds; late rows and punctuations pass as they are."""
+    monkeypatch.setattr(panes, "PENDING", pending)
+    rows = [((3 if i % 11 == 5 else -1), i % 11 == 7, f"k{i % 3}", i % 2, i, 1, i * i) for i in range(300)]
+    names = [c.split()[0] for c in panes.SENT.split(", ")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a : a + 20]], pa.schema([("lane", pa.int32()), ("mark", pa.bool_()), ("kind", pa.string())] + [pa.field(n, pa.int64(), n != "n_rows") for n in names[3:]])) for a in range(0, 300, 20)]
+    got = pa.Table.from_batches(panes.sums(iter(batches))).to_pylist()
+    alone = [tuple(r.values()) for r in got if r["mark"] or r["lane"] >= 0]
+    assert sorted(alone) == sorted(r for r in rows if r[1] or r[0] >= 0)
+    want, found = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for into, all_rows in ((want, rows), (found, [tuple(r.values()) for r in got])):
+        for lane, mark, kind, hour, _, n, cents in all_rows:
+            if lane < 0 and not mark:
+                into[kind, hour][0] += n
+                into[kind, hour][1] += cents
+    assert found == want and len(want) == 6
