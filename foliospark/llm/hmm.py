@@ -9,6 +9,8 @@ broadcast; the rest are looked up by a join. Training and scoring run over whole
 stretches of SPAN symbols that run side by side: for every stretch the recursion from each state at once gives a
 matrix, a text's matrices multiply in order, and what they carry from stretch to stretch, forward and for training
 backward too, is what one recursion over the whole text would carry. Only a text's own first symbol counts as a start.
+A time's states of all stretches lie side by side, and are scaled at every SCALED-th time; texts of one stretch need no
+matrix.
 
 The most frequent words (`frequent`) are symbols of their own; every other word is one of `endings` classes. Both are
 arguments, up to 65,535 symbols in all: states tell more words apart as they grow, and no word is left out.
@@ -16,6 +18,7 @@ arguments, up to 65,535 symbols in all: states tell more words apart as they gro
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +31,8 @@ from foliospark.llm.kernels import SPACE, buffers, slices, word_offsets, words
 from foliospark.llm.shared import bounded, materialize, temporary, tidy
 
 STATES, FREQUENT, ENDINGS, HEAD, SPAN, ROUNDS = 4, 8192, 256, 1 << 20, 512, 4
+#: Words that a task holds before it sums them, symbols of one pass of the recursions, and steps between two scalings.
+HELD, BLOCK, SCALED = 1 << 20, 1 << 18, 8
 #: Of the smoothing that the plain counts have too.
 ADD = 0.1
 
@@ -50,8 +55,27 @@ def _tokens(b: pa.RecordBatch, endings: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _merged(h: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, one, back = np.unique(h, return_index=True, return_inverse=True)
-    return keys, k[one], np.bincount(back, weights=c).astype(np.int64)
+    order = np.argsort(h)
+    h = h[order]
+    one = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
+    return h[one], k[order[one]], np.add.reduceat(c[order], one) if len(h) else c
+
+
+def summed(words: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes, classes and counts of the words that come. They are summed when HELD of them are there, not as they come,
+    and go on when that gains too little: so a word is sorted a few times at most, however many there are."""
+    held, rows = [], 0
+    for h, k in words:
+        held.append((h, k, np.ones(len(h), np.int64)))
+        rows += len(h)
+        if rows > HELD:
+            held = [_merged(*map(np.concatenate, zip(*held, strict=True)))]
+            rows = len(held[0][0])
+            if 2 * rows > HELD:
+                yield held.pop()
+                rows = 0
+    if held:
+        yield _merged(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def count_words(texts: DataFrame, endings: int = ENDINGS) -> DataFrame:
@@ -59,17 +83,7 @@ def count_words(texts: DataFrame, endings: int = ENDINGS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        held = None
-        for batch in batches:
-            for b in slices(batch):
-                h, k, _ = _tokens(b, endings)
-                new = _merged(h, k, np.ones(len(h)))
-                held = new if held is None else _merged(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-                if len(held[0]) > 1_000_000:
-                    yield out(held)
-                    held = None
-        if held is not None:
-            yield out(held)
+        yield from map(out, summed(_tokens(b, endings)[:2] for batch in batches for b in slices(batch)))
 
     def out(x) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int32)), pa.array(x[2])], ["h", "k", "c"])
@@ -101,19 +115,26 @@ class Counts:
         self.base_floor = np.log10(self.total + ADD * (self.distinct + 1)) if self.distinct else np.log10(ADD)
         self.class_floor = np.log10(self.class_total + ADD * (self.class_distinct + 1))
 
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words, and which of them are in the head."""
-        if not len(self.h):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        known = self.h[i] == h
-        return np.where(known, self.c[i], 0), known
-
-    def symbols(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return (self.top + k).astype(np.uint16)
-        i = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        return np.where(self.frequent[i] == h, i, self.top + k).astype(np.uint16)
+    @functools.cached_property
+    def _table(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where hashes of the same leading bits begin, and by head word: hash, symbol if frequent (or -1), log10 of its count."""
+        bits = max(1, int(len(self.h)).bit_length())
+        first = np.searchsorted(self.h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+        symbol = np.full(len(self.h) + 1, -1, np.int32)
+        symbol[np.searchsorted(self.h, self.frequent)] = np.arange(len(self.frequent))
+        return bits, first, np.append(self.h, np.uint64(0xFFFFFFFFFFFFFFFF)), symbol, np.append(np.log10(self.c + ADD), 0.0)
+
+    def look(self, h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are in the head, log10 of their smoothed counts there (else 0), and every word's symbol."""
+        bits, first, own, symbol, log = self._table
+        i = first[(h >> np.uint64(64 - bits)).astype(np.int64)]
+        behind = np.flatnonzero(own[i] < h)
+        while len(behind):
+            i[behind] += 1
+            behind = behind[own[i[behind]] < h[behind]]
+        known = (own[i] == h) & (i < len(self.h))
+        found = np.where(known, symbol[i], -1)
+        return known, np.where(known, log[i], 0.0), np.where(found >= 0, found, self.top + k).astype(np.uint16)
 
 
 def totals(vocabulary: DataFrame, ends: int, frequent: int = FREQUENT, endings: int = ENDINGS) -> tuple[Counts, int]:
@@ -168,27 +189,43 @@ def _stretches(at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return seq, first, np.minimum(span, at[seq + 1] - first)
 
 
+def _blocks(size: np.ndarray) -> list[np.ndarray]:
+    """Stretches, the longest first, in groups of about BLOCK symbols."""
+    order = np.argsort(-size, kind="stable")
+    group = (np.cumsum(size[order]) - 1) // BLOCK
+    return np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []
+
+
+def _by_time(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of stretches, the longest first, time by time, and where each time begins."""
+    live = np.searchsorted(-size, -np.arange(size[0]))  # longer than t
+    at = np.concatenate([[0], np.cumsum(live)])
+    time = np.repeat(np.arange(size[0]), live)
+    return x[first[np.arange(at[-1]) - at[time]] + time], at
+
+
 def _transfers(model: Model, x: np.ndarray, seq: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each stretch's transfer matrix, scaled, and the log10 of its scale. A text's first symbol takes no step."""
     s = len(model.start)
     head = np.ones(len(seq), bool)
     head[1:] = seq[1:] != seq[:-1]
     mats, logs = np.zeros((len(seq), s, s)), np.zeros(len(seq))
-    order = np.argsort(-size, kind="stable")
-    for lo in range(0, len(order), 4096):
-        i = order[lo : lo + 4096]
-        f, n = first[i], size[i]
-        m = np.where(head[i][:, None, None], np.eye(s), model.step) * model.emit[x[f]][:, None, :]
-        log = np.zeros(len(i))
-        for t in range(n[0]):
-            k = int(np.searchsorted(-n, -t, side="left"))
-            if t:
-                m[:k] = (m[:k].reshape(-1, s) @ model.step).reshape(k, s, s) * model.emit[x[f[:k] + t]][:, None, :]
-            if t % 12 == 11 or t == n[0] - 1:
-                z = m.max(axis=(1, 2))
-                m /= z[:, None, None]
-                log += np.log10(z)
-        mats[i], logs[i] = m, log
+    step, emission = np.ascontiguousarray(model.step.T), np.ascontiguousarray(model.emit.T)
+    for i in _blocks(size):
+        sym, o = _by_time(x, first[i], size[i])
+        e, log = np.take(emission, sym, axis=1), np.zeros(len(i))
+        m = np.where(head[i], np.eye(s)[:, :, None], model.step[:, :, None])  # from, to, stretch
+        places = [*zip(o[:-1].tolist(), o[1:].tolist(), strict=True), (0, 0)]
+        for t, ((a, b), (c, d)) in enumerate(zip(places[:-1], places[1:], strict=True)):
+            m = np.matmul(step, m[:, :, : b - a]) if t else m
+            m *= e[:, a:b]
+            if t % SCALED == SCALED - 1 or t == len(places) - 2:
+                z = m.max(axis=(0, 1))
+                m /= z
+                log[: b - a] += np.log10(z)
+            if d - c < b - a:
+                mats[i[d - c : b - a]] = m[:, :, d - c :].transpose(2, 0, 1)
+        logs[i] = log
     return mats, logs
 
 
@@ -219,59 +256,72 @@ def _carried(model: Model, x: np.ndarray, seq: np.ndarray, first: np.ndarray, si
     return ahead, behind
 
 
+def _forward(model: Model, e: np.ndarray, at: np.ndarray, v: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Fill `out` with state weights time by time, from `v` at the first, and give the log10 of what they were divided by."""
+    step, log = np.ascontiguousarray(model.step.T), np.zeros(v.shape[1])
+    for t, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        if t:
+            v = step @ v[:, : b - a]
+        v = np.multiply(v, e[:, a:b], out=out[:, a:b])
+        if t % SCALED == SCALED - 1:
+            z = v.sum(0)
+            v /= z
+            log[: b - a] += np.log10(z)
+    return log
+
+
 def expected(model: Model, x: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of starts, steps and symbols by state, over the whole sequences."""
     s = len(model.start)
-    begin, step, emit = np.zeros(s), np.zeros((s, s)), np.zeros(model.emit.shape)
+    begin, step, emit, emission = np.zeros(s), np.zeros((s, s)), np.zeros(model.emit.shape), np.ascontiguousarray(model.emit.T)
     seq, first, size = _stretches(at, span)
-    before, after = _carried(model, x, seq, first, size)
+    before, after = (np.ascontiguousarray(y.T) for y in _carried(model, x, seq, first, size))
     starts = np.ones(len(seq), bool)
     starts[1:] = seq[1:] != seq[:-1]
-    order = np.argsort(-size, kind="stable")
-    for lo in range(0, len(order), 1024):
-        i = order[lo : lo + 1024]
-        f, n, head, came = first[i], size[i], starts[i], before[i]
-        live = [int(np.searchsorted(-n, -t, side="left")) for t in range(n[0])]  # longer than t
-        ahead, seen = [], []
-        v = None
-        for t, m in enumerate(live):
-            sym = x[f[:m] + t]
-            e = model.emit[sym]
-            v = np.where(head[:, None], came, came @ model.step) * e if t == 0 else (v[:m] @ model.step) * e
-            v /= v.sum(1, keepdims=True)
-            ahead.append(v)
-            seen.append((sym, e))
-        back = np.ones((0, s))
-        for t in range(len(live) - 1, -1, -1):
-            m = live[t]
-            b = after[i[:m]].copy()
-            if t + 1 < len(live):
-                sym, e = seen[t + 1]
-                w = e * back
-                k = len(w)
-                b[:k] = w @ model.step.T
-                g = (ahead[t][:k] * b[:k]).sum(1, keepdims=True)
-                step += model.step * (ahead[t][:k].T @ (w / g))
-            gamma = ahead[t] * b
-            gamma /= gamma.sum(1, keepdims=True)
-            back = b / b.sum(1, keepdims=True)
-            if t == 0:
-                begin += gamma[head].sum(0)
-                w = (seen[0][1] * back)[~head]  # the step from the stretch before
-                g = (came[~head] * (w @ model.step.T)).sum(1, keepdims=True)
-                step += model.step * (came[~head].T @ (w / g))
-            ahead[t] = gamma
-        sym, gamma = np.concatenate([y for y, _ in seen]), np.concatenate(ahead)
+    for i in _blocks(size):
+        head, came = starts[i], before[:, i]
+        sym, o = _by_time(x, first[i], size[i])
+        e = np.take(emission, sym, axis=1)
+        ahead, back, ends = np.empty_like(e), np.empty_like(e), after[:, i]
+        _forward(model, e, o, np.where(head, came, model.step.T @ came), ahead)
+        places = list(zip(o[:-1].tolist(), o[1:].tolist(), strict=True))
+        w = e[:, :0]  # what a time and all after it weigh, in the place of e
+        for t in range(len(places) - 1, -1, -1):
+            a, b = places[t]
+            k = w.shape[1]
+            np.matmul(model.step, w, out=back[:, a : a + k])
+            back[:, a + k : b] = ends[:, k : b - a]
+            w = np.multiply(e[:, a:b], back[:, a:b], out=e[:, a:b])
+            if t % SCALED == 0:
+                w /= w.sum(0)
+        ahead /= np.einsum("sn,sn->n", ahead, back)
+        steps = np.zeros((s, s))
+        for (a, _), (c, d) in zip(places[:-1], places[1:], strict=True):
+            steps += ahead[:, a : a + d - c] @ e[:, c:d].T
+        came, w = came[:, ~head], w[:, ~head]  # the step from the stretch before
+        steps += (came / np.einsum("sn,sn->n", came, model.step @ w)) @ w.T
+        step += model.step * steps
+        back *= ahead
+        begin += back[:, : len(i)][:, head].sum(1)
         for k in range(s):
-            emit[:, k] += np.bincount(sym, weights=gamma[:, k], minlength=len(emit))
+            emit[:, k] += np.bincount(sym, weights=back[k], minlength=len(emit))
     return begin, step, emit
 
 
 def likelihood(model: Model, x: np.ndarray, at: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """log10 probability of every whole sequence: stretches' transfer matrices, multiplied in order."""
+    """log10 probability of every whole sequence: by its states' weights, or its stretches' matrices multiplied in order."""
     seq, first, size = _stretches(at, span)
-    mats, logs = _transfers(model, x, seq, first, size)
+    several = np.bincount(seq, minlength=len(at) - 1)[seq] > 1
     out, v = np.zeros(len(at) - 1), np.tile(model.start, (len(at) - 1, 1))
+    emission, single = np.ascontiguousarray(model.emit.T), np.flatnonzero(~several)
+    for i in _blocks(size[single]):
+        i = single[i]
+        sym, o = _by_time(x, first[i], size[i])
+        e = np.take(emission, sym, axis=1)
+        log = _forward(model, e, o, np.repeat(model.start[:, None], len(i), axis=1), e)
+        out[seq[i]] = log + np.log10(e[:, o[size[i] - 1] + np.arange(len(i))].sum(0))
+    seq, first, size = seq[several], first[several], size[several]
+    mats, logs = _transfers(model, x, seq, first, size)
     for i in _turns(seq):
         d = seq[i]
         w = np.einsum("ni,nij->nj", v[d], mats[i])
@@ -291,10 +341,9 @@ def code(texts: DataFrame, counts) -> DataFrame:
         for batch in batches:
             for b in slices(batch):
                 h, k, at = _tokens(b, len(own.class_total))
-                c, head = own.look(h)
-                sym = own.symbols(h, k)
-                base = np.where(head, np.log10(c + ADD) - own.base_floor, 0)
-                share = np.where(head & (sym >= own.top), np.log10(c + ADD) - own.class_floor[k], 0)
+                head, log, sym = own.look(h, k)
+                base = np.where(head, log - own.base_floor, 0)
+                share = np.where(head & (sym >= own.top), log - own.class_floor[k], 0)
                 sums = [np.concatenate([[0], np.cumsum(y)]) for y in (base, share, head.astype(np.int64))]
                 base, share, known = (np.diff(y[at]) for y in sums)
                 n = np.diff(at)

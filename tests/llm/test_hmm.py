@@ -119,3 +119,47 @@ def test_base_scores_need_no_model(spark, monkeypatch):
     monkeypatch.setattr(hmm, "train", no_model)
     assert sorted(str(tuple(r)) for r in hmm.base(docs).select(*names[:-1], F.round(names[-1], 6)).collect()) == want
     assert QUERIES["hmm_base"](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_words_are_sorted_a_few_times_at_most(monkeypatch):
+    """A task that holds many different words sorted all of them again for each slice of text."""
+    monkeypatch.setattr(hmm, "HELD", 4000)
+    rng, passed, merged = np.random.default_rng(1), [], hmm._merged
+    monkeypatch.setattr(hmm, "_merged", lambda h, k, c: passed.append(len(h)) or merged(h, k, c))
+    for distinct in (50, 1900, 1 << 40):
+        passed.clear()
+        h = rng.integers(0, distinct, 60_000).astype(np.uint64)
+        got = Counter()
+        for keys, k, c in hmm.summed((x, (x % 7).astype(np.int64)) for x in np.split(h, 600)):
+            assert len(np.unique(keys)) == len(keys) and (k == keys % 7).all()
+            got.update(dict(zip(keys.tolist(), c.tolist(), strict=True)))
+        assert got == Counter(h.tolist()) and sum(passed) < 3 * len(h)
+
+
+def test_texts_of_one_stretch_need_no_matrices(monkeypatch):
+    rng, asked, transfers = np.random.default_rng(3), [], hmm._transfers
+    m = hmm.Model(*(x / x.sum(axis, keepdims=True) for x, axis in ((rng.random(4), 0), (rng.random((4, 4)), 1), (rng.random((50, 4)), 0))))
+    monkeypatch.setattr(hmm, "_transfers", lambda model, x, seq, *a: asked.append(len(seq)) or transfers(model, x, seq, *a))
+    x, at = rng.integers(0, 50, 400).astype(np.uint16), np.array([0, 1, 64, 100, 360, 400])
+    want = [forward(m, x[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert hmm.likelihood(m, x, at, 64) == pytest.approx(want, rel=1e-12) and asked == [5]
+    monkeypatch.setattr(hmm, "BLOCK", 16)
+    assert hmm.likelihood(m, x, at, 64) == pytest.approx(want, rel=1e-12)
+    own = [x[a:b] for a, b in zip(at[:3], at[1:4], strict=True)]  # the plain sums aren't scaled
+    for got, plain in zip(hmm.expected(m, x[:100], at[:4], 24), zip(*(counts(m, y) for y in own), strict=True), strict=True):
+        assert np.allclose(got, sum(plain), rtol=1e-9)
+
+
+def test_head_words_are_found_among_all(monkeypatch):
+    """The lookup by leading bits, on hashes that crowd one bucket, the largest hash, and a vocabulary of none."""
+    rng = np.random.default_rng(4)
+    for h in (rng.integers(0, 1 << 63, 500, np.uint64) * np.uint64(2), np.arange(300, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64), np.zeros(0, np.uint64)):
+        h = np.unique(h)
+        c = rng.integers(1, 9, len(h))
+        own = hmm.Counts(h, h.astype(np.int64) % 5, c, 100, 10, 3, h[::3], np.ones(5, np.int64), np.ones(5, np.int64), len(h[::3]))
+        asked = np.concatenate([h, h + np.uint64(1), np.array([5, (1 << 64) - 1], np.uint64)])
+        known, log, symbol = own.look(asked, asked.astype(np.int64) % 5)
+        for x, a, b, y in zip(asked.tolist(), known.tolist(), log.tolist(), symbol.tolist(), strict=True):
+            i = h.tolist().index(x) if x in h.tolist() else -1
+            assert a == (i >= 0) and b == pytest.approx(math.log10(c[i] + 0.1) if a else 0)
+            assert y == (i // 3 if a and i % 3 == 0 else own.top + np.array([x], np.uint64).astype(np.int64)[0] % 5)
