@@ -155,8 +155,8 @@ def totals(batch: int, clock: int, last: bool, due: int, closed: int) -> Callabl
 def _settings(spark: SparkSession, local: bool = False) -> Iterator[None]:
     """Keyed state in the executors' heap, while the query runs; the session's own settings come back after.
 
-    It is a row a shard with its open panes. RocksDB was found to keep native memory of stores that were closed, and each
-    start opens one a partition.
+    It is a row a shard with its open panes. With RocksDB native memory grew from start to start, though its stores were
+    closed, and each start opens one a partition.
 
     local: the checkpoint lies on a mounted folder. Hadoop starts a process for each file that it makes there by way of
     its file contexts, and twice as many with Spark's own checksums beside those of the local file system.
